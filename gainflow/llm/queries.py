@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, pii, quality
-from ._common import table
+from . import bpe, decontam, pii, quality, warc
+from ._common import shared_dir, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write one record per page, read all back by ranges, and hold each payload against its header's digest."""
+    folder = shared_dir(spark)
+    written = warc.write(warc.plan(table(spark, sf_dir, "pages").select("page_id", "url", "html")), folder)
+    back = warc.read(written, folder).select(
+        F.col("record_id").alias("page_id"), "url", "record_type", "refers_to", F.col("header_digest").alias("payload_digest"),
+        F.when(F.col("record_type") == "response", F.octet_length("payload")).cast("long").alias("n"),
+        (F.sha2("payload", 256) == F.col("header_digest")).alias("same"))
+    back.write.parquet(f"{folder}/read")  # narrow rows; else the archives would be read for either side of the join
+    back = spark.read.parquet(f"{folder}/read")
+    first = back.filter("record_type = 'response' and refers_to is null").groupBy(F.col("page_id").alias("first"), F.col("payload_digest").alias("d")).agg(F.max("n").alias("first_n"))
+    out = back.join(first, (F.col("refers_to") == F.col("first")) & (F.col("payload_digest") == F.col("d")), "left")
+    checked = F.when((F.col("record_type") == "revisit") | F.col("same"), F.coalesce("n", "first_n")).otherwise(F.raise_error(F.lit("a payload does not have its header's digest")).cast("long"))
+    return out.select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op5_pii": op5_pii,
     "op7_bpe": op7_bpe,
     "op9_quality": op9_quality,
