@@ -3,8 +3,9 @@
 A-Z are lower-cased and words are runs of digits, letters and non-ASCII characters. Every
 window of ``n`` consecutive benchmark words (a shorter item: all its words) goes into a hash
 set of the n-grams themselves, so that a hit in the broadcast join is at once verified by
-equality of all its words. Each document is cut into overlapping blocks of words, which bounds
-what one row expands to; the windows of all blocks are looked up, nothing is sampled.
+equality of all its words. The set's windows each have an anchor, their longest word; a second
+hash set of anchors with their offsets tells which windows of a document can be in the set at
+all, and only those are put together and looked up. No window that could hit is left out.
 
 Defined results: a null or empty text has no words and no hits; a null id is kept; repeated rows
 get equal results; an empty benchmark or document table gives no hits or no rows; input columns
@@ -18,13 +19,12 @@ from pyspark.sql import functions as F
 
 from ._common import KEY, ascii_lower, replace_columns, with_key
 
-#: Fixed by the contract: characters of a word after lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in text that is not lower-cased.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The ASCII characters that are no part of a word. They are listed one by one: Java's regular
+#: expressions look such a class up in a table, ranges by one comparison after the other.
+GAPS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+#: Words of a text, of whatever case.
+WORD = f"[^{GAPS}]+"
 WINDOW = 13
-#: Words of a document that are expanded from one row.
-BLOCK = 1024
 #: Bytes of distinct windows up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
@@ -41,19 +41,21 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return w.select("item", "width", F.explode(grams).alias("gram")).groupBy("gram", "width").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _document_grams(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """Every window of every document: key, position of its first word, gram."""
-    n, reach = F.size("w"), BLOCK + max(widths) - 1
-    blocks = docs.select(*KEY, words(F.col("__text")).alias("w")).filter(n > 0)
-    starts = F.transform(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)), lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, F.lit(reach)).alias("part")))
-    blocks = blocks.select(*KEY, F.explode(starts).alias("b")).select(*KEY, "b.start", "b.part")
+def _anchors(windows: DataFrame) -> DataFrame:
+    """Distinct ``word, offset, width``: where in a window of the set its longest word stands."""
+    w = windows.select("width", F.split("gram", " ").alias("w"))
+    longest = F.array_max(F.transform("w", lambda x, i: F.struct(F.length(x).alias("n"), x.alias("word"), (-i).alias("before"))))
+    return w.select("width", longest.alias("a")).select(F.col("a.word").alias("anchor"), (-F.col("a.before")).alias("offset"), "width").distinct()
 
-    def of_width(k: int) -> Column:
-        last = F.least(F.size("part") - k, F.lit(BLOCK - 1))
-        one = lambda i: F.struct((F.col("start") + i).alias("pos"), F.array_join(F.slice("part", i + 1, F.lit(k)), " ").alias("gram"))
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<struct<pos:int,gram:string>>"))
 
-    return blocks.select(*KEY, F.explode(F.concat(*map(of_width, widths))).alias("g")).select(*KEY, "g.pos", "g.gram")
+def _hits(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
+    """Key, position and width of each window of a document that is in the set, with its items."""
+    sent = F.broadcast if small else lambda x: x
+    each = docs.select(*KEY, words(F.col("__text")).alias("w")).select(*KEY, "w", F.posexplode("w").alias("i", "anchor"))
+    at = F.col("i") - F.col("offset")
+    near = each.join(sent(_anchors(windows)), "anchor").filter((at >= 0) & (at + F.col("width") <= F.size("w")))
+    grams = near.select(*KEY, at.alias("pos"), F.array_join(F.slice("w", at + 1, F.col("width")), " ").alias("gram"))
+    return grams.join(sent(windows), "gram")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
@@ -67,13 +69,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = benchmark_windows(benchmark, n=n)
     sizes = windows.groupBy("width").agg(F.sum(F.length("gram") + 16 * F.size("items") + 64).alias("bytes")).collect()  # at most n rows
     text = docs.withColumn("__text", F.col(text_col))
-    n_words = F.regexp_count(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD)).cast("long")
+    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     none = F.array().cast("array<int>")
     item_type = f"array<{benchmark.schema['item_id'].dataType.simpleString()}>"
     if not sizes:
         return docs.drop(*KEY).select("*", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("hits"), F.array().cast(item_type).alias("items"), F.lit(False).alias("contaminated"))
     small = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
-    found = _document_grams(text, sorted(r["width"] for r in sizes)).join(F.broadcast(windows) if small else windows, "gram")
+    found = _hits(text, windows, small)
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda h: F.sequence(h["pos"], h["pos"] + h["width"] - 1)))))
     hits = found.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "width")).alias("at"), F.collect_set("items").alias("sets")).select(
         *KEY, covered.alias("__hits"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("__items"))
@@ -86,7 +88,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_hits(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Take the hit words out of the texts that :func:`contamination` returned; all else stays as it is."""
-    gaps, own = F.split(text_col, WORD_ANY_CASE, -1), F.regexp_extract_all(text_col, F.lit(WORD_ANY_CASE), F.lit(0))
+    gaps, own = F.split(text_col, WORD, -1), F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
     flags = F.map_from_arrays(F.transform("hits", lambda p: p), F.transform("hits", lambda p: F.lit(True)))
     kept = F.transform(gaps, lambda g, i: F.concat(g, F.when((i < F.size(own)) & F.try_element_at(flags, i).isNull(), F.get(own, i)).otherwise(F.lit(""))))
     return found.withColumn(text_col, F.when(F.col("n_hit") > 0, F.array_join(kept, "")).otherwise(F.col(text_col)))
