@@ -53,8 +53,9 @@ def _hits(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     sent = F.broadcast if small else lambda x: x
     each = docs.select(*KEY, words(F.col("__text")).alias("w")).select(*KEY, "w", F.posexplode("w").alias("i", "anchor"))
     at = F.col("i") - F.col("offset")
-    near = each.join(sent(_anchors(windows)), "anchor").filter((at >= 0) & (at + F.col("width") <= F.size("w")))
-    grams = near.select(*KEY, at.alias("pos"), F.array_join(F.slice("w", at + 1, F.col("width")), " ").alias("gram"))
+    fits = (at >= 0) & (at + F.col("width") <= F.size("w"))
+    near = each.join(sent(_anchors(windows)), "anchor")
+    grams = near.select(*KEY, at.alias("pos"), F.when(fits, F.array_join(F.slice("w", at + 1, F.col("width")), " ")).alias("gram"))
     return grams.join(sent(windows), "gram")
 
 
