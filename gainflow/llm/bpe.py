@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = np.int64(1) << 62
 #: Cells of the trees that are worked on together, encoded pre-tokens kept, and characters of text taken at a time.
-CELLS, KEPT, STEP = 1 << 21, 400_000, 2_000_000
+CELLS, KEPT, STEP = 1 << 19, 300_000, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -127,56 +127,82 @@ def encode_words(v: Vocabulary, words: list[str]) -> dict[str, bytes]:
     return out
 
 
+def encoder(v: Vocabulary):
+    """A function that gives texts, about STEP characters at a time, their packed ids."""
+    import regex
+
+    pattern, special, kept = regex.compile(PATTERN), regex.compile("|".join(map(regex.escape, v.special)) or r"(?!)"), {}
+    marks = {i: i.to_bytes(4, "little") for i in v.special.values()}
+
+    def pieces(text: str) -> Iterator[str | int]:
+        at = 0
+        for m in special.finditer(text):
+            yield from pattern.findall(text[at : m.start()])
+            yield v.special[m[0]]
+            at = m.end()
+        yield from pattern.findall(text[at:] if at else text)
+
+    def run(texts: list[str]) -> list[bytes]:
+        rows = [[*pieces(t)] for t in texts]
+        if len(kept) > KEPT:
+            kept.clear()
+        kept.update(marks)
+        kept.update(encode_words(v, list({p for r in rows for p in r if p not in kept})))
+        return [b"".join(map(kept.__getitem__, r)) for r in rows]
+
+    return run
+
+
+def decoder(v: Vocabulary):
+    """A function that turns packed ids into text."""
+    letters = v.bytes.__getitem__
+    return lambda ids: b"".join(map(letters, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
+
+
+def steps(batches: Iterator[pd.DataFrame], text_col: str) -> Iterator[tuple[pd.DataFrame, list[str]]]:
+    for whole in batches:
+        texts = whole[text_col].fillna("")
+        for _, own in whole.groupby((texts.str.len().cumsum() // STEP).to_numpy(), sort=False):
+            yield own, texts.loc[own.index].tolist()
+
+
+def _mapped(df: DataFrame, path: str, outputs: list[T.StructField], rows) -> DataFrame:
+    """Apply ``rows(vocabulary)`` in each task; output columns replace those of their names."""
+    taken = {f.name.lower() for f in outputs}
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    return df.mapInPandas(lambda batches: rows(vocabulary.value, batches), T.StructType([*df.schema.fields, *outputs]))
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Columns of ``docs`` plus ``ids``."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "ids"])
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        v, pattern, kept = vocabulary.value, regex.compile(PATTERN), {}
-        special = regex.compile("|".join(map(regex.escape, v.special)) or r"(?!)")
-
-        def pieces(text: str) -> Iterator[str | int]:
-            at = 0
-            for m in special.finditer(text):
-                yield from pattern.findall(text[at : m.start()] if at or m.start() < len(text) else text)
-                yield v.special[m[0]]
-                at = m.end()
-            yield from pattern.findall(text[at:] if at else text)
-
-        for whole in batches:
-            texts = whole[text_col].fillna("")
-            part = (texts.str.len().cumsum() // STEP).to_numpy()
-            for _, own in whole.groupby(part, sort=False):
-                rows = [[*pieces(t)] for t in texts.loc[own.index]]
-                if len(kept) > KEPT:
-                    kept.clear()
-                    kept.update({i: i.to_bytes(4, "little") for i in v.special.values()})
-                new = {p for r in rows for p in r if p not in kept}
-                kept.update({p: p.to_bytes(4, "little") for p in new if isinstance(p, int)})
-                kept.update(encode_words(v, [p for p in new if isinstance(p, str)]))
-                yield own.assign(ids=[b"".join(map(kept.__getitem__, r)) for r in rows])
-
-    return docs.mapInPandas(run, schema)
+
+    def rows(v: Vocabulary, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to_ids = encoder(v)
+        for own, texts in steps(batches, text_col):
+            yield own.assign(ids=to_ids(texts))
+
+    return _mapped(docs, path, [T.StructField("ids", T.BinaryType())], rows)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Columns of ``encoded`` plus ``out_col``, the text of its packed ids (null ids: the empty text)."""
-    encoded = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != out_col.lower()])
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters = vocabulary.value.bytes.__getitem__
-        for whole in batches:
-            yield whole.assign(**{out_col: [b"".join(map(letters, np.frombuffer(i or b"", "<u4").tolist())).decode("utf-8", "replace") for i in whole[ids_col]]})
+    def rows(v: Vocabulary, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to_text = decoder(v)
+        for own in batches:
+            yield own.assign(**{out_col: [to_text(i) for i in own[ids_col]]})
 
-    return encoded.mapInPandas(run, schema)
+    return _mapped(encoded, path, [T.StructField(out_col, T.StringType())], rows)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Columns of ``docs`` plus ``ids``, ``n_tokens`` and ``decoded``."""
-    return decode(encode(docs, path, text_col), path).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    """Columns of ``docs`` plus ``ids``, ``n_tokens`` and ``decoded``: encoding and then decoding the ids, in one pass."""
+
+    def rows(v: Vocabulary, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to_ids, to_text = encoder(v), decoder(v)
+        for own, texts in steps(batches, text_col):
+            ids = to_ids(texts)
+            yield own.assign(ids=ids, n_tokens=[len(i) // 4 for i in ids], decoded=[to_text(i) for i in ids])
+
+    return _mapped(docs, path, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())], rows)
