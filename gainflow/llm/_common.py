@@ -56,3 +56,12 @@ def replace_columns(df: DataFrame, outputs: list[str], keep: list[str]) -> DataF
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row: a generator stands between them and what uses them.
+
+    Spark may put an expression in place of a column; inside a lambda it would then run once per element.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__fixed")
+    return df.select("*", made).select(*[F.col(f"`{c}`") for c in df.columns], "__fixed.*")
