@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, minhash, pii, quality, warc
+from . import ann, bpe, decontam, linededup, minhash, pii, quality, warc
 from ._common import shared_dir, table
 
 
@@ -35,6 +35,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def vocabulary_path() -> str:
     """The 50k byte-level vocabulary that the contract names."""
     import public_tokenizers
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
     "op5_pii": op5_pii,
+    "op6_ann": op6_ann,
     "op7_bpe": op7_bpe,
     "op8_linededup": op8_linededup,
     "op9_quality": op9_quality,
