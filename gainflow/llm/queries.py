@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, linededup, minhash, pii, quality, warc
+from . import ann, bpe, decontam, linededup, minhash, pii, quality, suffix, warc
 from ._common import shared_dir, table
 
 
@@ -31,6 +31,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -72,6 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
+    "op4_suffix": op4_suffix,
     "op5_pii": op5_pii,
     "op6_ann": op6_ann,
     "op7_bpe": op7_bpe,
