@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, linededup, minhash, pii, quality, suffix, warc
+from . import ann, bpe, decontam, licenses, linededup, minhash, pii, quality, suffix, warc
 from ._common import shared_dir, table
 
 
@@ -31,6 +31,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the language and the id's binary digits are the path; one with a statement is a licence file."""
+    path = F.concat_ws("/", F.coalesce("lang", F.lit("")), F.array_join(F.split(F.bin("doc_id"), ""), "/"))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    out = licenses.inherit(licenses.detect(files).drop("text"), "doc_id", "path", F.lit(True))
+    return out.select("doc_id", "license", F.round("score", 9).alias("score"), "line", "basis", "origin")
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
@@ -78,6 +86,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
+    "op3_licenses": op3_licenses,
     "op4_suffix": op4_suffix,
     "op5_pii": op5_pii,
     "op6_ann": op6_ann,
