@@ -29,18 +29,32 @@ from pyspark.sql import functions as F
 from ._common import KEY, fixed, replace_columns, shared_dir, with_key
 
 MIN_WORDS = 10
-#: Words whose hashes are chained at once.
-BLOCK = 512
+#: Words of a block, within which beginnings are hashed one by one.
+BLOCK = 64
+
+
+def _plain(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t\r", "  "))
+
+
+def _odd(line: Column) -> Column:
+    """Whether a plain split at blanks would not give a line's words."""
+    found = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for gap in ("\t", "\r", "  "):
+        found = found | F.contains(line, F.lit(gap))
+    return found
 
 
 def line_words(line: Column) -> Column:
-    return F.split(F.trim(F.translate(line, "\t\r", "  ")), " +")
+    return F.when(_odd(line), F.split(_plain(line), " +")).otherwise(F.split(line, " "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Key, id, number, words and hashes of every line that is not blank."""
-    each = docs.select(*KEY, "__id", F.posexplode(F.split("__text", "\n", -1)).alias("no", "line")).select(*KEY, "__id", "no", line_words(F.col("line")).alias("w"))
-    return each.filter("w[0] <> '' or size(w) > 1").select(*KEY, "__id", "no", "w", F.xxhash64("w").alias("l1"), F.hash("w").alias("l2"))
+    line = F.col("line")
+    each = docs.select(*KEY, "__id", F.posexplode(F.split("__text", "\n", -1)).alias("no", "line"))
+    each = each.filter((line != "") & (~_odd(line) | (_plain(line) != ""))).select(*KEY, "__id", "no", line_words(line).alias("w"))
+    return each.select(*KEY, "__id", "no", F.xxhash64("w").alias("l1"), F.hash("w").alias("l2"), *_halves())
 
 
 def _halves() -> list[Column]:
@@ -57,9 +71,9 @@ def _chained(df: DataFrame, w: Column, name: str) -> DataFrame:
     """Add the hashes of the first 0, 1, ... words of ``w``, as many as there are words."""
     df = fixed(df, __blocks=F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(BLOCK)), lambda s: F.slice(w, s + 1, F.lit(BLOCK))))
     df = fixed(df, __hashes=F.transform("__blocks", lambda b: F.xxhash64(b)))
-    step = lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x)))
-    of_block = lambda b, i: F.aggregate(b, F.array(F.xxhash64(F.slice("__hashes", F.lit(1), i))), step)
-    return fixed(df, **{name: F.flatten(F.transform("__blocks", lambda b, i: F.slice(of_block(b, i), F.lit(1), F.size(b))))}).drop("__blocks", "__hashes")
+    df = fixed(df, __seeds=F.transform("__blocks", lambda b, i: F.xxhash64(F.slice("__hashes", F.lit(1), i))))
+    inner = lambda b, i: F.transform(b, lambda w, r: F.xxhash64(F.get("__seeds", i), F.slice(b, F.lit(1), r)))
+    return fixed(df, **{name: F.flatten(F.transform("__blocks", inner))}).drop("__blocks", "__hashes", "__seeds")
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -87,14 +101,15 @@ def decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document key: ``gone``, the numbers of the lines that go."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     docs = docs.select(*KEY, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    lines = _lines(docs)
-    first = F.min(F.struct("__id", "no", *KEY)).alias("f")
     hashes = [f"h{i}" for i in range(4)]
-    lines.select(*KEY, "__id", "no", "l1", "l2", *_halves()).groupBy("l1", "l2").agg(first, F.count("*").alias("copies"), *[F.max(h).alias(h) for h in hashes]).select("l1", "l2", "f.*", "copies", *hashes).write.parquet(f"{folder}/lines")
-    each = spark.read.parquet(f"{folder}/lines")
+    _lines(docs).write.parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
+    first = F.min(F.struct("__id", "no", *KEY)).alias("f")
+    lines.groupBy("l1", "l2").agg(first, F.count("*").alias("copies")).select("l1", "l2", "f.*", "copies").write.parquet(f"{folder}/distinct")
+    each = spark.read.parquet(f"{folder}/distinct")
 
-    half = each.filter("h0 is not null").select("l1", F.posexplode(F.array(*hashes)).alias("which", "half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1")
+    half = lines.filter("h0 is not null").select("l1", F.posexplode(F.array(*hashes)).alias("which", "half"))
+    shared = half.groupBy("half").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).filter("low < high").select("half")
     wanted = half.join(shared, "half").groupBy("l1").agg(F.max(F.col("which") % 2 == 0).alias("after"), F.max(F.col("which") % 2 == 1).alias("before"))
     wanted = each.join(wanted, "l1").groupBy(*KEY).agg(F.collect_list(F.struct("no", "l1", "before", "after")).alias("at"))
     text = docs.join(wanted, list(KEY)).select("__id", F.split("__text", "\n", -1).alias("all"), "at")
