@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import KEY, ascii_lower, replace_columns, with_key
+from ._common import KEY, ascii_lower, fixed, replace_columns, with_key
 
 #: The ASCII characters that are no part of a word. They are listed one by one: Java's regular
 #: expressions look such a class up in a table, ranges by one comparison after the other.
@@ -89,10 +89,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_hits(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Take the hit words out of the texts that :func:`contamination` returned; all else stays as it is."""
-    gaps, own = F.split(text_col, WORD, -1), F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    flags = F.map_from_arrays(F.transform("hits", lambda p: p), F.transform("hits", lambda p: F.lit(True)))
-    kept = F.transform(gaps, lambda g, i: F.concat(g, F.when((i < F.size(own)) & F.try_element_at(flags, i).isNull(), F.get(own, i)).otherwise(F.lit(""))))
-    return found.withColumn(text_col, F.when(F.col("n_hit") > 0, F.array_join(kept, "")).otherwise(F.col(text_col)))
+    found = fixed(found, __gaps=F.split(text_col, WORD, -1), __own=F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)))
+    found = fixed(found, __keep=F.array_except(F.sequence(F.lit(0), F.size("__own")), F.col("hits")))
+    # the pieces that stay, each with its place: every gap, and the words that are not hit
+    gaps = F.transform("__gaps", lambda g, i: F.struct((2 * i).alias("at"), g.alias("piece")))
+    own = F.transform(F.filter("__keep", lambda i: i < F.size("__own")), lambda i: F.struct((2 * i + 1).alias("at"), F.get("__own", i).alias("piece")))
+    kept = F.array_join(F.transform(F.array_sort(F.concat(gaps, own)), lambda p: p["piece"]), "")
+    return found.withColumn(text_col, F.when(F.col("n_hit") > 0, kept).otherwise(F.col(text_col))).drop("__gaps", "__own", "__keep")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
