@@ -96,4 +96,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: DuckDB SQL where SQL can express the operator. The others are tested against brute force, a library or held-out labels.
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages), f AS (SELECT h, min(page_id) AS f FROM p WHERE n >= 100 GROUP BY 1)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to, url FROM p LEFT JOIN f USING (h)""",
+    "op8_linededup": r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), line AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS no FROM s),
+w AS (SELECT *, list_filter(string_split(regexp_replace(line, '[\t\r]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM line),
+each AS (SELECT w, min((doc_id, no)) AS first FROM w WHERE len(w) > 0 GROUP BY 1), big AS (SELECT * FROM each WHERE len(w) >= 10),
+keys AS (SELECT w, first, i || '|' || array_to_string(w[1:i], ' ') || '|' || array_to_string(w[i + 2:], ' ') AS k FROM big, unnest(range(len(w))) r(i)
+  UNION ALL SELECT w, first, i || '|' || array_to_string(w[1:i], ' ') || '|' || array_to_string(w[i + 1:], ' ') FROM big, unnest(range(len(w) + 1)) r(i)),
+head AS (SELECT k, min(first) AS head FROM keys GROUP BY 1 HAVING count(*) > 1), near AS (SELECT DISTINCT w FROM keys JOIN head USING (k) WHERE head < first),
+flag AS (SELECT w.*, len(w) > 0 AND ((doc_id, no) <> first OR near.w IS NOT NULL) AS gone FROM w LEFT JOIN each USING (w) LEFT JOIN near USING (w))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256 FROM flag GROUP BY 1""",
+    "op10_decontamination": f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), g AS (SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i + 1:i + least(len(w), 13)], ' ') AS gram FROM b, unnest(range(len(w) - least(len(w), 13) + 1)) r(i) WHERE len(w) > 0),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents), k AS (SELECT DISTINCT k FROM g), x AS (SELECT doc_id, i, k, array_to_string(w[i + 1:i + k], ' ') AS gram FROM d CROSS JOIN k, unnest(range(len(w) - k + 1)) r(i)),
+h AS (SELECT doc_id, i, x.k, item_id FROM x JOIN g USING (gram)), n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + k)) r(p) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
