@@ -11,8 +11,8 @@ CEILING = {
 }
 #: How far the evidence is from the compound and receptor in question.
 DISTANCE = {
-    "exact_compound_exact_receptor": "E0", "exact_compound_related_receptor": "E1", "exact_compound_other_species": "E2",
-    "class_level": "E3", "unsupported": "E4",
+    "exact_compound_exact_receptor_exact_species": "E0", "exact_compound_exact_receptor_other_species": "E1", "exact_compound_related_receptor": "E2",
+    "class_extrapolation": "E3", "unsupported": "E4",
 }
 #: Signs of transmitters at a synapse, and the gain that scales each.
 SIGN = {"acetylcholine": 1.0, "gaba": -1.0, "glutamate": -0.4, "histamine": -0.5, "dopamine": 0.2, "serotonin": 0.2, "octopamine": 0.2}
