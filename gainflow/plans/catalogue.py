@@ -454,3 +454,144 @@ def hill_fit(spark, d):
     mean = curve.groupBy("curve", "log_dose").agg(F.avg("y").alias("noise"))
     planted = 5 + 95 / (1 + F.pow(F.lit(10.0), -(F.col("log_dose") + 3.5) * 1.2))
     return K.fit_hill(mean.select("curve", "log_dose", (planted + F.col("noise")).alias("y")), bootstraps=20)
+
+
+@query
+def sensitivity_tornado(spark, d):
+    """Engagement at half and twice each value and slope, one parameter at a time: span per compound and parameter."""
+    e = engaged(spark, d).filter("engagement is not null and receptor = 'insect_RDL'")
+    move = spark.createDataFrame([(p, f) for p in ("value_m", "n") for f in (0.5, 2.0)], "parameter string, factor double")
+    v = F.col("value_m") * F.when(F.col("parameter") == "value_m", F.col("factor")).otherwise(1.0)
+    n = F.col("n") * F.when(F.col("parameter") == "n", F.col("factor")).otherwise(1.0)
+    rows = e.crossJoin(F.broadcast(move)).withColumn("moved", pharm.hill(F.col("conc_m"), v, n))
+    return rows.groupBy("pos", "parameter").agg(r(F.min("moved"), 9).alias("low"), r(F.max("moved"), 9).alias("high"), r(F.max("moved") - F.min("moved"), 9).alias("span"))
+
+
+@query
+def circuit_disruption(spark, d):
+    t = treated_minus_vehicle(spark, d)
+    return t.agg(r(F.try_divide(F.avg(F.abs("delta")), F.avg("vehicle"))).alias("disruption"), F.count("*").alias("n"))
+
+
+@query
+def normalisation_signs(spark, d):
+    parts = []
+    for how in ("row_abs", "none", "degree"):
+        a, b = (_rates(spark, d, g, how).agg(F.avg("hz").alias("hz")) for g in (None, TREATED))
+        parts.append(b.crossJoin(a.withColumnRenamed("hz", "vehicle")).select(F.lit(how).alias("normalise"), r(F.col("hz") - F.col("vehicle")).alias("effect")))
+    return G.union_all(parts).withColumn("sign", F.signum("effect").cast("int"))
+
+
+@query
+def first_seen_edges(spark, d):
+    li = X.table(spark, d, "lineitem")
+    k = F.row_number().over(Window.partitionBy("l_suppkey", "l_partkey").orderBy("l_orderkey", "l_linenumber"))
+    return li.withColumn("k", k).filter("k = 1").select(F.col("l_suppkey").alias("pre"), F.col("l_partkey").alias("post"), "l_orderkey", r("l_quantity").alias("weight"))
+
+
+@query
+def mixture_coverage(spark, d):
+    m = _mixture(spark, d)
+    receptors, mixtures = m.select("receptor").distinct(), m.select("mixture").distinct()
+    return mixtures.crossJoin(F.broadcast(receptors)).join(m.filter("value_m is not null"), ["mixture", "receptor"], "left_anti").groupBy("mixture").agg(F.count("*").alias("missing"))
+
+
+@query
+def viewer_edges(spark, d):
+    e = X.big_edges(spark, d).filter("weight >= 10").select("pre", "post", r("weight").alias("weight"))
+    n = e.agg(F.count("*").alias("n"))
+    return e.orderBy(F.desc("weight"), "pre", "post").limit(500).crossJoin(F.broadcast(n)).select("pre", "post", "weight", (F.col("n") > 500).alias("truncated"))
+
+
+@query
+def response_sample_sizes(spark, d):
+    """Group sizes for the drop in a response proportion that each compound's largest insect engagement predicts."""
+    from statistics import NormalDist
+
+    za, zb = NormalDist().inv_cdf(0.975), NormalDist().inv_cdf(0.8)
+    e = engaged(spark, d).filter("startswith(receptor, 'insect_') and engagement is not null").groupBy("compound").agg(F.least(F.max("engagement"), F.lit(0.5)).alias("drop"))
+    p1, p2 = F.lit(0.8), 0.8 * (1 - F.col("drop"))
+    mean = (p1 + p2) / 2
+    n = F.pow(za * F.sqrt(2 * mean * (1 - mean)) + zb * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2)), 2) / F.pow(p1 - p2, 2)
+    return e.filter("drop is not null").select("compound", r("drop", 9).alias("drop"), F.when(F.col("drop") > 1e-9, F.ceil(F.round(n, 6))).cast("long").alias("per_group"))
+
+
+@query
+def pairwise_concordance(spark, d):
+    """Share of pairs of sizes that a model orders as published, per brand, and the average ranks' largest difference."""
+    p = X.table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("price"))
+    a, b = p.select("p_brand", F.col("p_size").alias("s1"), F.col("price").alias("y1")), p.select("p_brand", F.col("p_size").alias("s2"), F.col("price").alias("y2"))
+    pair = a.join(b, "p_brand").filter("s1 < s2")
+    return pair.groupBy("p_brand").agg(F.count("*").alias("pairs"), F.count_if(F.col("y1") < F.col("y2")).alias("agree"), r(F.count_if(F.col("y1") < F.col("y2")) / F.count("*"), 9).alias("share"))
+
+
+@query
+def structure_separation(spark, d):
+    """For each statistic, whether classes of nodes are apart: the next class's least value lies above this one's largest."""
+    deg, n = G.degrees(X.edges(spark, d)), X.nodes(spark, d)
+    long = deg.join(n, "body_id").select("superclass", F.expr("stack(3, 'in_weight', in_weight, 'out_weight', out_weight, 'out_degree', double(out_degree)) as (statistic, value)"))
+    span = long.groupBy("statistic", "superclass").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    after = F.lead("low").over(Window.partitionBy("statistic").orderBy("low", "superclass"))
+    return span.select("statistic", "superclass", r("low").alias("low"), r("high").alias("high"), (after > F.col("high")).alias("apart"))
+
+
+@query
+def balance_report(spark, d):
+    """Outgoing weight per transmitter under permuted signs against the real graph: mean, spread, extremes and the largest deviation."""
+    e, n = graph(spark, d)
+    real = G.shares(e, n).select("nt", F.col("out_weight").alias("real"))
+    w = e.join(G.sign_nulls(n, 20).withColumnRenamed("body_id", "pre"), "pre").groupBy("draw", "nt").agg(F.sum("weight").alias("w"))
+    return w.join(real, "nt").groupBy("nt").agg(r(F.max("real")).alias("real"), r(F.avg("w")).alias("mean"), r(F.coalesce(F.stddev_samp("w"), F.lit(0.0)), 4).alias("sd"), r(F.min("w")).alias("low"), r(F.max("w")).alias("high"), r(F.max(F.abs(F.col("w") - F.col("real")))).alias("most_off"))
+
+
+@query
+def source_overlap(spark, d):
+    """Numbers that texts of two languages both cite."""
+    t = X.table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+\.[0-9]+"), F.lit(0))).alias("x")).distinct()
+    a, b = t.withColumnRenamed("lang", "a"), t.withColumnRenamed("lang", "b")
+    return a.join(b, "x").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+@query
+def genotype_panel(spark, d):
+    """Engagement of the wild type and of each fold change, and the difference from the wild type."""
+    folds = spark.createDataFrame([("wild_type", 1.0), ("low", 2.0), ("high", 20.0)], "genotype string, fold double")
+    e = X.evidence(spark, d).filter("value_m is not null and receptor = 'insect_nAChR'").crossJoin(F.broadcast(folds))
+    rows = e.withColumn("engagement", pharm.hill(F.lit(1e-6), F.col("value_m") * F.col("fold"), F.col("n")))
+    wild = F.max(F.when(F.col("genotype") == "wild_type", F.col("engagement"))).over(Window.partitionBy("pos"))
+    return rows.select("pos", "genotype", r("engagement", 9).alias("engagement"), r(F.col("engagement") - wild, 9).alias("delta"))
+
+
+@query
+def exposure_occupancy(spark, d):
+    """Mean and largest occupancy over a day's concentration curve."""
+    s = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("subject"), (1e-6 * (1 + F.col("s_suppkey") % 7)).alias("c0"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("h"))
+    c = pharm.bateman(F.col("h").cast("double"), F.col("c0"), F.lit(0.5), F.lit(0.5))
+    return s.withColumn("o", pharm.hill(c, F.lit(5e-7), F.lit(1.0))).groupBy("subject").agg(r(F.avg("o"), 9).alias("mean"), r(F.max("o"), 9).alias("top"))
+
+
+@query
+def equivalence_margins(spark, d):
+    """Margin (5 % of the vehicle) and effect floor (1 %, at least 1e-6) of each node, and whether the effect passes them."""
+    t = treated_minus_vehicle(spark, d)
+    margin, floor = 0.05 * F.abs("vehicle"), F.greatest(F.lit(1e-6), 0.01 * F.abs("vehicle"))
+    return t.select("body_id", r(margin).alias("margin"), r(floor, 8).alias("floor"), (F.abs("delta") < margin).alias("within"), (F.abs("delta") <= floor).alias("no_effect"))
+
+
+@query
+def sobol_budget(spark, d):
+    from ..operators import designs as D
+
+    x = F.col("x")
+    y = F.sin((2 * x["a"] - 1) * 3.141592653589793) + 7 * F.pow(F.sin((2 * x["b"] - 1) * 3.141592653589793), 2) + 0.1 * F.pow((2 * x["c"] - 1) * 3.141592653589793, 4) * F.sin((2 * x["a"] - 1) * 3.141592653589793)
+    return D.sobol(D.saltelli(spark, 512, ["a", "b", "c"]), y).select("factor", r("first", 9).alias("first"), r("total", 9).alias("total"))
+
+
+@query
+def design_runs(spark, d):
+    """Gains over a design's grid of compounds, doses and replicates, summarised per compound and dose."""
+    from ..operators import designs as D
+
+    e = X.evidence(spark, d).withColumn("compound", F.concat(F.lit("c"), F.col("compound").cast("string")))
+    out = D.run(D.Design(("c1", "c2", "c3", "c10"), (1e-7, 1e-6), replicates=3, seed=5), e)
+    return S.summary(out, ["condition", "compound", "conc_m"], "g_ach").select("condition", "compound", "conc_m", "n", r("mean", 9).alias("mean"), r("sd", 9).alias("sd"))

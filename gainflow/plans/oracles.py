@@ -165,3 +165,25 @@ SELECT draw, pre, count(*) AS out_degree, round(sum(weight), 6) AS out_weight FR
 SQL["sha_digest"] = "WITH l AS (SELECT source, doc_id // 256 AS block, sha256(doc_id || chr(9) || sha256(text)) AS h FROM documents) SELECT source, block, sha256(string_agg(h, chr(10) ORDER BY h)) AS digest, count(*) AS n FROM l GROUP BY 1, 2"
 SQL["json_fields"] = "SELECT event_type, count(json_extract_string(props, '$.k')) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, max(json_extract_string(props, '$.k')::BIGINT) AS top FROM events GROUP BY 1"
 SQL["cited_numbers"] = r"WITH x AS (SELECT lang, unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+')) AS x FROM documents) SELECT lang, count(*) AS n, count(DISTINCT x) AS different FROM x GROUP BY 1"
+SQL["sensitivity_tornado"] = f"""WITH {engaged()}, m AS (SELECT pos, parameter, conc_m, value_m * CASE parameter WHEN 'value_m' THEN factor ELSE 1 END AS v, n * CASE parameter WHEN 'n' THEN factor ELSE 1 END AS s FROM en CROSS JOIN (SELECT parameter, factor::DOUBLE AS factor FROM {values([(p, f) for p in ('value_m', 'n') for f in (0.5, 2.0)], 'parameter, factor')}) WHERE engagement IS NOT NULL AND receptor = 'insect_RDL'),
+e AS (SELECT pos, parameter, pow(conc_m, s) / (pow(v, s) + pow(conc_m, s)) AS y FROM m) SELECT pos, parameter, round(min(y), 9) AS low, round(max(y), 9) AS high, round(max(y) - min(y), 9) AS span FROM e GROUP BY 1, 2"""
+_TV = SQL["treated_minus_vehicle"]
+SQL["circuit_disruption"] = f"WITH t AS ({_TV}) SELECT round(avg(abs(delta)) / avg(vehicle), 6) AS disruption, count(*) AS n FROM t"
+SQL["normalisation_signs"] = f"WITH {EDGE}, " + ", ".join(f"{rates(h, name=f'v{i}_')}, {rates(h, _GAIN, f't{i}_')}" for i, h in enumerate(("row_abs", "none", "degree"))) + ", e AS (" + " UNION ALL ".join(f"SELECT '{h}' AS normalise, round((SELECT avg(r) FROM t{i}_10) - (SELECT avg(r) FROM v{i}_10), 6) AS effect" for i, h in enumerate(("row_abs", "none", "degree"))) + ") SELECT normalise, effect, sign(effect)::INT AS sign FROM e"
+SQL["first_seen_edges"] = "WITH k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) SELECT l_suppkey AS pre, l_partkey AS post, l_orderkey, round(l_quantity, 6) AS weight FROM k WHERE k = 1"
+SQL["mixture_coverage"] = f"WITH {EV}, a AS (SELECT compound // 3 AS mixture, receptor, value_m FROM ev WHERE compound % 3 < 2), g AS (SELECT DISTINCT a.mixture, b.receptor FROM a CROSS JOIN (SELECT DISTINCT receptor FROM a) b) SELECT mixture, count(*) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.mixture = g.mixture AND a.receptor = g.receptor AND value_m IS NOT NULL) GROUP BY 1"
+SQL["viewer_edges"] = f"WITH {BIG}, h AS (SELECT pre, post, round(weight, 6) AS weight FROM big WHERE weight >= 10) SELECT pre, post, weight, (SELECT count(*) FROM h) > 500 AS truncated FROM h ORDER BY weight DESC, pre, post LIMIT 500"
+SQL["response_sample_sizes"] = f"""WITH {engaged()}, e AS (SELECT compound, least(max(engagement), 0.5) AS f FROM en WHERE receptor LIKE 'insect%' GROUP BY 1 HAVING max(engagement) IS NOT NULL), p AS (SELECT *, 0.8::DOUBLE AS a, 0.8::DOUBLE * (1 - f) AS b, (0.8::DOUBLE + 0.8::DOUBLE * (1 - f)) / 2 AS m FROM e)
+SELECT compound, round(f, 9) AS drop, CASE WHEN f > 1e-9 THEN ceil(round(pow({__import__('statistics').NormalDist().inv_cdf(0.975)}::DOUBLE * sqrt(2 * m * (1 - m)) + {__import__('statistics').NormalDist().inv_cdf(0.8)}::DOUBLE * sqrt(a * (1 - a) + b * (1 - b)), 2) / pow(a - b, 2), 6))::BIGINT END AS per_group FROM p"""
+SQL["pairwise_concordance"] = "WITH p AS (SELECT p_brand, p_size AS s, avg(p_retailprice) AS y FROM part GROUP BY ALL) SELECT a.p_brand, count(*) AS pairs, count(*) FILTER (a.y < b.y) AS agree, round(count(*) FILTER (a.y < b.y) / count(*), 9) AS share FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.s < b.s GROUP BY 1"
+SQL["structure_separation"] = f"""WITH {EDGE}, o AS (SELECT pre AS body_id, sum(weight) AS out_weight, count(*)::DOUBLE AS out_degree FROM edge GROUP BY 1), i AS (SELECT post AS body_id, sum(weight) AS in_weight FROM edge GROUP BY 1), d AS (SELECT superclass, coalesce(in_weight, 0) AS a, coalesce(out_weight, 0) AS b, coalesce(out_degree, 0) AS c FROM o FULL JOIN i USING (body_id) JOIN node USING (body_id)),
+l AS (SELECT superclass, 'in_weight' AS statistic, a AS v FROM d UNION ALL SELECT superclass, 'out_weight', b FROM d UNION ALL SELECT superclass, 'out_degree', c FROM d), s AS (SELECT statistic, superclass, min(v) AS low, max(v) AS high FROM l GROUP BY 1, 2)
+SELECT statistic, superclass, round(low, 6) AS low, round(high, 6) AS high, lead(low) OVER (PARTITION BY statistic ORDER BY low, superclass) > high AS apart FROM s"""
+SQL["balance_report"] = f"""WITH {EDGE}, n AS (SELECT body_id, nt, i AS draw FROM node CROSS JOIN range(20) r(i)), p AS (SELECT draw, body_id, row_number() OVER (PARTITION BY draw ORDER BY md5('0:to:' || draw || ':' || body_id), body_id) AS k FROM n), l AS (SELECT draw, nt, row_number() OVER (PARTITION BY draw ORDER BY body_id) AS k FROM n),
+w AS (SELECT draw, nt, sum(weight) AS w FROM p JOIN l USING (draw, k) JOIN edge ON pre = body_id GROUP BY 1, 2), o AS (SELECT nt, sum(weight) AS real FROM lab GROUP BY 1), r AS (SELECT nt, coalesce(real, 0) AS real FROM (SELECT DISTINCT nt FROM node) LEFT JOIN o USING (nt))
+SELECT nt, round(max(real), 6) AS real, round(avg(w), 6) AS mean, round(coalesce(stddev_samp(w), 0), 4) AS sd, round(min(w), 6) AS low, round(max(w), 6) AS high, round(max(abs(w - real)), 6) AS most_off FROM w JOIN r USING (nt) GROUP BY 1"""
+SQL["source_overlap"] = r"WITH x AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+')) AS x FROM documents) SELECT a.lang AS a, b.lang AS b, count(*) AS shared FROM x a JOIN x b ON a.x = b.x AND a.lang < b.lang GROUP BY 1, 2"
+SQL["genotype_panel"] = f"""WITH {EV}, g AS (SELECT pos, genotype, pow(1e-6, n) / (pow(value_m * fold, n) + pow(1e-6, n)) AS y FROM ev CROSS JOIN (SELECT genotype, fold::DOUBLE AS fold FROM {values([('wild_type', 1.0), ('low', 2.0), ('high', 20.0)], 'genotype, fold')}) WHERE value_m IS NOT NULL AND receptor = 'insect_nAChR')
+SELECT pos, genotype, round(y, 9) AS engagement, round(y - max(CASE WHEN genotype = 'wild_type' THEN y END) OVER (PARTITION BY pos), 9) AS delta FROM g"""
+SQL["exposure_occupancy"] = "WITH c AS (SELECT s_suppkey AS subject, 1e-6 * (1 + s_suppkey % 7) * 0.5 * h * exp(-0.5 * h) AS c FROM supplier CROSS JOIN range(25) r(h)) SELECT subject, round(avg(c / (5e-7 + c)), 9) AS mean, round(max(c / (5e-7 + c)), 9) AS top FROM c GROUP BY 1"
+SQL["equivalence_margins"] = f"WITH t AS ({_TV}) SELECT body_id, round(0.05 * abs(vehicle), 6) AS margin, round(greatest(1e-6, 0.01 * abs(vehicle)), 8) AS floor, abs(delta) < 0.05 * abs(vehicle) AS within, abs(delta) <= greatest(1e-6, 0.01 * abs(vehicle)) AS no_effect FROM t"

@@ -14,7 +14,7 @@ def test_against_sql(spark, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES) and set(QUERIES) - set(SQL) == {"degree_preserving_rewire", "hill_fit", "spiking_network"}
+    assert set(SQL) <= set(QUERIES) and set(QUERIES) - set(SQL) == {"degree_preserving_rewire", "design_runs", "hill_fit", "sobol_budget", "spiking_network"}
 
 
 def test_rewiring_keeps_degrees(spark):
