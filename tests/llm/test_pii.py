@@ -41,3 +41,11 @@ def test_repeats_nulls_clashes(spark):
     out = pii.find(df)
     assert out.columns == ["doc_id", "text", "pii"] and [len(r.pii) for r in out.collect()] == [1, 1, 1]
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_random_strings(spark):
+    import random
+
+    r = random.Random(7)
+    kinds = ["a@.-_%+b ", "0123.4 .5", "41 1-2+(3). 9", "+1 (2)-3.x", "a1@b.2 +3.4-5\n"]
+    check(spark, [(i, "".join(r.choice(kinds[i % 5]) for _ in range(r.randrange(70)))) for i in range(3000)])
