@@ -41,8 +41,11 @@ MATCH, GRAM = 100, 32
 SPREAD = MATCH - GRAM + 1
 #: Windows of a document that are worked on at once, contexts of a task that are reduced at once, and bytes of a shard.
 SEGMENT, REDUCED, SHARD = 1 << 20, 2_000_000, 1 << 20
-#: Occurrences from which a gram counts as very frequent, and entries of the list of such grams, which is broadcast.
-HOT, MOST_HOT = 10_000, 1_000_000
+#: Occurrences from which a gram counts as very frequent, so that the contexts of one anchor fit in a shard, and entries of
+#: the list of such grams, which is broadcast.
+HOT, MOST_HOT = 4_000, 1_000_000
+#: What stands for a null id.
+NO_ID = -(1 << 63)
 
 _R = np.random.default_rng(4)
 _BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,9 +231,10 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` (a null becomes the least long), ``k`` (hash of the text) and ``text`` of documents that hold a window."""
-    i = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    return docs.select(i.alias("id"), F.hash(text_col).alias("k"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= MATCH)
+    """``id`` (a null becomes the least long), ``k`` (16 bits of a hash of the text), the text, and other columns."""
+    i = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    return docs.select(i.alias("__id"), F.hash(text_col).bitwiseAND(0xFFFF).alias("__k"), F.col(text_col).alias("__text"), *rest)
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -244,7 +248,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
             return pd.DataFrame({"a": a.view(np.int64), "n": n})[n >= 8]
 
         for part in batches:
-            for t in part["text"]:
+            for t in part["__text"]:
                 held.append(anchors(_bytes(t), none)[0])
                 total += len(held[-1])
                 if total > REDUCED:
@@ -253,43 +257,48 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         if held:
             yield often()
 
-    counts = docs.select("text").mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
+    counts = docs.select("__text").mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
     rows = counts.orderBy(F.desc("n"), "a").limit(MOST_HOT).collect()
     return np.sort(np.array([r["a"] for r in rows], np.int64).view(np.uint64))
 
 
 def _contexts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``a, c, id, k, s, e``: contexts, one of each content per task; with null ``c``, ranges that go for another context of the task."""
+    """Contexts, one of each content per task, and ranges that go for another context of the task, packed for the shuffle.
+
+    ``a``: hash of the anchor; ``ck``: 48 bits of the context's hash and 16 of the text's; ``id``; ``p``:
+    start and number of windows, or for a range, below 0, start and length.
+    """
     hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     def reduced(held: list[tuple]) -> pd.DataFrame:
         a, c, s, n, i, k = (np.concatenate([x[j] for x in held]) for j in range(6))
+        c &= ~np.uint64(0xFFFF)
         order = np.lexsort((s, k, i, c, a))
         a, c, s, n, i, k = (x[order] for x in (a, c, s, n, i, k))
         first = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
         same = np.r_[False, (s[1:] == s[:-1]) & (i[1:] == i[:-1]) & (k[1:] == k[:-1])]
         gone = ~first & ~same
-        names, doc = np.unique(np.stack([i, k.astype(np.int64)], 1)[gone], axis=0, return_inverse=True)
+        names, doc = np.unique(np.stack([i, k], 1)[gone], axis=0, return_inverse=True)
         d, start, end = merged(doc.ravel().astype(np.int64), s[gone], s[gone] + n[gone] + MATCH - 1)
-        key = mix((d + start * 1_000_003).astype(np.uint64))
-        whole = pd.DataFrame({"a": a[first].view(np.int64), "c": c[first].view(np.int64), "id": i[first], "k": k[first], "s": s[first], "e": s[first] + n[first] + MATCH - 1})
-        cut = pd.DataFrame({"a": key.view(np.int64), "c": None, "id": names[d, 0], "k": names[d, 1].astype(np.int32), "s": start, "e": end})
-        return pd.concat([whole.astype({"c": "Int64"}), cut.astype({"c": "Int64"})]) if len(cut) else whole
+        spread = mix((d + start * 1_000_003).astype(np.uint64)).view(np.int64)  # ranges have no anchor; they go anywhere
+        return pd.DataFrame({
+            "a": np.r_[a[first].view(np.int64), spread], "ck": np.r_[(c[first] | k[first].astype(np.uint64)).view(np.int64), names[d, 1]],
+            "id": np.r_[i[first], names[d, 0]], "p": np.r_[s[first] << 8 | n[first], -1 - (start << 31 | (end - start))]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, total = [], 0
         for part in batches:
             for i, k, t in part.itertuples(index=False):
                 found = anchors(_bytes(t), hot.value)
-                held.append((*found, np.full(len(found[0]), i, np.int64), np.full(len(found[0]), k, np.int32)))
+                held.append((*found, np.full(len(found[0]), i, np.int64), np.full(len(found[0]), k, np.int64)))
                 total += len(found[0])
                 if total > REDUCED:
                     yield reduced(held)
                     held, total = [], 0
-        if held:
+        if total:
             yield reduced(held)
 
-    return docs.select("id", "k", "text").mapInPandas(run, "a long, c long, id long, k int, s int, e int")
+    return docs.select("__id", "__k", "__text").mapInPandas(run, "a long, ck long, id long, p long")
 
 
 def _shards(contexts: DataFrame) -> DataFrame:
@@ -321,31 +330,38 @@ def _shards(contexts: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "id long, k int, s int, e int")
 
 
-def ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, k, s, e``: byte ranges that go, several of which may overlap."""
-    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
-    docs = _documents(docs, id_col, text_col)
-    contexts = _contexts(docs, _frequent(docs))
+def ranges(keyed: DataFrame) -> DataFrame:
+    """``id, k, s, e``: byte ranges of the documents of :func:`_documents` that go, several of which may overlap."""
+    spark, folder = keyed.sparkSession, shared_dir(keyed.sparkSession)
+    large = keyed.filter(F.octet_length("__text") >= MATCH)
+    packed = _contexts(large, _frequent(large)).repartition("a")  # unpacked after the shuffle
+    cut, p = F.col("p") < 0, F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p"))
+    rows = packed.select(
+        "a", F.when(~cut, F.shiftright("ck", 16)).alias("c"), "id", F.col("ck").bitwiseAND(0xFFFF).cast("int").alias("k"),
+        F.when(cut, F.shiftright(p, 31)).otherwise(F.shiftright(p, 8)).cast("int").alias("s"), F.when(cut, p.bitwiseAND((1 << 31) - 1)).otherwise(p.bitwiseAND(255) + MATCH - 1).cast("int").alias("n"))
     order, whole = Window.partitionBy("a").orderBy("c", "id", "k", "s"), Window.partitionBy("a")
     before = F.lag(F.struct("c", "id", "k", "s")).over(order)
-    seen = contexts.withColumns({"b": before, "low": F.min("c").over(whole), "high": F.max("c").over(whole)})
+    seen = rows.withColumns({"b": before, "low": F.min("c").over(whole), "high": F.max("c").over(whole)})
     again = F.coalesce(F.col("c") == F.col("b.c"), F.lit(False))
     same = again & (F.col("id") == F.col("b.id")) & (F.col("k") == F.col("b.k")) & (F.col("s") == F.col("b.s"))
     asks = F.col("c").isNotNull() & ~again & (F.col("low") != F.col("high"))
-    seen.filter((F.col("c").isNull() | again | asks) & ~same).select("a", "id", "k", "s", "e", asks.alias("asks")).write.parquet(f"{folder}/contexts")
+    seen.filter((F.col("c").isNull() | again | asks) & ~same).select("a", "id", "k", "s", (F.col("s") + F.col("n")).alias("e"), asks.alias("asks")).write.parquet(f"{folder}/contexts")
     seen = spark.read.parquet(f"{folder}/contexts")
     wanted = seen.filter("asks").groupBy("id", "k").agg(F.collect_list(F.struct("a", "s", "e")).alias("at"))
-    text = docs.join(wanted, ["id", "k"]).select("id", "k", F.col("text").cast("binary").alias("b"), F.explode("at").alias("x"))
+    text = keyed.join(wanted, (F.col("__id") == F.col("id")) & (F.col("__k") == F.col("k"))).select("id", "k", F.col("__text").cast("binary").alias("b"), F.explode("at").alias("x"))
     asked = text.select("x.a", "id", "k", "x.s", F.substring("b", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("bytes"))
     return seen.filter("not asks").select("id", "k", "s", "e").unionByName(_shards(asked))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns of ``docs`` plus ``n_bytes``, ``spans`` (removed byte ranges, joined where they meet) and ``kept`` (bytes that stay)."""
-    docs = replace_columns(docs, ["n_bytes", "spans", "kept"], [id_col, text_col])
-    gone = ranges(docs, id_col, text_col).groupBy("id", "k").agg(F.collect_list(F.struct("s", "e")).alias("__gone")).select(F.col("id").alias("__i"), F.col("k").alias("__k"), "__gone")
-    i = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    out = docs.withColumns({"__a": i, "__h": F.hash(text_col)}).join(gone, (F.col("__a") == F.col("__i")) & (F.col("__h") == F.col("__k")), "left")
+    """Columns of ``docs`` plus ``n_bytes``, ``spans`` (removed byte ranges, joined where they meet) and ``kept`` (bytes that stay).
+
+    Fetching contexts and cutting the texts use the same columns by the same keys, so that Spark shuffles the texts once for both.
+    """
+    docs = replace_columns(docs, ["n_bytes", "spans", "kept", "__id", "__k", "__text"], [id_col, text_col])
+    keyed = _documents(docs, id_col, text_col)
+    gone = ranges(keyed.select("__id", "__k", "__text")).groupBy(F.col("id").alias("__i"), F.col("k").alias("__h")).agg(F.collect_list(F.struct("s", "e")).alias("__gone"))
+    out = keyed.join(gone, (F.col("__id") == F.col("__i")) & (F.col("__k") == F.col("__h")), "left")
 
     def keep(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
         rows = []
@@ -361,5 +377,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"spans": [r[0] for r in rows], "kept": [r[1] for r in rows]})
 
     made = F.pandas_udf(keep, "spans array<struct<start:int,end:int>>, kept binary")
-    out = out.withColumn("__made", made(F.col(text_col), F.col("__gone")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), "__made.spans", "__made.kept")
+    out = out.withColumn("__made", made(F.col("__text"), F.col("__gone")))
+    back = {id_col: F.when(F.col("__id") != NO_ID, F.col("__id")).cast(docs.schema[id_col].dataType), text_col: F.col("__text")}
+    return out.select(*[back.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns], F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long").alias("n_bytes"), "__made.spans", "__made.kept")

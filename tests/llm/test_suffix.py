@@ -29,9 +29,9 @@ def expected(docs):
 
 
 def check(spark, docs, parts=4):
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("KEPT", F.lit(1)).withColumn("s", F.lit("x")).repartition(parts)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("KEPT", F.lit(1)).withColumn("s", F.lit("x")).withColumn("id", F.lit(1)).withColumn("k", F.lit(2)).repartition(parts)
     found = S.remove_repeats(df)
-    assert found.columns == ["doc_id", "text", "s", "n_bytes", "spans", "kept"]
+    assert found.columns == ["doc_id", "text", "s", "id", "k", "n_bytes", "spans", "kept"]
     got = {r.doc_id: (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), brute.sha(bytes(r.kept))) for r in found.collect()}
     assert got == expected(docs)
 
