@@ -127,7 +127,7 @@ def rates(edges: DataFrame, nodes: DataFrame, drive: DataFrame, gains: dict[str,
     costs a few steps at most.
     """
     g = {k: 1.0 for k in dims.GAINS} | (gains or {})
-    signed = labelled(edges, nodes).groupBy("pre", "post", "nt").agg(F.sum("weight").alias("weight")).withColumn("w", F.col("weight") * sign_of(F.col("nt")))
+    signed = cut(labelled(edges, nodes).groupBy("pre", "post", "nt").agg(F.sum("weight").alias("weight")).withColumn("w", F.col("weight") * sign_of(F.col("nt"))))
     if normalise == "row_abs":
         by = F.greatest(F.sum(F.abs("w")), F.lit(1.0))
     elif normalise == "degree":

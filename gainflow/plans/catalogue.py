@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, pharm
+from ..lineage import cut
 from ..operators import engagement as E
 from ..operators import graph as G
 from ..operators import kernels as K
@@ -240,8 +241,8 @@ def three_hop_paths(spark, d):
     return _paths(spark, d, 3)
 
 
-def _rates(spark, d, gains=None, normalise="row_abs", steps=10):
-    e, n = graph(spark, d)
+def _rates(spark, d, gains=None, normalise="row_abs", steps=10, of=None):
+    e, n = of or graph(spark, d)
     return G.rates(e, n, seeds(n).withColumn("hz", F.lit(40.0)), gains, normalise, steps)
 
 
@@ -264,7 +265,9 @@ def rate_by_superclass(spark, d):
 
 @query
 def treated_minus_vehicle(spark, d):
-    a, b = _rates(spark, d).withColumnRenamed("hz", "vehicle"), _rates(spark, d, TREATED).withColumnRenamed("hz", "treated")
+    e, n = graph(spark, d)
+    of = (cut(e), n)  # both arms run on one graph
+    a, b = _rates(spark, d, of=of).withColumnRenamed("hz", "vehicle"), _rates(spark, d, TREATED, of=of).withColumnRenamed("hz", "treated")
     return a.join(b, "body_id").select("body_id", r("vehicle").alias("vehicle"), r("treated").alias("treated"), r(F.col("treated") - F.col("vehicle")).alias("delta"))
 
 
@@ -475,9 +478,10 @@ def circuit_disruption(spark, d):
 
 @query
 def normalisation_signs(spark, d):
-    parts = []
+    e, n = graph(spark, d)
+    parts, of = [], (cut(e), n)
     for how in ("row_abs", "none", "degree"):
-        a, b = (_rates(spark, d, g, how).agg(F.avg("hz").alias("hz")) for g in (None, TREATED))
+        a, b = (_rates(spark, d, g, how, of=of).agg(F.avg("hz").alias("hz")) for g in (None, TREATED))
         parts.append(b.crossJoin(a.withColumnRenamed("hz", "vehicle")).select(F.lit(how).alias("normalise"), r(F.col("hz") - F.col("vehicle")).alias("effect")))
     return G.union_all(parts).withColumn("sign", F.signum("effect").cast("int"))
 
