@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from ._common import KEY, fixed, replace_columns, shared_dir, with_key
 
 MIN_WORDS = 10
+#: Documents and lines (some 40 bytes each) whose places are broadcast to fetch their words; beyond, the join shuffles.
+SENT = 500_000
 #: Words of a block, within which beginnings are hashed one by one.
 BLOCK = 64
 
@@ -112,7 +114,11 @@ def decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = half.groupBy("half").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).filter("low < high").select("half")
     wanted = half.join(shared, "half").groupBy("l1").agg(F.max(F.col("which") % 2 == 0).alias("after"), F.max(F.col("which") % 2 == 1).alias("before"))
     wanted = each.join(wanted, "l1").groupBy(*KEY).agg(F.collect_list(F.struct("no", "l1", "before", "after")).alias("at"))
-    text = docs.join(wanted, list(KEY)).select("__id", F.split("__text", "\n", -1).alias("all"), "at")
+    wanted.write.parquet(f"{folder}/asked")
+    wanted = spark.read.parquet(f"{folder}/asked")
+    few = wanted.agg(F.count("*").alias("n"), F.sum(F.size("at")).alias("lines")).first()
+    few = few["n"] + (few["lines"] or 0) <= SENT
+    text = docs.join(F.broadcast(wanted) if few else wanted, list(KEY)).select("__id", F.split("__text", "\n", -1).alias("all"), "at")
     text = text.select("__id", "all", F.explode("at").alias("a")).select("__id", "a.*", line_words(F.get("all", F.col("a.no"))).alias("w"))
     text.dropDuplicates(["l1"]).write.parquet(f"{folder}/wanted")
     wanted = spark.read.parquet(f"{folder}/wanted")
