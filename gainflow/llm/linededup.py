@@ -127,11 +127,15 @@ def decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     heads = keys.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     found = keys.join(heads, "key").filter(F.col("head") < place).groupBy("l1").agg(F.min("head").alias("head")).select("l1", F.col("head.l1").alias("by"))
     found = found.join(wanted.select("l1", "w"), "l1").join(wanted.select(F.col("l1").alias("by"), F.col("w").alias("by_w")), "by")
-    found = found.filter(near(F.col("w"), F.col("by_w"))).select("l1", F.lit(True).alias("near"))
+    found.filter(near(F.col("w"), F.col("by_w"))).select("l1", F.hash("w").alias("l2")).write.parquet(f"{folder}/near")
+    found = spark.read.parquet(f"{folder}/near")
 
-    flags = each.join(found, "l1", "left").filter("copies > 1 or near").select("l1", "l2", F.col("__id").alias("id0"), F.col("no").alias("no0"), F.coalesce("near", F.lit(False)).alias("near"))
+    # lines that stand more than once keep their first place, near ones none
+    twice = each.filter("copies > 1").join(found, ["l1", "l2"], "left_anti").select("l1", "l2", F.col("__id").alias("id0"), F.col("no").alias("no0"), F.lit(False).alias("near"))
+    none = F.lit(None)
+    flags = twice.unionByName(found.select("l1", "l2", none.cast(docs.schema["__id"].dataType).alias("id0"), none.cast("int").alias("no0"), F.lit(True).alias("near")))
     at = lines.select(*KEY, "__id", "no", "l1", "l2").join(flags, ["l1", "l2"])
-    later = ~(F.col("__id").eqNullSafe(F.col("id0")) & (F.col("no") == F.col("no0")))
+    later = ~(F.col("__id").eqNullSafe(F.col("id0")) & F.col("no").eqNullSafe(F.col("no0")))
     return at.filter(F.col("near") | later).groupBy(*KEY).agg(F.collect_set("no").alias("gone"))
 
 
