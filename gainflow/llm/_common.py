@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 KEY = ("__k1", "__k2")
 
 
+#: Rows of an Arrow batch that carries whole texts to a Python worker: Spark's own 10,000 may be gigabytes of long texts.
+TEXT_ROWS = 500
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """Keep the session's Arrow batches small, for Python stages that get whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

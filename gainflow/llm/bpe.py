@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import text_batches
+
 #: The byte-level pre-tokenizer's pattern, with Unicode white space spelt out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = np.int64(1) << 62
@@ -171,7 +173,7 @@ def _mapped(df: DataFrame, path: str, outputs: list[T.StructField], rows) -> Dat
     taken = {f.name.lower() for f in outputs}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    return df.mapInPandas(lambda batches: rows(vocabulary.value, batches), T.StructType([*df.schema.fields, *outputs]))
+    return text_batches(df).mapInPandas(lambda batches: rows(vocabulary.value, batches), T.StructType([*df.schema.fields, *outputs]))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import replace_columns
+from ._common import replace_columns, text_batches
 
 #: Documents of each label in the fitting sample, how many of them make the dictionary, and the longest taken.
 SAMPLE, FOR_DICTIONARY, TRAIN_CHARS = 4000, 1200, 20_000
@@ -139,4 +139,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for part in batches:
             yield part.assign(score=of(part[text_col].fillna("").tolist()))
 
-    return docs.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return text_batches(docs).mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import replace_columns, shared_dir
+from ._common import replace_columns, shared_dir, text_batches
 
 #: Bytes of a match, of an anchor, and positions among which an anchor is the least.
 MATCH, GRAM = 100, 32
@@ -358,7 +358,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Fetching contexts and cutting the texts use the same columns by the same keys, so that Spark shuffles the texts once for both.
     """
-    docs = replace_columns(docs, ["n_bytes", "spans", "kept", "__id", "__k", "__text"], [id_col, text_col])
+    docs = replace_columns(text_batches(docs), ["n_bytes", "spans", "kept", "__id", "__k", "__text"], [id_col, text_col])
     keyed = _documents(docs, id_col, text_col)
     gone = ranges(keyed.select("__id", "__k", "__text")).groupBy(F.col("id").alias("__i"), F.col("k").alias("__h")).agg(F.collect_list(F.struct("s", "e")).alias("__gone"))
     out = keyed.join(gone, (F.col("__id") == F.col("__i")) & (F.col("__k") == F.col("__h")), "left")
