@@ -90,6 +90,30 @@ def test_chain_of_near_copies_and_common_passage(spark):
     assert M.classes(df.limit(0)).count() == 0
 
 
+def test_large_bucket_is_finished(spark):
+    """A family below the bound, all in one bucket, with near copies of single members: leaders link with nobody."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+
+    def changed(w, n):
+        w = w[:]
+        for k in r.sample(range(len(w)), n):
+            w[k] = word()
+        return w
+
+    base = [word() for _ in range(404)]
+    family = [changed(base, 7) for _ in range(80)]
+    texts = [" ".join(w) for w in family + [changed(w, 8) for w in family[:20]]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sig = M.signatures(df, "doc_id", "text").withColumn("bands", F.array(F.lit(1).cast("long"))).localCheckpoint()
+    name = {bytes(x.node): x.id for x in sig.collect()}
+    found, root = M.links(df, sig, "doc_id", "text")
+    want = expected(texts)
+    assert len(set(want)) == 80
+    assert {tuple(sorted((name[bytes(x.lead)], name[bytes(x.node)]))) for x in found.collect()} == {(k, i) for i, k in enumerate(want) if i != k}
+    assert root.count() == 40
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (102, 101), (101, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "x int, y int"), "x", "y").collect()}
