@@ -5,7 +5,9 @@ window of ``n`` consecutive benchmark words (a shorter item: all its words) goes
 set of the n-grams themselves, so that a hit in the broadcast join is at once verified by
 equality of all its words. The set's windows each have an anchor, their longest word; a second
 hash set of anchors with their offsets tells which windows of a document can be in the set at
-all, and only those are put together and looked up. No window that could hit is left out.
+all, and only those are put together and looked up. No window that could hit is left out. A set too
+large to be sent is joined by 64-bit hashes of windows, one row for each window of a document, and
+only windows whose hash is in the set are put together and compared word by word.
 
 Defined results: a null or empty text has no words and no hits; a null id is kept; repeated rows
 get equal results; an empty benchmark or document table gives no hits or no rows; input columns
@@ -48,15 +50,31 @@ def _anchors(windows: DataFrame) -> DataFrame:
     return w.select("width", longest.alias("a")).select(F.col("a.word").alias("anchor"), (-F.col("a.before")).alias("offset"), "width").distinct()
 
 
-def _hits(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
-    """Key, position and width of each window of a document that is in the set, with its items."""
-    sent = F.broadcast if small else lambda x: x
+def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Key, position and width of each window of a document that is in the set, with its items; the set is broadcast."""
     each = docs.select(*KEY, words(F.col("__text")).alias("w")).select(*KEY, "w", F.posexplode("w").alias("i", "anchor"))
     at = F.col("i") - F.col("offset")
     fits = (at >= 0) & (at + F.col("width") <= F.size("w"))
-    near = each.join(sent(_anchors(windows)), "anchor")
+    near = each.join(F.broadcast(_anchors(windows)), "anchor")
     grams = near.select(*KEY, at.alias("pos"), F.when(fits, F.array_join(F.slice("w", at + 1, F.col("width")), " ")).alias("gram"))
-    return grams.join(sent(windows), "gram")
+    return grams.join(F.broadcast(windows), "gram")
+
+
+def _shuffled_hits(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
+    """What :func:`_hits` returns, for a set of any size: rows before the filter hold a key, a place and a hash, no words."""
+    hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    known = windows.select("width", F.xxhash64(hashes(F.split("gram", " "))).alias("h")).distinct()
+    own = fixed(docs.select(*KEY, "__text"), __h=hashes(words(F.col("__text")))).select(*KEY, "__h")
+
+    def places(width: int) -> Column:
+        first = F.when(F.size("__h") >= width, F.sequence(F.lit(0), F.size("__h") - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(first, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(F.slice("__h", i + 1, width)).alias("h")))
+
+    each = own.select(*KEY, F.explode(F.concat(*map(places, widths))).alias("x")).select(*KEY, "x.*")
+    near = each.join(known, ["width", "h"]).groupBy(*KEY).agg(F.collect_set(F.struct("pos", "width")).alias("__at"))
+    text = fixed(docs.select(*KEY, "__text").join(near, list(KEY)), __w=words(F.col("__text")))
+    gram = F.transform("__at", lambda p: F.struct(p["pos"].alias("pos"), F.array_join(F.slice("__w", p["pos"] + 1, p["width"]), " ").alias("gram")))
+    return text.select(*KEY, F.explode(gram).alias("x")).select(*KEY, "x.*").join(windows, "gram")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
@@ -76,7 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if not sizes:
         return docs.drop(*KEY).select("*", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("hits"), F.array().cast(item_type).alias("items"), F.lit(False).alias("contaminated"))
     small = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
-    found = _hits(text, windows, small)
+    found = _hits(text, windows) if small else _shuffled_hits(text, windows, [r["width"] for r in sizes])
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda h: F.sequence(h["pos"], h["pos"] + h["width"] - 1)))))
     hits = found.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "width")).alias("at"), F.collect_set("items").alias("sets")).select(
         *KEY, covered.alias("__hits"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("__items"))

@@ -35,6 +35,21 @@ def test_corpus(spark):
     assert op10_decontamination(spark, SF).columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+def test_set_too_large_to_send(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_hand_cases(spark)
+        test_modes_and_empty(spark)
+        written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+        before, w = written(), [f"{i:x}{i * 7919 % 10007:x}" for i in range(4000)]
+        check(spark, [(1, " ".join(w)), (2, " ".join(w[100:120]))], [(1, " ".join(w))])
+        assert written() - before < 10 << 20  # a document's words don't go with each of its words
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_modes_and_empty(spark):
     docs = spark.createDataFrame([(1, "Keep. One two three! Rest", 9), (2, "nothing here", 8), (2, "nothing here", 8), (None, None, 7)], "doc_id long, text string, items int")
     bench = frame(spark, [(1, "one two three")], ["item_id", "text"])
