@@ -8,20 +8,30 @@ GRAM-byte grams inside every window of MATCH bytes, that of least hash is its an
 have equal anchors. Runs of windows with one anchor make a context. Contexts are shuffled by their
 anchors' hashes only, without their bytes:
 
-* a context equal to an earlier one goes as a whole;
+* a context equal to an earlier one (by 128 bits of hash, beside the anchor's 64) goes as a whole;
 * where an anchor has several different contexts, the first of each is fetched and sent to the
-  anchor's shard. There a run-length Burrows-Wheeler index with sampled run ends is built over the
-  shard's contexts, their matching statistics are streamed through it, and every match of MATCH
-  bytes or more that has an earlier place is marked;
+  anchor's shard. There run-length Burrows-Wheeler indexes with samples at the ends of runs are built
+  over earlier contexts, and the matching statistics of later contexts are streamed through them;
+  matches of MATCH bytes or more go. Lengths come from comparing bytes at the sampled places;
 * contexts of an anchor that occurs nowhere else are unique.
 
+Earlier and later: the contexts of an anchor are numbered by place. From the highest bit of these
+numbers down, contexts with bit 0 are indexed and those with bit 1 streamed, and what matches is
+taken out of both before the next bit. Contexts that differ in a higher bit then have no window in
+common any more, so one index serves all anchors of a shard at once, and after the last bit exactly
+the first of each window is left.
+
 Equal contexts are first reduced to one inside each task. Grams that occur very often are listed
 beforehand and serve as anchors only of windows that hold no other gram, so the surroundings of a
-very common passage are dealt by what differs in them and no anchor gathers a large part of the rows.
-
-Defined results: null text has no bytes; repeated rows (equal id and text) get equal results and
-don't remove one another's bytes; ids are integers, and a null id comes first; equal ids with
-different texts are told apart, and ordered, by a hash of the text.
+very common passage are dealt by what differs in them. An anchor that has more than CROWDED different
+contexts nevertheless is decided window by window, by an aggregate over 128-bit hashes of the windows
+that combines before its shuffle: no index exceeds a fixed size.
+
+Defined results: null text has no bytes; an empty table gives no rows; repeated rows (equal id and
+text) get equal results and don't remove one another's bytes; ids are integers, and a null id comes
+first; equal ids with different texts are told apart, and ordered, by a hash of the text; very long
+texts are worked on SEGMENT windows at a time and never cut; input columns named like an output
+column are replaced by it.
 """
 
 from __future__ import annotations
@@ -41,15 +51,16 @@ MATCH, GRAM = 100, 32
 SPREAD = MATCH - GRAM + 1
 #: Windows of a document that are worked on at once, contexts of a task that are reduced at once, and bytes of a shard.
 SEGMENT, REDUCED, SHARD = 1 << 20, 2_000_000, 1 << 20
-#: Occurrences from which a gram counts as very frequent, so that the contexts of one anchor fit in a shard, and entries of
-#: the list of such grams, which is broadcast.
+#: Occurrences from which a gram counts as very frequent, and entries (8 bytes each) of the list of such grams, which is broadcast.
 HOT, MOST_HOT = 4_000, 1_000_000
+#: Different contexts (of at most 2 MATCH bytes) of one anchor up to which they are indexed together.
+CROWDED = 4_000
 #: What stands for a null id.
 NO_ID = -(1 << 63)
 
 _R = np.random.default_rng(4)
 _BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OTHER = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER, _THIRD = (_R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _STEP = _R.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -99,7 +110,7 @@ def least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, context hash, first window, and number of windows, for each run of windows with one anchor.
+    """Anchor hash, two context hashes, first window, and number of windows, for each run of windows with one anchor.
 
     Grams in the sorted list ``hot`` are anchors only of windows that have no others.
     """
@@ -115,102 +126,153 @@ def anchors(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
         count = np.diff(np.r_[first, len(pos)])
         up, down = Powers.to(len(part))
-        pre = np.r_[np.uint64(0), np.cumsum(_OTHER[part] * up, dtype=np.uint64)]
-        c = (pre[first + count + MATCH - 1] - pre[first]) * down[first]
-        c = mix(mix(c) + (pos[first] - first).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + count.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-        out.append((h[pos[first]], c, first + s, count))
-    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        shape = (pos[first] - first).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + count.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        both = []
+        for code in (_OTHER, _THIRD):
+            pre = np.r_[np.uint64(0), np.cumsum(code[part] * up, dtype=np.uint64)]
+            both.append(mix(mix((pre[first + count + MATCH - 1] - pre[first]) * down[first]) + shape))
+        out.append((h[pos[first]], *both, first + s, count))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(np.zeros(0, t) for t in (*[np.uint64] * 3, *[np.int64] * 2))
+
+
+def joined(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``data`` one after the other as symbols from 1 on, each followed by a 0, and where the zeros stand."""
+    size = stop - start + 1
+    ends = np.cumsum(size) - 1
+    at = np.arange(size.sum()) + np.repeat(start - (ends - size + 1), size)
+    text = data[np.minimum(at, max(0, len(data) - 1))].astype(np.int64) + 1 if len(data) else np.zeros(len(at), np.int64)
+    text[ends] = 0
+    return text, ends
+
+
+#: Symbols of 9 bits that are packed into one number, and its least values with their first, second, ... last symbol above 0.
+PACKED = 7
+_LEAST = np.int64(1) << np.arange(0, 9 * PACKED, 9)
+
+
+def packed(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """From each place on PACKED symbols, zeros beyond the end of its piece."""
+    left = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(len(text))
+    wide, out = np.r_[text, np.zeros(PACKED, np.int64)], np.zeros(len(text), np.int64)
+    for i in range(PACKED):
+        out = out << 9 | np.where(left > i, wide[i : i + len(text)], 0)
+    return out
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform of some strings, each ended by a least symbol.
+    """A run-compressed Burrows-Wheeler transform of :func:`joined` pieces, with samples of the suffix array at the ends of runs.
 
-    Kept are the runs (symbol, start, rank of the symbol before the run), samples of the suffix array
-    at both ends of every run, and, for each interval of suffixes that agree in their first MATCH
-    bytes, its earliest place in the text. The plain transform and suffix array are dropped.
+    Kept are the text, and for each run its symbol, its first row, the row to which that steps back,
+    and the places of its first and last suffix. Suffixes end with their piece; equal ones follow the
+    order of the pieces. The plain transform and the suffix array are dropped.
     """
 
-    def __init__(self, strings: list[bytes]):
-        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.ends = np.cumsum(sizes + 1) - 1
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-        text[self.ends] = 0
-        sa, agree = self._sorted(text)
-        n = len(text)
-        bwt = text[sa - 1]
-        bwt[sa == 0] = 0
+    def __init__(self, text: np.ndarray, ends: np.ndarray):
+        self.packed = packed(text, ends)
+        sa = self._sorted(self.packed, ends)
+        bwt = np.where(sa > 0, text[sa - 1], 0)
+        self.n, self.first = len(text), int(sa[0])
         self.starts = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         self.symbol = bwt[self.starts]
-        length = np.diff(np.r_[self.starts, n])
-        self.sample = np.stack([sa[self.starts], sa[self.starts + length - 1]])
-        order = np.argsort(self.symbol, kind="stable")
-        before = np.cumsum(length[order]) - length[order]
-        self.target = np.empty(len(order), np.int64)  # row to which the first row of a run steps
-        self.target[order] = before
-        # intervals of at least two suffixes with equal first MATCH bytes
-        first = np.flatnonzero(np.r_[True, agree[1:] != agree[:-1]])
-        count = np.diff(np.r_[first, n])
-        earliest = np.minimum.reduceat(sa, first)
-        keep = count > 1
-        self.low, self.high, self.earliest = first[keep], first[keep] + count[keep], earliest[keep]
-        self.n = n
+        length = np.diff(np.r_[self.starts, self.n])
+        self.last = self.starts + length - 1
+        self.sample = np.stack([sa[self.starts], sa[self.last]])
+        self.by_symbol = np.argsort(self.symbol, kind="stable")
+        self.target = np.empty(len(length), np.int64)
+        self.target[self.by_symbol] = np.cumsum(length[self.by_symbol]) - length[self.by_symbol]
+        self.key = self.symbol[self.by_symbol] * len(length) + self.by_symbol
 
     @staticmethod
-    def _sorted(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in order (ties past a string's end by place), and classes of equal first MATCH bytes; suffixes shorter than that are alone."""
-        n = len(text)
-        ended = np.flatnonzero(text == 0)
-        left = ended[np.searchsorted(ended, np.arange(n))] - np.arange(n)  # bytes up to the string's end
-        padded = np.r_[text, np.zeros(8, np.int64)]
-        key = np.zeros(n, np.int64)
-        for i in range(7):  # 9 bits a symbol
-            key = key << 9 | np.where(left > i, padded[i : i + n], 0)
-        depth, at, most = 7, None, int(left.max()) + 1
-        rank = np.unique(key, return_inverse=True)[1]
-        equal = None
+    def _sorted(key: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The suffix array, by prefix doubling."""
+        n, at = len(key), np.arange(len(key))
+        left = np.repeat(ends, np.diff(np.r_[-1, ends])) - at
+        depth, most = PACKED, int(left.max()) + 1
         while True:
-            if equal is None and depth * 2 >= MATCH:
-                far = np.minimum(np.arange(n) + MATCH - depth, n - 1)
-                equal = np.where(left >= MATCH, rank * np.int64(n + 1) + rank[far], -1 - np.arange(n))
-            if depth >= most and equal is not None:
-                break
-            far = np.arange(n) + depth
-            key = rank * np.int64(n + 1) + np.where(left >= depth, rank[np.minimum(far, n - 1)] + 1, 0)
-            at = np.argsort(key)
-            new = np.empty(n, np.int64)
-            sorted_ = key[at]
-            new[at] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
-            rank, depth = new, depth * 2
-        sa = np.argsort(rank, kind="stable")
-        return sa, equal[sa]
-
-    def step(self, row: np.ndarray) -> np.ndarray:
-        """The row of the suffix that begins one byte earlier."""
-        run = np.searchsorted(self.starts, row, side="right") - 1
-        return self.target[run] + row - self.starts[run]
-
-    def statistics(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stream all strings backwards through the index: string, place and earliest place of each match of MATCH bytes or more."""
-        row, place = np.arange(len(self.ends)), self.ends.copy()  # the ends are the first rows, in the strings' order
-        begin = np.r_[0, self.ends[:-1] + 1]
-        name, out = np.arange(len(self.ends)), []
-        while len(row):
-            on = place > begin[name]
-            row, place, name = self.step(row[on]), place[on] - 1, name[on]
-            if not len(self.low):
-                break
-            k = np.searchsorted(self.low, row, side="right") - 1
-            hit = (k >= 0) & (row < self.high[k])
-            out.append((name[hit], place[hit] - begin[name[hit]], self.earliest[k[hit]]))
-        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
-
-
-def repeated_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """String and offset of each window of MATCH bytes that also begins in an earlier place of the list."""
-    index = RunLengthIndex(strings)
-    name, at, earliest = index.statistics()
-    later = earliest < np.r_[0, index.ends[:-1] + 1][name] + at
-    return name[later], at[later]
+            sa = np.argsort(key, kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[sa] = np.cumsum(np.r_[0, key[sa][1:] != key[sa][:-1]])
+            if depth >= most or rank[sa[-1]] == n - 1:
+                return sa
+            key = rank * np.int64(n + 1) + np.where(left >= depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+            depth *= 2
+
+    def agree(self, place: np.ndarray, query: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Symbols, up to ``most``, in which the text from ``place`` and the packed query from ``at`` agree."""
+        n, on = np.zeros(len(place), np.int64), np.flatnonzero(most > 0)
+        while len(on):
+            differ = np.searchsorted(_LEAST, self.packed[place[on] + n[on]] ^ query[at[on] + n[on]], side="right")
+            n[on] += PACKED - differ
+            on = on[(differ == 0) & (n[on] < most[on])]
+        return np.minimum(n, most)
+
+    def matches(self, text: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Stream other pieces backwards through the index, all at once: the places from which at least ``least`` symbols match, and where.
+
+        Each piece keeps a row, its place in the text, and the length of the match there. Where the
+        row's symbol is the next one, all three step back. Else the nearest runs of that symbol above
+        and below hold the best continuations; their samples give the places at which to compare.
+        """
+        query, begin = packed(text, ends), np.r_[0, ends[:-1] + 1]
+        at, row, place, length, found = ends.copy(), np.zeros(len(ends), np.int64), np.full(len(ends), self.first), np.zeros(len(ends), np.int64), []
+        while len(at):
+            on = at > begin
+            at, begin, row, place, length = (x[on] for x in (at, begin, row, place, length))
+            c = text[at - 1]
+            run = np.searchsorted(self.starts, row, side="right") - 1
+            row, place = self.target[run] + row - self.starts[run], place - 1
+            j = np.flatnonzero(self.symbol[run] != c)
+            if len(j):
+                k = np.searchsorted(self.key, c[j] * len(self.starts) + run[j])
+                best, new, row[j], place[j] = np.full(len(j), -1), np.full(len(j), -1), 0, self.first
+                for side, near in ((1, k - 1), (0, k)):
+                    other = self.by_symbol[np.clip(near, 0, len(self.key) - 1)]
+                    ok = (near >= 0) & (near < len(self.key)) & (self.symbol[other] == c[j])
+                    same = np.where(ok, self.agree(self.sample[side, other], query, at[j], np.where(ok, length[j], 0)), -1)
+                    better = same > new
+                    new, best = np.where(better, same, new), np.where(better, 2 * other + side, best)
+                hit = best >= 0
+                other, side = best[hit] // 2, best[hit] % 2
+                row[j[hit]] = self.target[other] + np.where(side == 1, self.last[other] - self.starts[other], 0)
+                place[j[hit]] = self.sample[side, other] - 1
+                length[j] = new
+            length, at = length + 1, at - 1
+            long = length >= least
+            found.append((at[long], place[long]))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 2
+
+
+def repeated_windows(anchor: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of each window of MATCH bytes that also begins in an earlier string of the same anchor.
+
+    Strings of one anchor stand together; no window occurs twice in a string, nor under two anchors.
+    """
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    begin = np.cumsum(size) - size
+    first = np.r_[True, anchor[1:] != anchor[:-1]] if len(anchor) else np.zeros(0, bool)
+    rank = np.arange(len(size)) - np.maximum.accumulate(np.where(first, np.arange(len(size)), 0))
+    members = np.diff(np.r_[np.flatnonzero(first), len(size)])[np.cumsum(first) - 1]
+    window = np.ones(len(data), bool)
+    short = np.minimum(size, MATCH - 1)
+    window[np.arange(short.sum()) + np.repeat(begin + size - np.cumsum(short), short)] = False
+    alive = window.copy()
+    for bit in range(int(members.max() - 1).bit_length() - 1 if len(size) else -1, -1, -1):
+        edge = np.flatnonzero(np.diff(np.r_[False, alive, False].astype(np.int8)))
+        start, stop = edge[::2], edge[1::2] + MATCH - 1
+        of = np.searchsorted(begin, start, side="right") - 1
+        both = (rank[of] >> (bit + 1) << (bit + 1)) + (1 << bit) < members[of]
+        later = rank[of] >> bit & 1 == 1
+        early, late = np.flatnonzero(both & ~later), np.flatnonzero(later)
+        if not len(early) or not len(late):
+            continue
+        text, ends = joined(data, start[late], stop[late])
+        at, _ = RunLengthIndex(*joined(data, start[early], stop[early])).matches(text, ends, MATCH)
+        piece = np.searchsorted(ends, at)
+        alive[at - np.r_[0, ends[:-1] + 1][piece] + start[late][piece]] = False
+    gone = np.flatnonzero(window & ~alive)
+    name = np.searchsorted(begin, gone, side="right") - 1
+    return name, gone - begin[name]
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +307,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
         def often() -> pd.DataFrame:
             a, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"a": a.view(np.int64), "n": n})[n >= 8]
+            return pd.DataFrame({"a": a.view(np.int64), "n": n})[n > 1]  # what is single in every task has at most one in REDUCED of all
 
         for part in batches:
             for t in part["__text"]:
@@ -265,25 +327,23 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 def _contexts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """Contexts, one of each content per task, and ranges that go for another context of the task, packed for the shuffle.
 
-    ``a``: hash of the anchor; ``ck``: 48 bits of the context's hash and 16 of the text's; ``id``; ``p``:
-    start and number of windows, or for a range, below 0, start and length.
+    ``a``: hash of the anchor; ``c, d``: hashes of the context; ``id``; ``p``: 16 bits of the text's
+    hash, start and number of windows. For a range ``p`` is below 0 and holds those 16 bits, ``c`` its start, ``d`` its length.
     """
     hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     def reduced(held: list[tuple]) -> pd.DataFrame:
-        a, c, s, n, i, k = (np.concatenate([x[j] for x in held]) for j in range(6))
-        c &= ~np.uint64(0xFFFF)
-        order = np.lexsort((s, k, i, c, a))
-        a, c, s, n, i, k = (x[order] for x in (a, c, s, n, i, k))
-        first = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
+        a, c, d, s, n, i, k = (np.concatenate([x[j] for x in held]) for j in range(7))
+        order = np.lexsort((s, k, i, d, c, a))
+        a, c, d, s, n, i, k = (x[order] for x in (a, c, d, s, n, i, k))
+        first = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
         same = np.r_[False, (s[1:] == s[:-1]) & (i[1:] == i[:-1]) & (k[1:] == k[:-1])]
         gone = ~first & ~same
         names, doc = np.unique(np.stack([i, k], 1)[gone], axis=0, return_inverse=True)
-        d, start, end = merged(doc.ravel().astype(np.int64), s[gone], s[gone] + n[gone] + MATCH - 1)
-        spread = mix((d + start * 1_000_003).astype(np.uint64)).view(np.int64)  # ranges have no anchor; they go anywhere
-        return pd.DataFrame({
-            "a": np.r_[a[first].view(np.int64), spread], "ck": np.r_[(c[first] | k[first].astype(np.uint64)).view(np.int64), names[d, 1]],
-            "id": np.r_[i[first], names[d, 0]], "p": np.r_[s[first] << 8 | n[first], -1 - (start << 31 | (end - start))]})
+        doc, start, end = merged(doc.ravel().astype(np.int64), s[gone], s[gone] + n[gone] + MATCH - 1)
+        spread = mix((doc + start * 1_000_003).astype(np.uint64))  # ranges have no anchor; they go anywhere
+        whole = lambda x, y: np.r_[x[first].view(np.int64), y.view(np.int64)]
+        return pd.DataFrame({"a": whole(a, spread), "c": whole(c, start), "d": whole(d, end - start), "id": whole(i, names[doc, 0]), "p": whole(k << 40 | s << 8 | n, -1 - names[doc, 1])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, total = [], 0
@@ -298,15 +358,15 @@ def _contexts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         if total:
             yield reduced(held)
 
-    return docs.select("__id", "__k", "__text").mapInPandas(run, "a long, ck long, id long, p long")
+    return docs.select("__id", "__k", "__text").mapInPandas(run, "a long, c long, d long, id long, p long")
 
 
 def _shards(contexts: DataFrame) -> DataFrame:
     """``id, k, s, e``: what goes of the contexts ``a, id, k, s, bytes``, by one index for each SHARD bytes of whole anchors."""
 
     def marked(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "k", "s"]).drop_duplicates(["id", "k", "s"])
-        name, at = repeated_windows(rows["bytes"].tolist())
+        rows = rows.drop_duplicates(["a", "id", "k", "s"])
+        name, at = repeated_windows(rows["a"].to_numpy(), rows["bytes"].tolist())
         n, start, end = merged(name, at, at + MATCH)
         own = rows.iloc[n]
         return pd.DataFrame({"id": own["id"].to_numpy(), "k": own["k"].to_numpy(), "s": own["s"].to_numpy() + start, "e": own["s"].to_numpy() + end})
@@ -330,27 +390,44 @@ def _shards(contexts: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "id long, k int, s int, e int")
 
 
+def _by_windows(contexts: DataFrame) -> DataFrame:
+    """``id, k, s, e``: what goes of contexts ``id, k, s, bytes`` of crowded anchors, by the first place of each window's 128-bit hash."""
+    offsets = F.sequence(F.lit(0), F.octet_length("bytes") - MATCH)
+    each = contexts.select("id", "k", F.explode(F.transform(offsets, lambda i: F.struct((F.col("s") + i).alias("s"), F.md5(F.substring("bytes", i + 1, F.lit(MATCH))).alias("h")))).alias("x"))
+    each = each.select("x.h", F.struct("id", "k", "x.s").alias("at"))
+    first = each.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("h", "first")
+    later = each.join(first, "h").filter("at > first")
+    return later.select("at.id", "at.k", "at.s", (F.col("at.s") + MATCH).alias("e"))
+
+
 def ranges(keyed: DataFrame) -> DataFrame:
     """``id, k, s, e``: byte ranges of the documents of :func:`_documents` that go, several of which may overlap."""
     spark, folder = keyed.sparkSession, shared_dir(keyed.sparkSession)
     large = keyed.filter(F.octet_length("__text") >= MATCH)
     packed = _contexts(large, _frequent(large)).repartition("a")  # unpacked after the shuffle
-    cut, p = F.col("p") < 0, F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p"))
+    cut, p = F.col("p") < 0, F.col("p")
     rows = packed.select(
-        "a", F.when(~cut, F.shiftright("ck", 16)).alias("c"), "id", F.col("ck").bitwiseAND(0xFFFF).cast("int").alias("k"),
-        F.when(cut, F.shiftright(p, 31)).otherwise(F.shiftright(p, 8)).cast("int").alias("s"), F.when(cut, p.bitwiseAND((1 << 31) - 1)).otherwise(p.bitwiseAND(255) + MATCH - 1).cast("int").alias("n"))
-    order, whole = Window.partitionBy("a").orderBy("c", "id", "k", "s"), Window.partitionBy("a")
-    before = F.lag(F.struct("c", "id", "k", "s")).over(order)
-    seen = rows.withColumns({"b": before, "low": F.min("c").over(whole), "high": F.max("c").over(whole)})
-    again = F.coalesce(F.col("c") == F.col("b.c"), F.lit(False))
+        "a", F.when(~cut, F.col("c")).alias("c"), F.when(~cut, F.col("d")).alias("d"), "id", F.when(cut, -1 - p).otherwise(F.shiftright(p, 40)).cast("int").alias("k"),
+        F.when(cut, F.col("c")).otherwise(F.shiftright(p, 8).bitwiseAND((1 << 32) - 1)).cast("int").alias("s"), F.when(cut, F.col("d")).otherwise(p.bitwiseAND(255) + MATCH - 1).cast("int").alias("n"))
+    order, whole = Window.partitionBy("a").orderBy("c", "d", "id", "k", "s"), Window.partitionBy("a")
+    before, content = F.lag(F.struct("c", "d", "id", "k", "s")).over(order), F.when(F.col("c").isNotNull(), F.struct("c", "d"))
+    seen = rows.withColumns({"b": before, "low": F.min(content).over(whole), "high": F.max(content).over(whole)})
+    again = F.coalesce((F.col("c") == F.col("b.c")) & (F.col("d") == F.col("b.d")), F.lit(False))
     same = again & (F.col("id") == F.col("b.id")) & (F.col("k") == F.col("b.k")) & (F.col("s") == F.col("b.s"))
     asks = F.col("c").isNotNull() & ~again & (F.col("low") != F.col("high"))
-    seen.filter((F.col("c").isNull() | again | asks) & ~same).select("a", "id", "k", "s", (F.col("s") + F.col("n")).alias("e"), asks.alias("asks")).write.parquet(f"{folder}/contexts")
+    seen = seen.withColumn("asks", asks).withColumn("crowded", F.col("asks") & (F.count_if("asks").over(whole) > CROWDED))
+    seen.filter((F.col("c").isNull() | again | F.col("asks")) & ~same).select("a", "id", "k", "s", (F.col("s") + F.col("n")).alias("e"), "asks", "crowded").write.parquet(f"{folder}/contexts")
     seen = spark.read.parquet(f"{folder}/contexts")
-    wanted = seen.filter("asks").groupBy("id", "k").agg(F.collect_list(F.struct("a", "s", "e")).alias("at"))
-    text = keyed.join(wanted, (F.col("__id") == F.col("id")) & (F.col("__k") == F.col("k"))).select("id", "k", F.col("__text").cast("binary").alias("b"), F.explode("at").alias("x"))
-    asked = text.select("x.a", "id", "k", "x.s", F.substring("b", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("bytes"))
-    return seen.filter("not asks").select("id", "k", "s", "e").unionByName(_shards(asked))
+
+    def fetched(contexts: DataFrame) -> DataFrame:
+        wanted = contexts.groupBy("id", "k").agg(F.collect_list(F.struct("a", "s", "e")).alias("at"))
+        text = keyed.join(wanted, (F.col("__id") == F.col("id")) & (F.col("__k") == F.col("k"))).select("id", "k", F.col("__text").cast("binary").alias("b"), F.explode("at").alias("x"))
+        return text.select("x.a", "id", "k", "x.s", F.substring("b", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("bytes"))
+
+    out = seen.filter("not asks").select("id", "k", "s", "e").unionByName(_shards(fetched(seen.filter("asks and not crowded"))))
+    if seen.filter("crowded").limit(1).count():
+        out = out.unionByName(_by_windows(fetched(seen.filter("crowded"))))
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

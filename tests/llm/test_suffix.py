@@ -61,24 +61,69 @@ def test_small_steps(spark, monkeypatch):
     check(spark, made(random.Random(3)), 3)
 
 
-def test_index_against_sets():
-    r = random.Random(6)
+def some_strings(r):
     base = bytes(r.choice(b"abc\0\xff") for _ in range(400))
-    strings = [b"a" * 150, b"a" * 260, b"ab" * 90, b"", b"x" * 99]
+    strings = [b"", b"x" * 99]
     for _ in range(60):
         a = r.randrange(300)
         x = bytearray(base[a : a + r.randrange(90, 170)])
         x[r.randrange(len(x))] = r.randrange(256) if r.random() < 0.5 else x[0]
         strings.append(bytes(x))
-    seen, want = set(), []
-    for i, s in enumerate(strings):
-        for j in range(len(s) - 99):
-            want += [(i, j)] * (s[j : j + 100] in seen)
-            seen.add(s[j : j + 100])
-    name, at = S.repeated_windows(strings)
-    assert sorted(zip(name.tolist(), at.tolist())) == want
-    index = S.RunLengthIndex(strings)
+    return strings
+
+
+def matching_statistics(text, query):
+    """Longest match of each suffix of ``query`` in any piece of ``text``."""
+    return [max(next((k for k in range(len(query) - i, 0, -1) if any(query[i : i + k] in t for t in text)), 0), 0) for i in range(len(query))]
+
+
+def test_statistics_through_samples():
+    r = random.Random(8)
+    strings = some_strings(r)
+    data, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    stop = np.cumsum(size)
+    index = S.RunLengthIndex(*S.joined(data, (stop - size)[:40], stop[:40]))
     assert index.sample.shape == (2, len(index.starts)) and len(index.starts) < index.n / 2
+    assert not [k for k, v in vars(index).items() if isinstance(v, np.ndarray) and v.shape[-1] > len(index.starts) and k != "packed"]
+    text, ends = S.joined(data, (stop - size)[40:], stop[40:])
+    begin, true = np.r_[0, ends[:-1] + 1], [matching_statistics(strings[:40], q) for q in strings[40:]]
+    source, _ = S.joined(data, (stop - size)[:40], stop[:40])
+    for least in (1, 7, 30, 100):
+        at, place = index.matches(text, ends, least)
+        want = sorted(begin[j] + i for j, own in enumerate(true) for i, k in enumerate(own) if k >= least)
+        assert sorted(at.tolist()) == want
+        assert all((text[a : a + least] == source[p : p + least]).all() for a, p in zip(at, place))
+    index.sample = index.sample * 0  # without the samples nothing long is found
+    assert len(index.matches(text, ends, 100)[0]) < len(want)
+
+
+def test_windows_against_sets():
+    for seed in range(5):
+        r = random.Random(seed)
+        strings, anchor, want = [], [], []
+        for group in range(4):
+            seen = set()
+            for s in some_strings(r)[: r.randrange(1, 62)]:
+                windows = [s[j : j + 100] for j in range(len(s) - 99)]
+                if len(set(windows)) < len(windows):
+                    continue
+                want += [(len(strings), j) for j, w in enumerate(windows) if w in seen]
+                seen.update(windows)
+                strings.append(s)
+                anchor.append(group)
+        name, at = S.repeated_windows(np.array(anchor), strings)
+        assert sorted(zip(name.tolist(), at.tolist())) == want
+    assert not len(S.repeated_windows(np.zeros(0, np.int64), [])[0])
+
+
+def test_crowded_anchors_and_a_long_text(spark, monkeypatch):
+    r = random.Random(12)
+    docs = made(r)
+    monkeypatch.setattr(S, "CROWDED", 2)
+    check(spark, docs)
+    monkeypatch.undo()
+    base = "".join(r.choice("abcdefghij klmno") for _ in range(300_000))
+    check(spark, [(1, base * 8 + "the end"), (2, "x" + base[1000:90_000]), (3, "y" * 3000)], 2)
 
 
 def test_corpus(spark):
