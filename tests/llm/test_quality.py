@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from gainflow.llm import quality
@@ -22,7 +24,36 @@ def test_accuracy_on_held_out_rows(spark):
     rank[order] = np.arange(1, len(got) + 1)
     good = (got.quality == 1).to_numpy()
     auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
-    assert auc > 0.98 and (got.predicted == got.quality).mean() > 0.97
+    assert auc > 0.99 and (got.predicted == got.quality).mean() > 0.98
+
+
+def test_score_against_its_definition(spark):
+    """A score is the calibrated difference of the sizes that zstandard itself gives, whatever the text's length."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    good, bad = (zstandard.ZstdCompressor(level=12, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (model.good, model.bad))
+    known = {r.doc_id for r in labels.collect()}
+    held = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(any(t and t.encode() in d for i, t in held.items() if i in known and zlib.crc32(str(i).encode()) % 4 != 2) for d in (model.good, model.bad))
+
+    def definition(t):
+        b = t.encode()
+        x = (len(bad.compress(b)) - len(good.compress(b)) - model.neutral * len(b)) / (len(b) + quality.MORE)
+        return 1 / (1 + math.exp(-model.intercept - model.slope * x))
+
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(docs, model).collect()}
+    want = {i: definition(t) for i, t in held.items()}
+    assert all(abs(got[i][0] - x) < 1e-9 and got[i][1] == (x >= 0.7) for i, x in want.items())
+
+
+def test_calibration_is_the_best_line():
+    r = np.random.default_rng(1)
+    x = r.normal(size=4000) * 0.01 + 0.02
+    y = (r.random(4000) < 1 / (1 + np.exp(-(150 * x - 2)))).astype(float)
+    a, b = quality.calibration(x, y, np.ones(4000))
+    loss = lambda a, b: -np.mean(y * (a + b * x) - np.log1p(np.exp(a + b * x)))
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-6 for da in (-0.1, 0, 0.1) for db in (-5, 0, 5))
 
 
 def test_odd_rows(spark):
