@@ -1,14 +1,16 @@
-"""Line dedup within an edit bound of one word, by a deletion-neighbourhood join (native).
+"""Line dedup within an edit bound of one unit in ten, by a deletion-neighbourhood join (native).
 
-A line is its words, parted by blanks, tabs and carriage returns. A line goes if an equal line, or
-(for lines of MIN_WORDS words or more) one that differs by one word put in, left out or replaced,
-stands earlier: in a document of smaller id, or in the same document above. This is judged on the
-input. Blank lines stay.
+A line is its words, parted by blanks, tabs and carriage returns. Its units are these words, if there
+are at least UNITS of them; else the letters of the words joined by single blanks. A line goes if an
+equal line, or (for lines of at least UNITS units) one of the same kind of units that differs by one
+unit put in, left out or replaced, stands earlier: in a document of smaller id, or in the same
+document above. So one word may differ in ten words or more, one letter in a shorter line of ten
+letters or more, and nothing in a line shorter than that. This is judged on the input. Blank lines stay.
 
 Lines within the bound agree before and after one place, so each line emits, for a place, the hash
-of the words before and of those after a deleted word, and likewise for a word it may lack. Lines
+of the units before and of those after a deleted unit, and likewise for a unit it may lack. Lines
 that share such a key and place are all within the bound of each other: the earliest of a key
-stands for all of them, nothing is paired within it, and what it removes is verified word by word.
+stands for all of them, nothing is paired within it, and what it removes is verified unit by unit.
 To keep the keys few, only lines whose first or last half occurs in another line emit them, at the
 places in the other half. Hashes of all beginnings and all ends are chained in blocks, so very
 long lines cost little more than their length.
@@ -16,9 +18,10 @@ long lines cost little more than their length.
 Counting is by aggregates that combine before their shuffles; rows of a very frequent line or
 key meet only in joins with one row per key, which AQE splits.
 
-Defined results: null text has no lines; repeated rows (equal id and text) get equal results and
-don't remove one another's lines; null ids come first; other lines at equal places stay if they
-are equal, else the one of smaller hash stays.
+Defined results: null text has no lines; an empty table gives no rows; repeated rows (equal id and
+text) get equal results and don't remove one another's lines; null ids come first; other lines at
+equal places stay if they are equal, else the one of smaller hash stays; very long lines and texts
+are worked on whole; input columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from pyspark.sql import functions as F
 
 from ._common import KEY, fixed, replace_columns, shared_dir, with_key
 
-MIN_WORDS = 10
+#: Units of which one may differ.
+UNITS = 10
 #: Documents and lines (some 40 bytes each) whose places are broadcast to fetch their words; beyond, the join shuffles.
 SENT = 500_000
-#: Words of a block, within which beginnings are hashed one by one.
+#: Units of a block, within which beginnings are hashed one by one.
 BLOCK = 64
 
 
@@ -59,18 +63,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.select(*KEY, "__id", "no", F.xxhash64("w").alias("l1"), F.hash("w").alias("l2"), *_halves())
 
 
+def by_words(w: Column) -> Column:
+    return F.size(w) >= UNITS
+
+
+def units(w: Column) -> Column:
+    """A line's words, or its letters if the words are few."""
+    return F.when(by_words(w), w).otherwise(F.split(F.array_join(w, " "), ""))
+
+
 def _halves() -> list[Column]:
-    """Hashes of a line's first and last half, for partners of as many words or fewer and for those of one more."""
-    n, out = F.size("w"), []
+    """Hashes of a line's first and last half, for partners of as many units or fewer and for those of one more."""
+    w, letters, out = F.col("w"), F.array_join("w", " "), []
     for less in (1, 0):
-        x = n - less
-        q = ((x - 1) / 2).cast("int")
-        out += [F.xxhash64(F.lit("first"), x, F.slice("w", F.lit(1), q)), F.xxhash64(F.lit("last"), x, F.slice("w", n - q + 1, q))]
-    return [F.when(n >= MIN_WORDS, c).alias(f"h{i}") for i, c in enumerate(out)]
+        for n, part, kind in ((F.size(w), lambda at, q: F.slice(w, at, q), "words"), (F.length(letters), lambda at, q: F.substring(letters, at, q), "letters")):
+            x = n - less
+            q = ((x - 1) / 2).cast("int")
+            out.append([F.when(n >= UNITS, F.xxhash64(F.lit(f"{end} {kind}"), x, part(at, q))) for end, at in (("first", F.lit(1)), ("last", n - q + 1))])
+    pairs = zip(out[0::2], out[1::2], strict=True)
+    return [F.when(by_words(w), a).otherwise(b).alias(f"h{2 * i + j}") for i, (own, few) in enumerate(pairs) for j, (a, b) in enumerate(zip(own, few, strict=True))]
 
 
 def _chained(df: DataFrame, w: Column, name: str) -> DataFrame:
-    """Add the hashes of the first 0, 1, ... words of ``w``, as many as there are words."""
+    """Add the hashes of the first 0, 1, ... units of ``w``, as many as there are units."""
     df = fixed(df, __blocks=F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(BLOCK)), lambda s: F.slice(w, s + 1, F.lit(BLOCK))))
     df = fixed(df, __hashes=F.transform("__blocks", lambda b: F.xxhash64(b)))
     df = fixed(df, __seeds=F.transform("__blocks", lambda b, i: F.xxhash64(F.slice("__hashes", F.lit(1), i))))
@@ -80,20 +95,21 @@ def _chained(df: DataFrame, w: Column, name: str) -> DataFrame:
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
     """``key`` and the line's place (id, no, l1), for each place in the halves that may differ."""
-    n = F.size("w")
-    # b[i]: the first i words, e[i]: the words from the i-th on; one more word makes room for the whole line
-    marked = _chained(fixed(lines, __w=F.concat("w", F.array(F.lit("")))), F.col("__w"), "b")
-    marked = _chained(fixed(marked, __r=F.concat(F.reverse("w"), F.array(F.lit("")))), F.col("__r"), "r")
+    lines = fixed(lines.withColumn("by_words", by_words(F.col("w"))), u=units(F.col("w")))
+    n = F.size("u")
+    # b[i]: the first i units, e[i]: the units from the i-th on; one more unit makes room for the whole line
+    marked = _chained(fixed(lines, __w=F.concat("u", F.array(F.lit("")))), F.col("__w"), "b")
+    marked = _chained(fixed(marked, __r=F.concat(F.reverse("u"), F.array(F.lit("")))), F.col("__r"), "r")
     marked = fixed(marked, e=F.reverse("r"))
     q = ((n - 2) / 2).cast("int")
     places = F.filter(F.sequence(F.lit(0), n), lambda i: (F.col("after") & (i >= q)) | (F.col("before") & (i <= n - q)))
-    gone = F.transform(F.filter(places, lambda i: i < n), lambda i: F.xxhash64(i, F.get("b", i), F.get("e", i + 1)))
-    lacks = F.transform(places, lambda i: F.xxhash64(i, F.get("b", i), F.get("e", i)))
+    gone = F.transform(F.filter(places, lambda i: i < n), lambda i: F.xxhash64("by_words", i, F.get("b", i), F.get("e", i + 1)))
+    lacks = F.transform(places, lambda i: F.xxhash64("by_words", i, F.get("b", i), F.get("e", i)))
     return marked.select("l1", "__id", "no", F.explode(F.concat(gone, lacks)).alias("key"))
 
 
 def near(a: Column, b: Column) -> Column:
-    """Whether two lists of words differ by one word put in, left out or replaced, or not at all."""
+    """Whether two lists of units differ by one unit put in, left out or replaced, or not at all."""
     alike = lambda x, y: F.concat(F.zip_with(x, y, lambda v, w: F.coalesce(v == w, F.lit(False))), F.array(F.lit(False)))
     same = lambda x, y: F.array_position(alike(x, y), F.lit(False)) - 1
     return same(a, b) + same(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
@@ -127,7 +143,8 @@ def decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     heads = keys.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     found = keys.join(heads, "key").filter(F.col("head") < place).groupBy("l1").agg(F.min("head").alias("head")).select("l1", F.col("head.l1").alias("by"))
     found = found.join(wanted.select("l1", "w"), "l1").join(wanted.select(F.col("l1").alias("by"), F.col("w").alias("by_w")), "by")
-    found.filter(near(F.col("w"), F.col("by_w"))).select("l1", F.hash("w").alias("l2")).write.parquet(f"{folder}/near")
+    found = fixed(found, __u=units(F.col("w")), __by=units(F.col("by_w")))
+    found.filter(near(F.col("__u"), F.col("__by")) & (by_words(F.col("w")) == by_words(F.col("by_w")))).select("l1", F.hash("w").alias("l2")).write.parquet(f"{folder}/near")
     found = spark.read.parquet(f"{folder}/near")
 
     # lines that stand more than once keep their first place, near ones none

@@ -23,6 +23,14 @@ def near(a, b):
     return i + j >= max(len(a), len(b)) - 1
 
 
+def within(a, b):
+    """Whether two lines, as lists of words, are within the bound."""
+    if len(a) >= 10 or len(b) >= 10:
+        return len(a) >= 10 and len(b) >= 10 and near(a, b)
+    a, b = " ".join(a), " ".join(b)
+    return len(a) >= 10 and len(b) >= 10 and near(a, b)
+
+
 def expected(docs):
     """By comparing each line with all earlier ones."""
     seen, out = [], {}
@@ -30,7 +38,7 @@ def expected(docs):
         kept, n = [], 0
         for line in (text or "").split("\n") if text is not None else []:
             w = words(line)
-            gone = bool(w) and any(w == s or (len(w) >= L.MIN_WORDS and len(s) >= L.MIN_WORDS and near(w, s)) for s in seen)
+            gone = bool(w) and any(w == s or within(w, s) for s in seen)
             if w and w not in seen:
                 seen.append(w)
             n += gone
@@ -64,6 +72,25 @@ def test_small_edits(spark):
     check(spark, docs)
 
 
+def test_short_lines_by_letters(spark):
+    r = random.Random(7)
+    pool, docs = ["All rights reserved 2023", "ééé ààà ùùù 1", "abcdefghij", "😀 😀 😀 😀 😀 x"], []
+    for i in range(80):
+        lines = []
+        for _ in range(r.randrange(1, 6)):
+            t = list(r.choice(pool)) if r.random() < 0.7 else [r.choice("abc é") for _ in range(r.randrange(1, 40))]
+            for _ in range(r.choice([0, 1, 1, 1, 2])):
+                k = r.randrange(len(t) + 1)
+                t[k : k + r.randrange(2)] = [r.choice("ab é😀")] * r.randrange(2)
+            pool.append("".join(t) or "x")
+            lines.append(pool[-1])
+        docs.append((i, "\n".join(lines)))
+    docs += [(100, "a b c d e f g h i j"), (101, "a b c d e f g h i"), (102, "abc def ghi"), (103, "abc def gh"), (104, "abc def g"), (105, "abc def")]
+    check(spark, docs)
+    hit = {i: n for i, (_, n) in expected(docs).items()}
+    assert sum(hit.values()) > 60 and [hit[i] for i in range(100, 106)] == [0, 0, 0, 1, 0, 0]
+
+
 def test_corpus(spark):
     check(spark, [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()])
 
