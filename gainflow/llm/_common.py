@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,13 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``.
 
-    The setting is read from the session; where it is unset (tests on one machine) a
-    temporary folder is set as the checkpoint folder.
+    The setting is read from the session; where it is unset, a temporary folder is set as the
+    checkpoint folder if all work is done on this machine, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="gainflow-")
             spark.sparkContext.setCheckpointDir(root)
         else:

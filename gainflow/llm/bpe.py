@@ -10,8 +10,10 @@ task that were already encoded are kept in a bounded table.
 32-bit integers; ``decode`` turns them back into text. Strings of special tokens inside a text
 become their ids, as in the tokenizers library's default.
 
-Defined results: null and empty texts encode to no ids and decode to the empty text; repeated
-rows get equal results; input columns named like an output column are replaced.
+Defined results: null and empty texts encode to no ids and decode to the empty text; an empty table
+gives no rows; repeated rows get equal results; equal ranks merge from the left; input columns named
+like an output column are replaced. Texts of any length are encoded whole. A single pre-token is one
+tree of some 60 bytes a byte of it, so a run of 10 MB without a blank, digit or mark takes a task 1 GB.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ large to be sent is joined by 64-bit hashes of windows, one row for each window
 only windows whose hash is in the set are put together and compared word by word.
 
 Defined results: a null or empty text has no words and no hits; a null id is kept; repeated rows
-get equal results; an empty benchmark or document table gives no hits or no rows; input columns
-named like an output column are replaced by it.
+get equal results; equal windows of several items count for each; an empty benchmark or document
+table gives no hits or no rows; texts of any length are searched whole, and no row between the scan
+and a hit holds more than one text; input columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def _shuffled_hits(docs: DataFrame, windows: DataFrame, widths: list[int]) -> Da
     return text.select(*KEY, F.explode(gram).alias("x")).select(*KEY, "x.*").join(windows, "gram")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Columns of ``docs`` plus ``n_words``, ``n_hit``, ``hits`` (positions of hit words, sorted), ``items`` and ``contaminated``.
 
     A word inside any occurrence of a benchmark window is hit; a document is contaminated if at
@@ -85,12 +86,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     outputs = ["n_words", "n_hit", "hits", "items", "contaminated"]
     docs = with_key(replace_columns(docs, outputs, [id_col, text_col]), id_col, text_col)
-    windows = benchmark_windows(benchmark, n=n)
+    windows = benchmark_windows(benchmark, item_col, item_text_col, n)
     sizes = windows.groupBy("width").agg(F.sum(F.length("gram") + 16 * F.size("items") + 64).alias("bytes")).collect()  # at most n rows
     text = docs.withColumn("__text", F.col(text_col))
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     none = F.array().cast("array<int>")
-    item_type = f"array<{benchmark.schema['item_id'].dataType.simpleString()}>"
+    item_type = f"array<{benchmark.schema[item_col].dataType.simpleString()}>"
     if not sizes:
         return docs.drop(*KEY).select("*", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("hits"), F.array().cast(item_type).alias("items"), F.lit(False).alias("contaminated"))
     small = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES

@@ -10,7 +10,9 @@ Where a pattern begins with a long run, it may only begin at the run's start or
 the previous match (``\\G``); any other start inside the run has the same continuation, so the
 matches are those of the plain pattern without its quadratic retries.
 
-Defined results: null and empty texts have no spans; repeated rows get equal results; a null id is kept.
+Defined results: null and empty texts have no spans; an empty table gives no rows; repeated rows get
+equal results; ties don't arise, for kinds are found apart; a null id is kept; texts of any length are
+searched whole; an input column named like the output column is replaced by it.
 """
 
 from __future__ import annotations

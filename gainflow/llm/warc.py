@@ -6,7 +6,8 @@ shuffled afterwards: the selected rows are ordered by file and offset over the c
 that lie close together are fetched with one read. A task that runs again writes other files; the
 index, committed by Spark, names only those of the attempt that counts.
 
-Defined results: a null payload is empty; a null URL is left out of the record; line ends in a URL
+Defined results: a null payload is empty; payloads of any length are one record each; other columns,
+whatever their names, are neither read nor written; a null URL is left out of the record; line ends in a URL
 are percent-encoded; rows that repeat the smallest id of their payload are all responses; a null id
 is later than any other; an empty table gives an empty index.
 """
@@ -22,8 +23,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 #: Bytes after which a task begins another archive; a gap and a span up to which ranges are read at once; bytes per reading task.
 ARCHIVE, GAP, SPAN, PER_TASK = 256 << 20, 64 << 10, 8 << 20, 32 << 20
+#: Digests that repeat (some 150 bytes each) that are broadcast.
+SENT = 500_000
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
 INDEX = "file string, offset long, length long, record_id long, url string, payload_digest string, record_type string, refers_to long"
@@ -37,14 +42,15 @@ URN = "urn:gainflow:record:"
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """``record_id, url, payload, payload_digest, record_type, refers_to``: what to write for each row.
 
-    The first of each payload is found by a grouping that aggregates before its shuffle; only
-    digests that repeat are joined back, and AQE splits one that is very frequent.
+    The first of each payload is found by a grouping that aggregates before its shuffle. Only digests
+    that repeat are joined back: sent to the payloads where there are at most SENT of them, so no
+    payload is shuffled; beyond, AQE splits one that is very frequent.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
     large = F.octet_length("payload") >= LEAST
-    firsts = rows.filter(large).groupBy("payload_digest").agg(F.min("record_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("payload_digest").alias("d"), "first")
-    rows = rows.join(firsts, (F.col("payload_digest") == F.col("d")) & large, "left")
+    firsts = cut(rows.filter(large).groupBy("payload_digest").agg(F.min("record_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("payload_digest").alias("d"), "first"))
+    rows = rows.join(F.broadcast(firsts) if firsts.count() <= SENT else firsts, (F.col("payload_digest") == F.col("d")) & large, "left")
     again = F.col("first").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first"))
     return rows.select("record_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 

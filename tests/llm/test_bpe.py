@@ -43,3 +43,9 @@ def test_clash_and_empty(spark):
     df = spark.createDataFrame([("a", 1)], "text string, IDS int")
     assert bpe.encode(df, PATH).columns == ["text", "ids"] and bpe.round_trip(df.limit(0), PATH).count() == 0
     assert brute.sha(b"") and bpe.decode(bpe.encode(df, PATH), PATH).first().decoded == "a"
+
+
+def test_long_and_repeated_texts(spark):
+    r = random.Random(3)
+    long = "".join(r.choice("abc défg\n12!") for _ in range(1_500_000))
+    check(spark, [long, "x" * 200_000, "same text", "same text"])

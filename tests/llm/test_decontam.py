@@ -58,3 +58,13 @@ def test_modes_and_empty(spark):
     assert decontam.decontaminate(docs, bench).count() == 3
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 4
     assert decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_a_million_words_and_other_names(spark, monkeypatch):
+    w = [f"{i * 7919 % 1_000_003:x}" for i in range(1_000_000)]
+    docs = [(1, " ".join(w)), (2, " ".join(w[500:530])), (3, None)]
+    items = spark.createDataFrame([("a", " ".join(w[1000:1020])), ("b", " ".join(w[999_980:])), ("c", " ".join(w[510:523]))], "name string, body string")
+    for size in (decontam.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
+        found = decontam.contamination(frame(spark, docs, ["doc_id", "text"]), items, item_col="name", item_text_col="body")
+        assert {r.doc_id: (r.n_words, r.n_hit, list(r.items), r.contaminated) for r in found.collect()} == {1: (1_000_000, 53, ["a", "b", "c"], False), 2: (30, 13, ["c"], True), 3: (0, 0, [], False)}

@@ -48,3 +48,14 @@ def test_coalesced():
     g, s = warc.GAP, warc.SPAN
     got = warc.coalesced([("a", 0, 10), ("a", 10 + g, 5), ("a", 16 + 2 * g, 5), ("b", 0, s), ("b", s, 1)])
     assert [(x[0], x[1], x[2]) for x in got] == [("a", 0, 15 + g), ("a", 16 + 2 * g, 21 + 2 * g), ("b", 0, s), ("b", s, s + 1)]
+
+
+def test_very_long_payload_and_many_digests(spark, monkeypatch):
+    long = "".join(chr(97 + i * i % 26) for i in range(3_000_000))
+    df = spark.createDataFrame([(2, "u", long), (1, "v", long), (3, "w", long[:-1]), (4, None, None)], "page_id long, url string, html string")
+    for sent in (warc.SENT, 0):
+        monkeypatch.setattr(warc, "SENT", sent)
+        folder = shared_dir(spark)
+        got = {r.record_id: r for r in warc.read(warc.write(warc.plan(df), folder), folder).collect()}
+        assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), 4: ("response", None)}
+        assert bytes(got[1].payload) == long.encode() and bytes(got[3].payload) == long[:-1].encode()
