@@ -32,11 +32,13 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: the language and the id's binary digits are the path; one with a statement is a licence file."""
+    """Documents as files: the language and the id's binary digits are the path. They have no file names, so one that declares a licence speaks for its directory."""
     path = F.concat_ws("/", F.coalesce("lang", F.lit("")), F.array_join(F.split(F.bin("doc_id"), ""), "/"))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    out = licenses.inherit(licenses.detect(files).drop("text"), "doc_id", "path", F.lit(True))
-    return out.select("doc_id", "license", F.round("score", 9).alias("score"), "line", "basis", "origin")
+    folder = shared_dir(spark)
+    licenses.detect(files).drop("text").write.parquet(f"{folder}/detected")  # else the texts would be read for each use
+    out = licenses.inherit(spark.read.parquet(f"{folder}/detected"), "doc_id", "path", F.lit(True))
+    return out.select("doc_id", "license", F.round("score", 9).alias("score"), "line", "kind", "basis", "origin")
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +109,11 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), line AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS no FROM s),
 w AS (SELECT *, list_filter(string_split(regexp_replace(line, '[\t\r]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM line),
 each AS (SELECT w, min((doc_id, no)) AS first FROM w WHERE len(w) > 0 GROUP BY 1), big AS (SELECT * FROM each WHERE len(w) >= 10),
+small AS (SELECT w, first, array_to_string(w, ' ') AS s FROM each WHERE len(w) < 10 AND length(array_to_string(w, ' ')) >= 10),
 keys AS (SELECT w, first, i || '|' || array_to_string(w[1:i], ' ') || '|' || array_to_string(w[i + 2:], ' ') AS k FROM big, unnest(range(len(w))) r(i)
-  UNION ALL SELECT w, first, i || '|' || array_to_string(w[1:i], ' ') || '|' || array_to_string(w[i + 1:], ' ') FROM big, unnest(range(len(w) + 1)) r(i)),
+  UNION ALL SELECT w, first, i || '|' || array_to_string(w[1:i], ' ') || '|' || array_to_string(w[i + 1:], ' ') FROM big, unnest(range(len(w) + 1)) r(i)
+  UNION ALL SELECT w, first, 'letters|' || i || '|' || left(s, i) || '|' || substr(s, i + 2) FROM small, unnest(range(length(s))) r(i)
+  UNION ALL SELECT w, first, 'letters|' || i || '|' || left(s, i) || '|' || substr(s, i + 1) FROM small, unnest(range(length(s) + 1)) r(i)),
 head AS (SELECT k, min(first) AS head FROM keys GROUP BY 1 HAVING count(*) > 1), near AS (SELECT DISTINCT w FROM keys JOIN head USING (k) WHERE head < first),
 flag AS (SELECT w.*, len(w) > 0 AND ((doc_id, no) <> first OR near.w IS NOT NULL) AS gone FROM w LEFT JOIN each USING (w) LEFT JOIN near USING (w))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256 FROM flag GROUP BY 1""",
