@@ -117,3 +117,64 @@ def exposure(subjects: DataFrame, hours: float = 24.0, step: float = 0.5) -> Dat
     rows = rows.withColumn("c", pharm.bateman(F.col("t_h"), F.col("c0"), F.col("ka"), F.col("ke")))
     ends = F.when((F.col("i") == 0) | (F.col("i") == n), 0.5).otherwise(1.0)
     return rows.groupBy("subject").agg(F.sum(F.col("c") * ends * step).alias("auc"), F.max("c").alias("cmax"), F.min_by("t_h", F.struct(-F.round("c", 12), F.col("t_h"))).alias("tmax"))
+
+
+#: Directions and evidence tiers that a library may use.
+DIRECTIONS = (*dims.ACTIVATING, *dims.BLOCKING, "none")
+TIERS = ("literature_order", "class_placeholder", "measured_fit")
+
+
+def problems(evidence: DataFrame, receptors: list[str], tiers: tuple[str, ...] = TIERS) -> DataFrame:
+    """Rows of ``evidence`` (with ``model``, NULL where type or relation is unknown) once per ``problem`` they have."""
+    value, known = F.col("value_m").isNotNull(), F.col("model").isNotNull()
+    checks = {
+        "receptor_not_declared": ~F.col("receptor").isin(*receptors), "unknown_type_or_relation": ~known, "bad_direction": known & ~F.coalesce(F.col("direction").isin(*DIRECTIONS), F.lit(False)),
+        "bad_tier": known & ~F.coalesce(F.col("evidence_tier").isin(*tiers), F.lit(False)), "no_source": known & (F.trim(F.coalesce("source", F.lit(""))) == ""),
+        "value_not_modellable": known & (F.col("model") == "not_modelled") & value, "value_of_unknown_type": known & (F.col("param_type") == "unknown") & value, "value_not_positive": known & (F.col("value_m") <= 0),
+        "no_value_but_tier": known & ~value & (F.col("evidence_tier") != "class_placeholder"), "placeholder_with_value": known & value & (F.col("evidence_tier") == "class_placeholder"),
+    }
+    flags = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
+    return evidence.withColumn("problem", F.explode(flags))
+
+
+def _hashed(*key: str | Column) -> Column:
+    """A number above 0 and up to 1 that depends on the key only."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *key)), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+
+
+def credible(evidence: DataFrame, draws: int = 500, sd_log10: float = 0.3, seed: int = 0, fixed: Column | None = None) -> DataFrame:
+    """Engagement with its mean and 95 % interval over log-normal jitter of each value; NULL stays NULL, ``fixed`` rows don't move.
+
+    A draw is a normal number from two hashes of seed, row and draw, so it doesn't depend on partitions.
+    """
+    moves = F.col("value_m").isNotNull() & (F.col("direction") != "none") & (~fixed if fixed is not None else F.lit(True))
+    rows = evidence.withColumns({"perturbed": moves & (F.lit(sd_log10) > 0), "draw": F.explode(F.sequence(F.lit(1), F.lit(draws)))})
+    z = F.sqrt(-2 * F.ln(_hashed(F.lit(seed), F.lit("a"), "pos", "draw"))) * F.cos(6.283185307179586 * _hashed(F.lit(seed), F.lit("b"), "pos", "draw"))
+    jitter = F.when(F.col("perturbed"), F.pow(F.lit(10.0), sd_log10 * z)).otherwise(F.lit(1.0))
+    value = F.when(F.col("model") != "not_modelled", F.col("value_m"))
+    y, point = pharm.hill(F.col("conc_m"), value * jitter, F.col("n")), pharm.hill(F.col("conc_m"), value, F.col("n"))
+    rows = rows.withColumns({"y": y, "point": point})
+    return rows.groupBy("pos").agg(F.max("point").alias("point"), F.avg("y").alias("mean"), F.percentile("y", F.lit(0.025)).alias("low"), F.percentile("y", F.lit(0.975)).alias("high"), F.bool_or("perturbed").alias("perturbed"))
+
+
+def isobole(pairs: DataFrame, effect: float, points: int, rounds: int = 60) -> DataFrame:
+    """Rows of ``va`` and ``vb`` at ``points`` shares of the first compound: the doses that reach the effect together, and their combination index.
+
+    Along each share both doses are scaled by one factor, found by geometric bisection of the competitive occupancy.
+    """
+    alone_a, alone_b = (pharm.inverse_hill(F.lit(effect), F.col(v), F.lit(1.0)) for v in ("va", "vb"))
+    rows = pairs.withColumns({"alone_a": alone_a, "alone_b": alone_b, "fraction": F.explode(F.array(*[F.lit(i / (points - 1)) for i in range(points)]))})
+
+    def occupancy(scale: Column) -> Column:
+        x = F.col("fraction") * F.col("alone_a") * scale / F.col("va") + (1 - F.col("fraction")) * F.col("alone_b") * scale / F.col("vb")
+        return x / (1 + x)
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = (at["low"] + at["high"]) / 2
+        below = occupancy(F.pow(F.lit(10.0), middle)) < effect
+        return F.struct(F.when(below, middle).otherwise(at["low"]).alias("low"), F.when(below, at["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(-8.0).alias("low"), F.lit(8.0).alias("high")), halve)
+    rows = rows.withColumn("scale", F.pow(F.lit(10.0), (found["low"] + found["high"]) / 2))
+    rows = rows.withColumns({"dose_a": F.col("fraction") * F.col("alone_a") * F.col("scale"), "dose_b": (1 - F.col("fraction")) * F.col("alone_b") * F.col("scale")})
+    return rows.withColumn("ci", F.col("dose_a") / F.col("alone_a") + F.col("dose_b") / F.col("alone_b"))

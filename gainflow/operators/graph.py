@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..lineage import cut
+from .stats import numbered
+
+#: Edges in a bucket within which pairs are made.
+PAIRED = 64
 
 
 def gain_of(nt: Column, gains: dict[str, float]) -> Column:
@@ -20,6 +25,20 @@ def gain_of(nt: Column, gains: dict[str, float]) -> Column:
     return out
 
 
+def gain_column(nt: Column) -> Column:
+    """The same, of gains that stand in columns."""
+    out = F.lit(1.0)
+    for name, key in dims.GAIN_OF.items():
+        out = F.when(nt == name, F.col(key) * F.col("ach_tone") if name == "acetylcholine" else F.col(key)).otherwise(out)
+    return out
+
+
+def arm_table(spark: SparkSession, arms: dict[str, dict[str, float]]) -> DataFrame:
+    """``arm`` and the gains as columns."""
+    rows = [(name, *(float(g.get(k, 1.0)) for k in dims.GAINS)) for name, g in arms.items()]
+    return spark.createDataFrame(rows, "arm string, " + ", ".join(f"{k} double" for k in dims.GAINS))
+
+
 def sign_of(nt: Column, signs: dict[str, float] | None = None) -> Column:
     out = F.lit(0.0)
     for name, s in (signs or dims.SIGN).items():
@@ -119,32 +138,48 @@ def ranked_rings(edges: DataFrame, seeds: DataFrame, rings: int) -> DataFrame:
     return chosen
 
 
-def rates(edges: DataFrame, nodes: DataFrame, drive: DataFrame, gains: dict[str, float] | None = None, normalise: str = "row_abs", steps: int = 80, alpha: float = 0.3, most: float = 300.0, every: int = 5) -> DataFrame:
-    """Leaky rates after some steps: r <- clip((1 - a) r + a g_nav (drive + W r), 0, most), from 0.
+#: Rows of a state (some 60 bytes each) up to which it is sent to the edges; beyond, edges stay where they are and the state is shuffled to them.
+SENT = 500_000
+VEHICLE = {"vehicle": {}}
+
 
-    A step is a join of the edges with the rates and a sum per target. Effective weights are made
-    once and checkpointed by target, and so are the rates every few steps, so a lost executor
-    costs a few steps at most.
+def rates(edges: DataFrame, nodes: DataFrame, drive: DataFrame, arms: DataFrame | dict[str, dict[str, float]] | None = None, normalise: str = "row_abs", steps: int = 80, alpha: float = 0.3, most: float = 300.0, every: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """``arm, body_id, hz``: leaky rates after some steps: r <- clip((1 - a) r + a g_nav (drive + W r), 0, most), from 0.
+
+    All arms run side by side, and so do all graphs that columns ``by`` (of edges and nodes) tell
+    apart. An arm's gains scale what a node sends, so they stand with the state and the edges are the
+    same for all arms. A step is one join of the edges with the state and one sum per target; each node
+    has an edge to itself that hands on its own state, so a step reads the last one once. Edges are
+    dealt by source once and kept; the state goes to them whole while it has at most SENT rows. It is
+    checkpointed every few steps.
     """
-    g = {k: 1.0 for k in dims.GAINS} | (gains or {})
-    signed = cut(labelled(edges, nodes).groupBy("pre", "post", "nt").agg(F.sum("weight").alias("weight")).withColumn("w", F.col("weight") * sign_of(F.col("nt"))))
-    if normalise == "row_abs":
-        by = F.greatest(F.sum(F.abs("w")), F.lit(1.0))
-    elif normalise == "degree":
-        by = F.greatest(F.count_if(F.col("w") != 0), F.lit(1)).cast("double")
-    elif normalise == "none":
-        by = F.max(F.lit(1.0))
-    else:
+    on = list(by)
+    arms = arms if isinstance(arms, DataFrame) else arm_table(edges.sparkSession, arms or VEHICLE)
+    pre, post = nodes.select(*on, F.col("body_id").alias("pre"), "nt"), nodes.select(*on, F.col("body_id").alias("post"))
+    known = edges.join(pre, [*on, "pre"]).join(post, [*on, "post"], "left_semi")
+    signed = cut(known.groupBy(*on, "pre", "post", "nt").agg(F.sum("weight").alias("weight")).select(*on, "pre", "post", (F.col("weight") * sign_of(F.col("nt"))).alias("w")))
+    scale = {"row_abs": F.greatest(F.sum(F.abs("w")), F.lit(1.0)), "degree": F.greatest(F.count_if(F.col("w") != 0), F.lit(1)).cast("double"), "none": F.max(F.lit(1.0))}
+    if normalise not in scale:
         raise ValueError(f"unknown normalisation {normalise!r}")
-    w = cut(signed.join(signed.groupBy("post").agg(by.alias("by")), "post").select("pre", "post", (F.col("w") / F.col("by") * gain_of(F.col("nt"), g)).alias("w")))
-    state = nodes.select("body_id").join(drive, "body_id", "left").select("body_id", F.coalesce("hz", F.lit(0.0)).alias("hz"), F.lit(0.0).alias("r"))
-    for k in range(steps):
-        into = w.join(state.select(F.col("body_id").alias("pre"), "r"), "pre").groupBy(F.col("post").alias("body_id")).agg(F.sum(F.col("w") * F.col("r")).alias("x"))
-        new = (1 - alpha) * F.col("r") + alpha * g["g_nav"] * (F.col("hz") + F.coalesce("x", F.lit(0.0)))
-        state = state.join(into, "body_id", "left").select("body_id", "hz", F.least(F.greatest(new, F.lit(0.0)), F.lit(most)).alias("r"))
-        if (k + 1) % every == 0:
+    total = signed.groupBy(*on, "post").agg(scale[normalise].alias("scale"))
+    w = signed.join(total, [*on, "post"]).filter("w <> 0").select(*on, "pre", "post", (F.col("w") / F.col("scale")).alias("w"))
+    state = nodes.select(*on, "body_id", "nt").join(drive, "body_id", "left").crossJoin(arms)
+    state = cut(state.select(*on, "arm", "body_id", F.coalesce("hz", F.lit(0.0)).alias("hz"), gain_column(F.col("nt")).alias("gain"), F.col("g_nav").alias("nav"), F.lit(0.0).alias("r")))
+    small = state.count() <= SENT
+    own = nodes.select(*on, F.col("body_id").alias("pre"), F.col("body_id").alias("post"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))
+    w = w.withColumn("own", F.lit(False)).unionByName(own)
+    w = (cut(w) if small else w.repartition(*on, "pre").sortWithinPartitions(*on, "pre")).persist(StorageLevel.MEMORY_AND_DISK)
+    for k in range(1, steps + 1):
+        sent = state.withColumnRenamed("body_id", "pre")
+        reached = w.join(F.broadcast(sent) if small else sent.hint("merge"), [*on, "pre"]).filter("own or r <> 0")
+        kept = F.max(F.when(F.col("own"), F.struct("hz", "gain", "nav", "r"))).alias("s")
+        state = reached.groupBy(*on, "arm", F.col("post").alias("body_id")).agg(F.sum(F.col("w") * F.col("r") * F.col("gain")).alias("x"), kept)
+        new = (1 - alpha) * F.col("s.r") + alpha * F.col("s.nav") * (F.col("s.hz") + F.col("x"))
+        state = state.select(*on, "arm", "body_id", "s.hz", "s.gain", "s.nav", F.least(F.greatest(new, F.lit(0.0)), F.lit(most)).alias("r"))
+        if k % every == 0 or k == steps:
             state = cut(state)
-    return state.select("body_id", F.col("r").alias("hz"))
+    w.unpersist()
+    return state.select(*on, "arm", "body_id", F.col("r").alias("hz"))
 
 
 def settle(counts: DataFrame, gains: dict[str, float], glutamate: float, inhibitory: float) -> DataFrame:
@@ -157,71 +192,141 @@ def settle(counts: DataFrame, gains: dict[str, float], glutamate: float, inhibit
     return out.withColumn("ratio", F.when(F.col("inhibition") > 1e-9, F.col("excitation") / F.col("inhibition")))
 
 
-def sign_nulls(nodes: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """Transmitters dealt anew over the nodes, once per draw: ``draw, body_id, nt``; each draw keeps their census. The order is a hash of seed, draw and id."""
-    many = nodes.select("body_id", "nt").crossJoin(F.broadcast(nodes.sparkSession.range(draws).withColumnRenamed("id", "draw")))
-    by = lambda salt: F.row_number().over(Window.partitionBy("draw").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), "draw", "body_id")), "body_id"))
-    place = many.select("draw", "body_id", by("to").alias("k"))
-    label = many.select("draw", "nt", F.row_number().over(Window.partitionBy("draw").orderBy("body_id")).alias("k"))
-    return place.join(label, ["draw", "k"]).select("draw", "body_id", "nt")
+def drawn(rows: DataFrame, draws: int) -> DataFrame:
+    """Rows once per draw, with the draw's number."""
+    return rows.crossJoin(F.broadcast(rows.sparkSession.range(draws).withColumnRenamed("id", "draw")))
+
+
+def by_hash(*key: str | Column) -> Column:
+    """An order that depends on the key only."""
+    return F.md5(F.concat_ws(":", *key))
 
 
-def weight_nulls(edges: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """Weights dealt anew over each target's incoming edges, once per draw, so every target keeps its own: ``draw, pre, post, weight``."""
-    many = edges.select("pre", "post", "weight").crossJoin(F.broadcast(edges.sparkSession.range(draws).withColumnRenamed("id", "draw")))
-    by = F.md5(F.concat_ws(":", F.lit(seed), "draw", "pre", "post"))
-    place = many.select("draw", "pre", "post", F.row_number().over(Window.partitionBy("draw", "post").orderBy(by, "pre")).alias("k"))
-    held = many.select("draw", "post", "weight", F.row_number().over(Window.partitionBy("draw", "post").orderBy("pre")).alias("k"))
-    return place.join(held, ["draw", "post", "k"]).select("draw", "pre", "post", "weight")
+def sign_nulls(nodes: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """Transmitters dealt anew over the nodes, once per draw: ``draw, body_id, nt``; each draw keeps their census. The order is a hash of seed, draw and id."""
+    many = drawn(nodes.select("body_id", "nt"), draws)
+    place = numbered(many.select("draw", "body_id", by_hash(F.lit(seed), F.lit("to"), "draw", "body_id").alias("h")), ["draw"], "h", "body_id", name="k")
+    label = numbered(many, ["draw"], "body_id", name="k")
+    return place.select("draw", "body_id", "k").join(label.select("draw", "nt", "k"), ["draw", "k"]).select("draw", "body_id", "nt")
 
 
-def rewire(edges: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
-    """Degree-preserving rewiring by parallel double-edge swaps: ``pre, post, weight``, one edge per pair of nodes.
+def weight_matched_nulls(edges: DataFrame, nodes: DataFrame, draws: int, seed: int = 0, tolerance: float = 0.02, blocks: tuple[int, ...] = (64, 32, 16, 8, 4, 2)) -> DataFrame:
+    """Transmitters dealt anew with their shares of the outgoing weight kept: ``draw, body_id, nt, block``.
 
-    In each round edges fall into as many hash buckets as there are edges; the two edges of a
-    bucket of two exchange their targets, unless that makes a loop, an edge that exists, or one that
-    another pair of the round makes too. Weights stay with the sources. Every in- and
-    out-degree is kept.
+    Nodes stand in order of outgoing weight, and each block of neighbours in it deals its own labels
+    anew, so every census stays and shares hardly move. Of the block sizes a draw takes the largest at
+    which no share is off by more than the tolerance, or 1 (the real labels) where all are.
     """
-    edges = cut(edges)
-    m = edges.count()
-    for k in range(rounds):
-        bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "pre", "post"), F.lit(max(1, m)))
-        e = edges.withColumn("bucket", bucket)
-        two = e.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("pre", "post", "weight")).alias("a"), F.max(F.struct("pre", "post", "weight")).alias("b")).filter("n = 2 and a.pre <> b.pre and a.post <> b.post")
-        made = two.select("bucket", F.explode(F.array(F.struct("a.pre", "b.post", "a.weight"), F.struct("b.pre", "a.post", "b.weight"))).alias("x")).select("bucket", "x.*")
-        bad = made.filter("pre = post").select("bucket").unionByName(made.join(edges.select("pre", "post"), ["pre", "post"], "left_semi").select("bucket"))
-        twice = made.groupBy("pre", "post").agg(F.count("*").alias("n"), F.min("bucket").alias("first")).filter("n > 1")
-        bad = bad.unionByName(made.join(twice, ["pre", "post"]).filter(F.col("bucket") != F.col("first")).select("bucket")).distinct()
-        good = cut(two.join(bad, "bucket", "left_anti").select("bucket"))
-        kept = e.join(good, "bucket", "left_anti").select("pre", "post", "weight")
-        edges = cut(kept.unionByName(made.join(good, "bucket", "left_semi").select("pre", "post", "weight")))
-    return edges
-
-
-def spikes(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, runs: int, steps: int, leak: float = 0.1, threshold: float = 1.0, rest: int = 2, drive: float = 0.35, every: int = 5) -> DataFrame:
-    """Leaky integrate-and-fire counts per run and node: a step joins the edges with the nodes that fired and adds up per target.
-
-    Seeds get a random input in each step, a hash of run, step and node. A node that fires returns to
-    0 and rests for some steps.
+    out = edges.groupBy(F.col("pre").alias("body_id")).agg(F.sum("weight").alias("out"))
+    base = nodes.select("body_id", "nt").join(out, "body_id", "left").select("body_id", "nt", F.coalesce("out", F.lit(0.0)).alias("out"))
+    base = numbered(base.withColumn("o", F.round("out", 6)), [], F.desc("o"), "body_id", name="k").drop("o")
+    sizes = nodes.sparkSession.createDataFrame([(b,) for b in blocks], "block int")
+    many = cut(drawn(base, draws).crossJoin(F.broadcast(sizes)).withColumn("of", F.floor((F.col("k") - 1) / F.col("block"))))
+    own, dealt = Window.partitionBy("draw", "block", "of").orderBy("k"), Window.partitionBy("draw", "block", "of").orderBy(by_hash(F.lit(seed), F.lit("matched"), "draw", "block", "body_id"), "body_id")
+    place, label = many.select("draw", "block", "of", "body_id", "out", F.row_number().over(dealt).alias("i")), many.select("draw", "block", "of", "nt", F.row_number().over(own).alias("i"))
+    new = cut(place.join(label, ["draw", "block", "of", "i"]).select("draw", "block", "body_id", "out", "nt"))
+    real = base.groupBy("nt").agg(F.sum("out").alias("real"))
+    total = base.agg(F.greatest(F.sum("out"), F.lit(1e-300)).alias("total"))
+    shares = new.groupBy("draw", "block", "nt").agg(F.sum("out").alias("share")).join(F.broadcast(real), "nt").crossJoin(F.broadcast(total))
+    off = shares.groupBy("draw", "block").agg(F.max(F.abs(F.col("share") - F.col("real")) / F.col("total")).alias("off"))
+    best = off.filter(F.round("off", 9) <= tolerance).groupBy("draw").agg(F.max("block").alias("block"))
+    found = new.join(F.broadcast(best), ["draw", "block"]).select("draw", "body_id", "nt", "block")
+    none = drawn(base, draws).join(F.broadcast(best), "draw", "left_anti").select("draw", "body_id", "nt", F.lit(1).alias("block"))
+    return found.unionByName(none)
+
+
+def weight_nulls(edges: DataFrame, draws: int, seed: int = 0, within: tuple[str, ...] = ("post",)) -> DataFrame:
+    """Weights dealt anew, once per draw: ``draw, pre, post, weight``; over each target's incoming edges, so every target keeps its own, or over all (``within=()``)."""
+    many, of = drawn(edges.select("pre", "post", "weight"), draws), ["draw", *within]
+    place = numbered(many.withColumn("h", by_hash(F.lit(seed), "draw", "pre", "post")), of, "h", "pre", "post", name="k").select("draw", "pre", "post", "k")
+    held = numbered(many, of, "pre", "post", name="k").select(*of, "weight", "k")
+    return place.join(held, [*of, "k"]).select("draw", "pre", "post", "weight")
+
+
+def erdos_renyi(edges: DataFrame, nodes: DataFrame, draws: int, seed: int = 0, more: int = 8) -> DataFrame:
+    """Random graphs of as many edges, once per draw: ``draw, pre, post, weight``; no loops, no edge twice.
+
+    A draw proposes ``more`` times as many pairs of nodes as there are edges, by hash; of the different
+    ones that are no loops the first serve, each with the weight of an edge picked by hash, so weights
+    are drawn with replacement. A graph too dense for that many proposals gets fewer edges; the
+    chance is negligible up to a third of all pairs.
     """
-    signed = labelled(edges, nodes).withColumn("w", F.col("weight") * sign_of(F.col("nt")))
-    total = signed.groupBy("post").agg(F.greatest(F.sum(F.abs("w")), F.lit(1.0)).alias("by"))
-    w = cut(signed.join(total, "post").select("pre", "post", (F.col("w") / F.col("by")).alias("w")))
-    on = seeds.select("body_id", F.lit(1.0).alias("driven"))
-    state = nodes.select("body_id").crossJoin(nodes.sparkSession.range(runs).withColumnRenamed("id", "run")).join(on, "body_id", "left")
-    state = state.select("run", "body_id", F.coalesce("driven", F.lit(0.0)).alias("driven"), F.lit(0.0).alias("v"), F.lit(0).alias("wait"), F.lit(False).alias("fired"), F.lit(0).cast("long").alias("spikes"))
-    for k in range(steps):
-        into = state.filter("fired").select("run", F.col("body_id").alias("pre")).join(w, "pre").groupBy("run", F.col("post").alias("body_id")).agg(F.sum("w").alias("x"))
-        noise = F.pmod(F.xxhash64("run", F.lit(k), "body_id"), F.lit(1000)) / 1000.0
-        v = (1 - leak) * F.col("v") + F.coalesce("x", F.lit(0.0)) + F.col("driven") * drive * 2 * noise
-        s = state.join(into, ["run", "body_id"], "left").withColumn("u", F.when(F.col("wait") > 0, 0.0).otherwise(v))
-        fired = F.col("u") >= threshold
-        state = s.select("run", "body_id", "driven", F.when(fired, 0.0).otherwise(F.col("u")).alias("v"), F.when(fired, rest).otherwise(F.greatest(F.col("wait") - 1, F.lit(0))).alias("wait"), fired.alias("fired"), (F.col("spikes") + fired.cast("long")).alias("spikes"))
-        if (k + 1) % every == 0:
-            state = cut(state)
-    return state
+    n, m = nodes.count(), edges.count()
+    spark = edges.sparkSession
+    at = lambda name: F.conv(F.substring(by_hash(F.lit(seed), F.lit(name), "draw", "i"), 1, 12), 16, 10).cast("long")
+    tries = drawn(spark.range(m * more).withColumnRenamed("id", "i"), draws).select("draw", "i", (at("a") % max(1, n) + 1).alias("a"), (at("b") % max(1, n) + 1).alias("b")).filter("a <> b")
+    first = tries.groupBy("draw", "a", "b").agg(F.min("i").alias("i"))
+    kept = numbered(first, ["draw"], "i", name="k").filter(F.col("k") <= m).withColumn("of", at("w") % max(1, m) + 1)
+    ids = cut(numbered(nodes.select("body_id"), [], "body_id", name="k"))
+    weights = numbered(edges.select("pre", "post", "weight"), [], "pre", "post", name="of").select("of", "weight")
+    out = kept.join(ids.select(F.col("k").alias("a"), F.col("body_id").alias("pre")), "a").join(ids.select(F.col("k").alias("b"), F.col("body_id").alias("post")), "b")
+    return out.join(weights, "of").select("draw", "pre", "post", "weight")
+
+
+def rewire(edges: DataFrame, swaps_per_edge: float = 10.0, seed: int = 0, rounds: int = 400, by: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Degree-preserving rewiring by parallel double-edge swaps: the edges, one per pair of nodes, and the number of swaps made.
+
+    In each round the edges, in an order by hash, are paired inside buckets of some PAIRED; the two of
+    a pair exchange their targets, unless that makes a loop, an edge that exists, or one that another
+    pair of the round makes too. Rounds go on until as many swaps are made as asked for (ten per edge
+    forget the original) or ``rounds`` are over. Weights stay with the sources. Every in- and out-degree is
+    kept. Graphs that columns ``by`` tell apart are rewired at once, each by itself.
+    """
+    on = list(by)
+    edges = cut(edges.select(*on, "pre", "post", "weight"))
+    m, done = edges.count(), 0
+    for k in range(rounds):
+        if done >= swaps_per_edge * m:
+            break
+        h = F.xxhash64(F.lit(seed), F.lit(k), *on, "pre", "post")
+        e = edges.select(*on, "pre", "post", "weight", h.alias("h"), F.pmod(h, F.lit(max(1, m // PAIRED))).alias("bucket"))
+        at = F.row_number().over(Window.partitionBy(*on, "bucket").orderBy("h", "pre", "post"))
+        pair = e.withColumn("at", at).groupBy(*on, "bucket", F.floor((F.col("at") - 1) / 2).alias("pair")).agg(F.min(F.struct("at", "pre", "post", "weight")).alias("a"), F.max(F.struct("at", "pre", "post", "weight")).alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
+        may = pair.filter("a.at < b.at and a.pre <> b.pre and a.post <> b.post and a.pre <> b.post and b.pre <> a.post")
+        made = may.select(*on, "bucket", "pair", F.explode(F.array(F.struct("a.pre", "b.post"), F.struct("b.pre", "a.post"))).alias("x")).select(*on, "x.pre", "x.post", "bucket", "pair", F.lit(0).alias("old"))
+        there = edges.select(*on, "pre", "post", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("long").alias("pair"), F.lit(1).alias("old"))
+        free = made.unionByName(there).groupBy(*on, "pre", "post").agg(F.max("old").alias("old"), F.min(F.when(F.col("old") == 0, F.struct("bucket", "pair"))).alias("p")).filter("old = 0")
+        good = free.groupBy(*on, F.col("p.bucket").alias("bucket"), F.col("p.pair").alias("pair")).agg(F.count("*").alias("n")).filter("n = 2").withColumn("swapped", F.lit(True)).drop("n")
+        new = pair.join(good, [*on, "bucket", "pair"], "left").withColumn("swapped", F.coalesce("swapped", F.lit(False)))
+        a, b = F.struct("a.pre", F.when(F.col("swapped"), F.col("b.post")).otherwise(F.col("a.post")).alias("post"), "a.weight"), F.struct("b.pre", F.when(F.col("swapped"), F.col("a.post")).otherwise(F.col("b.post")).alias("post"), "b.weight")
+        edges = cut(new.select(*on, "swapped", F.explode(F.when(F.col("a.at") < F.col("b.at"), F.array(a, b)).otherwise(F.array(a))).alias("x")).select(*on, "x.*", "swapped"))
+        done += edges.filter("swapped").count() // 2
+        edges = edges.drop("swapped")
+        pair.unpersist()
+    return edges, done
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def scan(raw: DataFrame, least: float, pre: DataFrame, post: DataFrame) -> DataFrame:
+    """Edges of a table of some weight with both ends known: the floor is a filter that the scan takes over, membership is two semi-joins."""
+    heavy = raw.filter(F.col("weight") >= least).select("pre", "post", "weight")
+    on = lambda df, ids, end: df.join(ids.select(F.col("body_id").alias(end)), end, "left_semi")
+    return on(on(heavy, pre, "pre"), post, "post").select("pre", "post", "weight")
+
+
+def node_records(wanted: DataFrame, annotations: DataFrame, transmitters: DataFrame) -> DataFrame:
+    """Wanted bodies with ``superclass`` and ``nt``, each from the first row (by ``order``) of its key; what is missing is NULL."""
+    first = lambda df, c: df.groupBy("body_id").agg(F.min_by(c, F.struct("order", c)).alias(c))
+    return wanted.join(first(annotations, "superclass"), "body_id", "left").join(first(transmitters, "nt"), "body_id", "left")
+
+
+def backward_paths(edges: DataFrame, nodes: DataFrame, targets: DataFrame, gains: dict[str, float], longest: int, beam: int = 20_000, sources: DataFrame | None = None) -> DataFrame:
+    """Acyclic paths of 1 to ``longest`` edges into targets: ``path, length, min_weight, before, after``, the signed products at vehicle and under gains.
+
+    Partial paths grow backwards; after each step the ``beam`` strongest under gains go on, as a top-k that Spark takes per
+    task first. Sources without a sign send nothing.
+    """
+    sign = sign_of(F.col("nt"))
+    step = labelled(edges, nodes).select("pre", F.col("post").alias("head"), "weight", (F.col("weight") * sign).alias("b"), (F.col("weight") * sign * gain_of(F.col("nt"), gains)).alias("a")).filter("b <> 0")
+    front = targets.join(nodes.select("body_id"), "body_id", "left_semi").select(F.col("body_id").alias("head"), F.array("body_id").alias("path"), F.lit(1.0).alias("before"), F.lit(1.0).alias("after"), F.lit(None).cast("double").alias("min_weight"))
+    found = []
+    for k in range(1, longest + 1):
+        grown = front.join(step, "head").filter(~F.array_contains("path", F.col("pre")))
+        grown = cut(grown.select(F.col("pre").alias("head"), F.concat(F.array("pre"), "path").alias("path"), (F.col("before") * F.col("b")).alias("before"), (F.col("after") * F.col("a")).alias("after"), F.least("min_weight", "weight").alias("min_weight")))
+        found.append(grown.withColumn("length", F.lit(k)))
+        front = grown.orderBy(F.desc(F.round(F.abs("after"), 6)), "path").limit(beam)
+    out = union_all(found)
+    return out.join(sources.select(F.col("body_id").alias("head")), "head", "left_semi").drop("head") if sources is not None else out.drop("head")

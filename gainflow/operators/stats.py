@@ -16,6 +16,15 @@ def ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataF
     return ranged.withColumn("__own", own).join(F.broadcast(before.drop("n")), "__part").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
 
 
+def numbered(df: DataFrame, by: list[str], *order: Column | str, name: str) -> DataFrame:
+    """Number the rows of each group in an order, from 1, without one task seeing a whole group: :func:`ordinal` less the group's first."""
+    if not by:
+        return ordinal(df, *order, name=name)
+    rows = cut(ordinal(df, *by, *order, name=name))
+    first = rows.groupBy(*by).agg(F.min(name).alias("__first"))
+    return rows.join(first, by).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first")
+
+
 def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Average ranks with ties, NULL values unranked: ordinals of distinct values with their counts, then a join back."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
@@ -131,3 +140,46 @@ def jansen(rows: DataFrame, by: str) -> DataFrame:
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, and sample standard deviation (0 for one value) over finite values."""
     return rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+
+
+def p_convergence(draws: DataFrame, fractions: tuple[float, ...] = (0.25, 0.5, 1.0), tolerance: float = 0.02, alpha: float = 0.05, by: str = "cell") -> DataFrame:
+    """Has the permutation p stopped moving? p and verdict on prefixes of each cell's draws, held against all of them.
+
+    ``stabilised``: no prefix is off by more than the tolerance, nor of another verdict; ``n_stabilised``: the smallest
+    prefix, never all draws, from which that holds; ``resolution_limited``: p is at its floor 1 / (n + 1).
+    """
+    checks = draws.sparkSession.createDataFrame([(f,) for f in fractions], "fraction double")
+    n = draws.groupBy(by).agg(F.count("*").alias("total"))
+    placed = numbered(draws, [by], "k1", "k2", name="i").join(n, by).crossJoin(F.broadcast(checks)).withColumn("upto", F.bround(F.col("fraction") * F.col("total")).cast("long"))
+    rows = cut(placed.filter("i <= upto").select(by, "upto", "effect", "real"))
+    centre = rows.groupBy(by, "upto").agg(F.avg("effect").alias("centre"))
+    beyond = F.abs(F.round(F.col("effect") - F.col("centre"), 9)) >= F.abs(F.round(F.col("real") - F.col("centre"), 9))
+    at = rows.join(centre, [by, "upto"]).groupBy(by, "upto").agg(((F.count_if(beyond) + 1) / (F.count("*") + 1)).alias("p"))
+    last = at.groupBy(by).agg(F.max("upto").alias("n"), F.max_by("p", "upto").alias("last"))
+    at = at.join(last, by).withColumns({"shift": F.abs(F.col("p") - F.col("last")), "same": (F.col("p") <= alpha) == (F.col("last") <= alpha)})
+    off = (F.round("shift", 9) > tolerance) | ~F.col("same")
+    at = at.join(at.groupBy(by).agg(F.coalesce(F.max(F.when(off, F.col("upto"))), F.lit(0)).alias("late")), by)
+    earlier = F.when((F.col("upto") > F.col("late")) & (F.col("upto") < F.col("n")), F.col("upto"))
+    out = at.groupBy(by).agg(F.max("n").alias("n"), F.max("last").alias("p"), F.coalesce(F.max(F.when(F.col("upto") < F.col("n"), F.col("shift"))), F.lit(0.0)).alias("p_max_shift"), F.bool_and("same").alias("verdict_stable"), F.bool_and(~off).alias("stabilised"), F.min(earlier).alias("n_stabilised"))
+    return out.withColumn("resolution_limited", F.col("p") <= 1 / (F.col("n") + 1) + 1e-12)
+
+
+def fdr_diagnostics(tests: DataFrame, p: str = "p", resolution: str = "resolution", alpha: float = 0.05) -> DataFrame:
+    """One row: whether false-discovery control can reject anything at the tests' resolution (the coarsest).
+
+    ``min_rejections``: tests that must sit at the floor before any is rejected; ``single_rejection``: whether one alone can be.
+    """
+    done = benjamini_hochberg(tests, p, alpha).filter(F.col(p).isNotNull())
+    a = done.agg(F.count("*").alias("m"), F.count_if("rejected").alias("n_rejected"), F.max(resolution).alias("resolution"))
+    least = F.when(F.col("m") > 0, F.ceil(F.round(F.col("m") * F.col("resolution") / alpha, 9)))
+    return a.withColumn("min_rejections", least).withColumns({"can_reject": F.coalesce(F.col("min_rejections") <= F.col("m"), F.lit(True)), "single_rejection": F.when(F.col("m") > 0, F.col("resolution") <= alpha / F.col("m"))})
+
+
+def binomial_two_sided(k: Column, n: Column) -> Column:
+    """Exact two-sided tail of k successes in n fair trials, NULL without trials: outcomes no likelier than k, in logarithms so that large n do not underflow."""
+    least = F.least(k, n - k)
+    step = lambda a, i: F.struct((a["log"] + F.ln((n - i + 1) / i)).alias("log"), (a["sum"] + F.exp(a["log"] + F.ln((n - i + 1) / i))).alias("sum"))
+    first = -n * F.ln(F.lit(2.0))
+    upto = F.when(least > 0, F.sequence(F.lit(1).cast("long"), least)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(upto, F.struct(first.alias("log"), F.exp(first).alias("sum")), step)["sum"]
+    return F.when(n > 0, F.when(2 * least == n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))

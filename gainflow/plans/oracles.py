@@ -34,7 +34,10 @@ def engaged(*doses: float) -> str:
 SQL["engagement_at_dose"] = f"WITH {engaged()} SELECT pos, compound, receptor, distance, model, round(engagement, 9) AS engagement FROM en"
 SQL["engagement_curve"] = f"""WITH {engaged(0.0, 1e-7, 1e-6, 1e-5, 1e-4)}, k AS (SELECT *, row_number() OVER (PARTITION BY compound, conc_m ORDER BY round(engagement, 9) DESC NULLS LAST, pos DESC) AS k FROM en)
 SELECT compound, conc_m, round(max(engagement), 9) AS top, max(CASE WHEN k = 1 THEN receptor END) AS receptor, count(engagement) AS modelled FROM k GROUP BY ALL"""
-SQL["evidence_rule_table"] = f"SELECT param_type, relation, distance, model FROM {MODELS}"
+SQL["evidence_rule_table"] = """WITH p AS (SELECT unnest(['Kd', 'Ki', 'EC50', 'IC50', 'Kb', 'relative_potency', 'class_order', 'unknown']) AS param_type),
+d AS (SELECT * FROM (VALUES ('exact_compound_exact_receptor_exact_species', 'E0'), ('exact_compound_exact_receptor_other_species', 'E1'), ('exact_compound_related_receptor', 'E2'), ('class_extrapolation', 'E3'), ('unsupported', 'E4')) AS t(relation, distance))
+SELECT param_type, relation, distance, CASE WHEN distance = 'E4' OR param_type IN ('relative_potency', 'class_order', 'unknown') THEN 'not_modelled' WHEN distance = 'E0' AND param_type IN ('Kd', 'Ki') THEN 'binding_occupancy' WHEN distance = 'E0' THEN 'functional_engagement'
+  WHEN distance IN ('E1', 'E2') AND param_type IN ('Kd', 'Ki') THEN 'binding_engagement_proxy' ELSE 'functional_engagement_proxy' END AS model FROM p CROSS JOIN d"""
 SQL["library_census"] = f"WITH {EM} SELECT param_type, relation, distance, model, receptor, count(*) AS n, count(value_m) AS n_valued FROM em GROUP BY GROUPING SETS ((param_type), (relation), (distance), (model), (receptor), (distance, model), ())"
 SQL["library_violations"] = f"""WITH {EV}, v AS (SELECT 'no_value' AS problem, compound FROM ev WHERE value_m IS NULL UNION ALL SELECT 'value_not_positive', compound FROM ev WHERE value_m <= 0
   UNION ALL SELECT 'type_without_value', compound FROM ev WHERE param_type <> 'unknown' AND value_m IS NULL UNION ALL SELECT 'value_without_type', compound FROM ev WHERE param_type = 'unknown' AND value_m IS NOT NULL
@@ -65,12 +68,12 @@ SQL["pair_selectivity"] = f"""WITH {engaged()}, {PAIRS} SELECT compound, target,
   CASE WHEN NOT known THEN 'placeholder' WHEN NOT same THEN 'mixed_param_types' END AS reason FROM pairs"""
 SQL["best_pair_rules"] = f"""WITH {engaged()}, {PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY compound ORDER BY round(log10(ratio), 9) DESC, target) AS a, row_number() OVER (PARTITION BY compound ORDER BY same DESC, round(log10(ratio), 9) DESC, target) AS b FROM pairs WHERE known)
 SELECT compound, max(CASE WHEN a = 1 THEN target END) AS largest, max(CASE WHEN b = 1 THEN target END) AS comparable_first, max(CASE WHEN b = 1 AND same THEN target END) AS comparable_only FROM k GROUP BY 1"""
-MIX = f"{EV}, mix AS (SELECT compound // 3 AS mixture, receptor, pos, value_m, n, 1e-7 * (1 + pos % 5) AS dose FROM ev WHERE compound % 3 < 2 AND value_m IS NOT NULL)"
+MIX = f"{EV}, mix AS (SELECT compound // 3 AS mixture, receptor, pos, value_m, n, 1e-7 * (1 + pos % 5) AS dose FROM ev WHERE value_m IS NOT NULL)"
 SQL["mixture_competition"] = f"WITH {MIX}, s AS (SELECT *, sum(dose / value_m) OVER (PARTITION BY mixture, receptor) AS a FROM mix) SELECT mixture, receptor, pos, round(dose / value_m / (1 + a), 9) AS share, round(a / (1 + a), 9) AS total FROM s"
 SQL["bliss_expected"] = f"WITH {engaged()} SELECT compound, round(1 - product(1 - engagement), 9) AS expected, count(*) AS n FROM en WHERE engagement IS NOT NULL GROUP BY 1"
 SQL["loewe_index"] = f"WITH {MIX}, c AS (SELECT mixture, sum(dose / (value_m * pow(0.5 / 0.5, 1 / n))) AS ci FROM mix GROUP BY 1) SELECT mixture, round(ci, 6) AS ci, CASE WHEN ci < 1 / 1.25 THEN 'synergistic' WHEN ci > 1.25 THEN 'antagonistic' ELSE 'additive' END AS verdict FROM c"
 SH = f"sh AS (SELECT n_nationkey * 5 AS compound, ({listed(KEYS[:6])})[n_nationkey % 6 + 1] AS receptor, 2.0::DOUBLE + n_nationkey * 0.5::DOUBLE AS fold FROM nation)"
-SQL["genotype_shift"] = f"""WITH {EV}, {SH}, j AS (SELECT ev.*, fold, value_m * coalesce(fold, 1.0) AS m FROM ev LEFT JOIN sh USING (compound, receptor) WHERE compound <= 120)
+SQL["genotype_shift"] = f"""WITH {EV}, {SH}, j AS (SELECT ev.*, fold, value_m * coalesce(fold, 1.0) AS m FROM ev LEFT JOIN sh USING (compound, receptor))
 SELECT pos, CASE WHEN value_m IS NULL THEN 'not_modelled' WHEN fold IS NULL THEN 'unshifted' ELSE 'shifted' END AS state, round(m * 1e9, 6) AS shifted_nm, round(pow(1e-6, n) / (pow(m, n) + pow(1e-6, n)) - pow(1e-6, n) / (pow(value_m, n) + pow(1e-6, n)), 9) AS delta FROM j"""
 SQL["unshifted_anti"] = f"WITH {EV}, {SH} SELECT compound::BIGINT AS compound, receptor, fold FROM sh WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.compound = sh.compound AND ev.receptor = sh.receptor)"
 SQL["preferred_row"] = f"WITH {EV}, k AS (SELECT compound, pos, (pos % 3)::INT AS grade, row_number() OVER (PARTITION BY compound ORDER BY pos % 3 DESC, pos) AS k, count(*) OVER (PARTITION BY compound) - 1 AS alternatives FROM ev WHERE value_m IS NOT NULL) SELECT compound, pos, grade, alternatives FROM k WHERE k = 1"
@@ -97,7 +100,6 @@ SQL["khop_frontier"] = f"WITH {BOTH}, h0 AS (SELECT 1 AS body_id, 0 AS hop), h1
 SQL["ranked_rings"] = f"""WITH {BOTH}, r0 AS (SELECT 1 AS body_id, 0 AS ring, 0.0::DOUBLE AS pull), r1 AS (SELECT post AS body_id, 1 AS ring, sum(weight) AS pull FROM b WHERE pre = 1 AND post <> 1 GROUP BY 1), c1 AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1),
 r2 AS (SELECT post AS body_id, 2 AS ring, sum(weight) AS pull FROM b WHERE pre IN (SELECT body_id FROM c1) AND post NOT IN (SELECT body_id FROM c1) GROUP BY 1), u AS (SELECT * FROM c1 UNION ALL SELECT * FROM r2)
 SELECT body_id, ring, round(pull, 6) AS pull, row_number() OVER (PARTITION BY ring ORDER BY round(pull, 6) DESC, body_id) AS place FROM u"""
-SQL["top_changed"] = SQL["edge_effective_weight"] + " ORDER BY abs(delta) DESC, pre, post LIMIT 15"
 
 
 def hops(n: int) -> str:
@@ -111,7 +113,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY strength DESC, w
 SQL["two_hop_paths"], SQL["three_hop_paths"] = hops(2), hops(3)
 
 
-def rates(normalise: str = "row_abs", gain: str = "1.0", name: str = "x", steps: int = 10) -> str:
+def rates(normalise: str = "row_abs", gain: str = "1.0", name: str = "x", steps: int = 80) -> str:
     by = {"row_abs": "greatest(sum(abs(before)) OVER (PARTITION BY post), 1)", "none": "1", "degree": "greatest(count(*) FILTER (before <> 0) OVER (PARTITION BY post), 1)"}[normalise]
     out = f"{name}w AS (SELECT pre, post, before / {by} * {gain} AS w FROM lab), {name}0 AS (SELECT body_id, CASE WHEN body_id IN (SELECT body_id FROM seed) THEN 40.0::DOUBLE ELSE 0 END AS hz, 0.0::DOUBLE AS r FROM node)"
     for i in range(1, steps + 1):
@@ -121,9 +123,10 @@ def rates(normalise: str = "row_abs", gain: str = "1.0", name: str = "x", steps:
 
 
 for _n in ("row_abs", "none", "degree"):
-    SQL[f"rate_{_n}_k10"] = f"WITH {EDGE}, {rates(_n)} SELECT body_id, round(r, 6) AS hz FROM x10"
-SQL["rate_by_superclass"] = f"WITH {EDGE}, {rates()} SELECT superclass, round(avg(r), 6) AS mean_hz, round(max(r), 6) AS max_hz FROM x10 JOIN node USING (body_id) GROUP BY 1"
-SQL["treated_minus_vehicle"] = f"WITH {EDGE}, {rates()}, {rates(gain=_GAIN, name='y')} SELECT body_id, round(x10.r, 6) AS vehicle, round(y10.r, 6) AS treated, round(y10.r - x10.r, 6) AS delta FROM x10 JOIN y10 USING (body_id)"
+    SQL[f"rate_{_n}_k10"] = f"WITH {EDGE}, {rates(_n, steps=10)} SELECT body_id, round(r, 6) AS hz FROM x10"
+SQL["rate_by_superclass"] = f"WITH {EDGE}, {rates()} SELECT superclass, round(avg(r), 6) AS mean_hz, round(max(r), 6) AS max_hz FROM x80 JOIN node USING (body_id) GROUP BY 1"
+SQL["treated_minus_vehicle"] = f"WITH {EDGE}, {rates()}, {rates(gain=_GAIN, name='y')} SELECT body_id, round(x80.r, 6) AS vehicle, round(y80.r, 6) AS treated, round(y80.r - x80.r, 6) AS delta FROM x80 JOIN y80 USING (body_id)"
+SQL["top_changed"] = SQL["treated_minus_vehicle"] + " ORDER BY abs(round(y80.r - x80.r, 6)) DESC, body_id LIMIT 15"
 SQL["census_index"] = f"""WITH {NODE}, c AS (SELECT 40.0 * count(*) FILTER (nt = 'acetylcholine') / count(*) AS a, 40.0 * count(*) FILTER (nt = 'gaba') / count(*) AS b, 40.0 * count(*) FILTER (nt = 'glutamate') / count(*) AS g FROM node),
 v AS (SELECT arm, convention, greatest(0, a * ga + x * g - 1.1 * b * gb) AS e, greatest(0, b * gb + y * g) AS i FROM c CROSS JOIN {values([('vehicle', 1.0, 1.0), ('treated', 0.4, 0.7)], 'arm, ga, gb')} CROSS JOIN (SELECT * FROM {values([('wholens', 0.3, 0.7), ('rate_engine', -0.4, 0.4)], 'convention, x, y')}))
 SELECT arm, convention, round(e::DOUBLE, 9) AS excitation, round(i::DOUBLE, 9) AS inhibition, CASE WHEN i > 1e-9 THEN round(e::DOUBLE / i::DOUBLE, 9) END AS ratio FROM v"""
@@ -145,17 +148,17 @@ SQL["necessary_level"] = f"WITH {MODES}, l AS (SELECT *, list_position(['erdos_r
 SQL["prefix_convergence"] = f"""WITH {PERM}, i AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY k1, k2) AS i, count(*) OVER (PARTITION BY cell) AS n FROM d), a AS (SELECT cell, fraction, avg(effect) AS mean FROM i JOIN (SELECT f::DOUBLE AS fraction FROM {values([(0.25,), (0.5,), (1.0,)], 'f')}) ON i <= ceil(n * fraction) GROUP BY ALL),
 l AS (SELECT cell, mean AS last FROM a WHERE fraction = 1), o AS (SELECT a.*, abs(round(mean - last, 9)) > 0.02 * abs(last) AS off_, last FROM a JOIN l USING (cell)), g AS (SELECT cell, coalesce(max(CASE WHEN off_ THEN fraction END), 0) AS late FROM o GROUP BY 1)
 SELECT cell, round(max(last), 6) AS mean, count(*) FILTER (off_) AS n_off, min(fraction) FILTER (fraction > late) AS settled FROM o JOIN g USING (cell) GROUP BY 1"""
-SQL["threshold_crossing"] = """WITH c AS (SELECT o_orderkey // 8 AS curve, o_orderkey % 8 AS u, o_totalprice / 200000 AS y FROM orders WHERE o_orderkey % 8 BETWEEN 1 AND 5), l AS (SELECT *, lag(u) OVER w AS pu, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY curve ORDER BY u)),
+SQL["threshold_crossing"] = """WITH c AS (SELECT o_orderkey // 8 AS curve, o_orderkey % 8 AS u, o_totalprice / 200000 AS y FROM orders), l AS (SELECT *, lag(u) OVER w AS pu, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY curve ORDER BY u)),
 f AS (SELECT *, row_number() OVER (PARTITION BY curve ORDER BY u) AS k FROM l WHERE y >= 1) SELECT curve, round(CASE WHEN pu IS NULL THEN u::DOUBLE ELSE pu + (1 - py) / (y - py) * (u - pu) END, 6) AS log_crossing, pu IS NULL AS at_first FROM f WHERE k = 1"""
 SQL["verdict_islands"] = """WITH c AS (SELECT o_custkey, o_orderkey, o_orderstatus AS s, CASE WHEN lag(o_orderstatus) OVER w <> o_orderstatus THEN 1 ELSE 0 END AS ch FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), r AS (SELECT *, sum(ch) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM c)
 SELECT o_custkey, sum(ch)::BIGINT AS changes, count(*) FILTER (run = last) AS agreeing, arg_max(s, o_orderkey) AS final FROM (SELECT *, max(run) OVER (PARTITION BY o_custkey) AS last FROM r) GROUP BY 1"""
-SQL["psth_bins"] = "SELECT floor(epoch(ts) / 3600)::BIGINT AS bin, count(*) AS spikes, count(DISTINCT user_id) AS cells FROM events WHERE event_type IN ('click', 'view') GROUP BY 1"
+SQL["psth_bins"] = "SELECT floor(epoch(ts) / 3600)::BIGINT AS bin, count(*) AS spikes, count(DISTINCT user_id) AS cells FROM events GROUP BY 1"
 SQL["raster_budget"] = "WITH e AS (SELECT user_id, count(*) AS spikes FROM events GROUP BY 1), k AS (SELECT *, least(spikes, 8) AS kept, row_number() OVER (ORDER BY spikes DESC, user_id) AS ordinal FROM e) SELECT user_id, spikes, kept, (SELECT sum(kept) FROM k)::BIGINT AS all_kept, ordinal FROM k WHERE ordinal <= 50"
 SQL["experiment_summary"] = "SELECT o_orderpriority AS compound, o_orderstatus AS arm, count(*) AS n, round(avg(o_totalprice), 6) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS sd FROM orders GROUP BY 1, 2"
 SQL["stability_matrix"] = """WITH m AS (SELECT o_orderpriority AS conclusion, o_orderkey % 25 AS spec, avg(CASE WHEN o_orderkey % 7 <> 0 THEN (o_totalprice > 150000)::INT END) AS share FROM orders GROUP BY ALL)
 SELECT conclusion, count(*) AS n, count(*) FILTER (share > 0.5) AS retained, count(*) FILTER (share IS NULL) AS undecidable, round(avg(share), 6) AS share FROM m GROUP BY 1"""
 SQL["threshold_grid"] = f"WITH {engaged()}, {PAIRS}, g AS (SELECT f::DOUBLE AS frac, v::DOUBLE AS vert_limit FROM {values([(f, v) for f in (0.25, 0.4, 0.5) for v in (0.1, 0.2, 0.3)], 'f, v')}) SELECT frac, vert_limit, count(*) AS n, count(*) FILTER (ie >= frac AND ve < vert_limit) AS amplified FROM pairs CROSS JOIN g WHERE known GROUP BY ALL"
-SQL["jansen_indices"] = """WITH r AS (SELECT l_orderkey, max(l_extendedprice) FILTER (l_linenumber = 1) AS a, max(l_extendedprice) FILTER (l_linenumber = 2) AS b, max(l_extendedprice) FILTER (l_linenumber = 3) AS ab FROM lineitem GROUP BY 1), k AS (SELECT *, (l_orderkey % 5)::INT AS factor FROM r WHERE a IS NOT NULL AND b IS NOT NULL AND ab IS NOT NULL),
+SQL["jansen_indices"] = """WITH k AS (SELECT l_linenumber::INT AS factor, l_extendedprice AS a, 1500 * l_quantity AS b, l_extendedprice * (1 - l_discount) AS ab FROM lineitem),
 v AS (SELECT factor, var_samp(y) AS v FROM (SELECT factor, a AS y FROM k UNION ALL SELECT factor, b FROM k) GROUP BY 1) SELECT factor, round(1 - sum(pow(b - ab, 2)) / (2 * count(*)) / max(v), 6) AS first, round(sum(pow(a - ab, 2)) / (2 * count(*)) / max(v), 6) AS total FROM k JOIN v USING (factor) GROUP BY 1"""
 SQL["ishigami"] = "WITH x AS (SELECT l_returnflag, (l_quantity / 25 - 1) * 3.141592653589793::DOUBLE AS a, (l_discount * 20 - 1) * 3.141592653589793::DOUBLE AS b, (l_tax * 25 - 1) * 3.141592653589793::DOUBLE AS c FROM lineitem) SELECT l_returnflag, round(avg(sin(a) + 7 * pow(sin(b), 2) + 0.1 * pow(c, 4) * sin(a)), 5) AS mean, round(var_samp(sin(a) + 7 * pow(sin(b), 2) + 0.1 * pow(c, 4) * sin(a)), 4) AS variance FROM x GROUP BY 1"
 SQL["sign_permute_nulls"] = f"""WITH {EDGE}, n AS (SELECT body_id, nt, i AS draw FROM node CROSS JOIN range(20) r(i)), p AS (SELECT draw, body_id, row_number() OVER (PARTITION BY draw ORDER BY md5('0:to:' || draw || ':' || body_id), body_id) AS k FROM n), l AS (SELECT draw, nt, row_number() OVER (PARTITION BY draw ORDER BY body_id) AS k FROM n)
@@ -165,13 +168,13 @@ SELECT draw, pre, count(*) AS out_degree, round(sum(weight), 6) AS out_weight FR
 SQL["sha_digest"] = "WITH l AS (SELECT source, doc_id // 256 AS block, sha256(doc_id || chr(9) || sha256(text)) AS h FROM documents) SELECT source, block, sha256(string_agg(h, chr(10) ORDER BY h)) AS digest, count(*) AS n FROM l GROUP BY 1, 2"
 SQL["json_fields"] = "SELECT event_type, count(json_extract_string(props, '$.k')) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, max(json_extract_string(props, '$.k')::BIGINT) AS top FROM events GROUP BY 1"
 SQL["cited_numbers"] = r"WITH x AS (SELECT lang, unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+')) AS x FROM documents) SELECT lang, count(*) AS n, count(DISTINCT x) AS different FROM x GROUP BY 1"
-SQL["sensitivity_tornado"] = f"""WITH {engaged()}, m AS (SELECT pos, parameter, conc_m, value_m * CASE parameter WHEN 'value_m' THEN factor ELSE 1 END AS v, n * CASE parameter WHEN 'n' THEN factor ELSE 1 END AS s FROM en CROSS JOIN (SELECT parameter, factor::DOUBLE AS factor FROM {values([(p, f) for p in ('value_m', 'n') for f in (0.5, 2.0)], 'parameter, factor')}) WHERE engagement IS NOT NULL AND receptor = 'insect_RDL'),
+SQL["sensitivity_tornado"] = f"""WITH {engaged()}, m AS (SELECT pos, parameter, conc_m, value_m * CASE parameter WHEN 'value_m' THEN factor ELSE 1 END AS v, n * CASE parameter WHEN 'n' THEN factor ELSE 1 END AS s FROM en CROSS JOIN (SELECT parameter, factor::DOUBLE AS factor FROM {values([(p, f) for p in ('value_m', 'n') for f in (0.5, 2.0)], 'parameter, factor')}) WHERE engagement IS NOT NULL),
 e AS (SELECT pos, parameter, pow(conc_m, s) / (pow(v, s) + pow(conc_m, s)) AS y FROM m) SELECT pos, parameter, round(min(y), 9) AS low, round(max(y), 9) AS high, round(max(y) - min(y), 9) AS span FROM e GROUP BY 1, 2"""
 _TV = SQL["treated_minus_vehicle"]
 SQL["circuit_disruption"] = f"WITH t AS ({_TV}) SELECT round(avg(abs(delta)) / avg(vehicle), 6) AS disruption, count(*) AS n FROM t"
-SQL["normalisation_signs"] = f"WITH {EDGE}, " + ", ".join(f"{rates(h, name=f'v{i}_')}, {rates(h, _GAIN, f't{i}_')}" for i, h in enumerate(("row_abs", "none", "degree"))) + ", e AS (" + " UNION ALL ".join(f"SELECT '{h}' AS normalise, round((SELECT avg(r) FROM t{i}_10) - (SELECT avg(r) FROM v{i}_10), 6) AS effect" for i, h in enumerate(("row_abs", "none", "degree"))) + ") SELECT normalise, effect, sign(effect)::INT AS sign FROM e"
+SQL["normalisation_signs"] = f"WITH {EDGE}, " + ", ".join(f"{rates(h, name=f'v{i}_')}, {rates(h, _GAIN, f't{i}_')}" for i, h in enumerate(("row_abs", "none", "degree"))) + ", e AS (" + " UNION ALL ".join(f"SELECT '{h}' AS normalise, round((SELECT avg(r) FROM t{i}_80) - (SELECT avg(r) FROM v{i}_80), 6) AS effect" for i, h in enumerate(("row_abs", "none", "degree"))) + ") SELECT normalise, effect, sign(effect)::INT AS sign FROM e"
 SQL["first_seen_edges"] = "WITH k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) SELECT l_suppkey AS pre, l_partkey AS post, l_orderkey, round(l_quantity, 6) AS weight FROM k WHERE k = 1"
-SQL["mixture_coverage"] = f"WITH {EV}, a AS (SELECT compound // 3 AS mixture, receptor, value_m FROM ev WHERE compound % 3 < 2), g AS (SELECT DISTINCT a.mixture, b.receptor FROM a CROSS JOIN (SELECT DISTINCT receptor FROM a) b) SELECT mixture, count(*) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.mixture = g.mixture AND a.receptor = g.receptor AND value_m IS NOT NULL) GROUP BY 1"
+SQL["mixture_coverage"] = f"WITH {EV}, a AS (SELECT compound // 3 AS mixture, receptor, value_m FROM ev), g AS (SELECT DISTINCT a.mixture, b.receptor FROM a CROSS JOIN (SELECT DISTINCT receptor FROM a) b) SELECT mixture, count(*) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.mixture = g.mixture AND a.receptor = g.receptor AND value_m IS NOT NULL) GROUP BY 1"
 SQL["viewer_edges"] = f"WITH {BIG}, h AS (SELECT pre, post, round(weight, 6) AS weight FROM big WHERE weight >= 10) SELECT pre, post, weight, (SELECT count(*) FROM h) > 500 AS truncated FROM h ORDER BY weight DESC, pre, post LIMIT 500"
 SQL["response_sample_sizes"] = f"""WITH {engaged()}, e AS (SELECT compound, least(max(engagement), 0.5) AS f FROM en WHERE receptor LIKE 'insect%' GROUP BY 1 HAVING max(engagement) IS NOT NULL), p AS (SELECT *, 0.8::DOUBLE AS a, 0.8::DOUBLE * (1 - f) AS b, (0.8::DOUBLE + 0.8::DOUBLE * (1 - f)) / 2 AS m FROM e)
 SELECT compound, round(f, 9) AS drop, CASE WHEN f > 1e-9 THEN ceil(round(pow({__import__('statistics').NormalDist().inv_cdf(0.975)}::DOUBLE * sqrt(2 * m * (1 - m)) + {__import__('statistics').NormalDist().inv_cdf(0.8)}::DOUBLE * sqrt(a * (1 - a) + b * (1 - b)), 2) / pow(a - b, 2), 6))::BIGINT END AS per_group FROM p"""
@@ -183,7 +186,7 @@ SQL["balance_report"] = f"""WITH {EDGE}, n AS (SELECT body_id, nt, i AS draw FRO
 w AS (SELECT draw, nt, sum(weight) AS w FROM p JOIN l USING (draw, k) JOIN edge ON pre = body_id GROUP BY 1, 2), o AS (SELECT nt, sum(weight) AS real FROM lab GROUP BY 1), r AS (SELECT nt, coalesce(real, 0) AS real FROM (SELECT DISTINCT nt FROM node) LEFT JOIN o USING (nt))
 SELECT nt, round(max(real), 6) AS real, round(avg(w), 6) AS mean, round(coalesce(stddev_samp(w), 0), 4) AS sd, round(min(w), 6) AS low, round(max(w), 6) AS high, round(max(abs(w - real)), 6) AS most_off FROM w JOIN r USING (nt) GROUP BY 1"""
 SQL["source_overlap"] = r"WITH x AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+')) AS x FROM documents) SELECT a.lang AS a, b.lang AS b, count(*) AS shared FROM x a JOIN x b ON a.x = b.x AND a.lang < b.lang GROUP BY 1, 2"
-SQL["genotype_panel"] = f"""WITH {EV}, g AS (SELECT pos, genotype, pow(1e-6, n) / (pow(value_m * fold, n) + pow(1e-6, n)) AS y FROM ev CROSS JOIN (SELECT genotype, fold::DOUBLE AS fold FROM {values([('wild_type', 1.0), ('low', 2.0), ('high', 20.0)], 'genotype, fold')}) WHERE value_m IS NOT NULL AND receptor = 'insect_nAChR')
+SQL["genotype_panel"] = f"""WITH {EV}, g AS (SELECT pos, genotype, pow(1e-6, n) / (pow(value_m * fold, n) + pow(1e-6, n)) AS y FROM ev CROSS JOIN (SELECT genotype, fold::DOUBLE AS fold FROM {values([('wild_type', 1.0), ('low', 2.0), ('high', 20.0)], 'genotype, fold')}) WHERE value_m IS NOT NULL)
 SELECT pos, genotype, round(y, 9) AS engagement, round(y - max(CASE WHEN genotype = 'wild_type' THEN y END) OVER (PARTITION BY pos), 9) AS delta FROM g"""
 SQL["exposure_occupancy"] = "WITH c AS (SELECT s_suppkey AS subject, 1e-6 * (1 + s_suppkey % 7) * 0.5 * h * exp(-0.5 * h) AS c FROM supplier CROSS JOIN range(25) r(h)) SELECT subject, round(avg(c / (5e-7 + c)), 9) AS mean, round(max(c / (5e-7 + c)), 9) AS top FROM c GROUP BY 1"
 SQL["equivalence_margins"] = f"WITH t AS ({_TV}) SELECT body_id, round(0.05 * abs(vehicle), 6) AS margin, round(greatest(1e-6, 0.01 * abs(vehicle)), 8) AS floor, abs(delta) < 0.05 * abs(vehicle) AS within, abs(delta) <= greatest(1e-6, 0.01 * abs(vehicle)) AS no_effect FROM t"

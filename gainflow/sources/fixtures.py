@@ -49,6 +49,19 @@ def big_edges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("pre"), F.col("l_partkey").alias("post")).agg(F.sum("l_quantity").alias("weight"))
 
 
+def order_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of :func:`order_edges`: ``body_id, nt, superclass``."""
+    p = F.col("p_partkey")
+    return table(spark, d, "part").select(p.alias("body_id"), pick(["acetylcholine", "gaba", "glutamate", "octopamine", "histamine", "unclear"], p).alias("nt"), pick(["sensory", "central", "motor", "visual"], F.col("p_size")).alias("superclass"))
+
+
+def order_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A sparse graph that grows with the tables: from the part of each order's first line to that of its last, weighted by the order's quantity."""
+    line = F.struct("l_linenumber", "l_partkey")
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", line).alias("pre"), F.max_by("l_partkey", line).alias("post"), F.sum("l_quantity").alias("w"))
+    return o.filter("pre <> post").groupBy("pre", "post").agg(F.sum("w").alias("weight"))
+
+
 def draws(spark: SparkSession, d: str) -> DataFrame:
     """Null draws: ``cell, k1, k2, effect`` with the cell's real effect ``real``."""
     return table(spark, d, "lineitem").select(
