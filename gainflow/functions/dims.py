@@ -21,7 +21,7 @@ GAINS = ("g_ach", "g_gaba", "g_glu", "g_oct", "g_nav", "ach_tone")
 RECEPTORS = ("nAChR", "RDL", "GluCl", "AChE", "Nav", "OctR")
 ACTIVATING = ("agonist", "partial_agonist", "positive_modulator")
 BLOCKING = ("antagonist", "negative_modulator", "inhibitor")
-#: Gain rules as receptor, whether activating, gain, slope and curvature of 1 + slope * t - curvature * t^2, and floor.
+#: Gain rules as receptor, whether activating, gain, slope and curvature of 1 + slope * t - curvature * t^2.
 RULES = (
     ("insect_nAChR", True, "g_ach", 0.4, 1.6), ("insect_nAChR", False, "g_ach", -1.0, 0.0),
     ("insect_RDL", True, "g_gaba", 0.4, 0.0), ("insect_RDL", False, "g_gaba", -1.0, 0.0),

@@ -183,3 +183,16 @@ def binomial_two_sided(k: Column, n: Column) -> Column:
     upto = F.when(least > 0, F.sequence(F.lit(1).cast("long"), least)).otherwise(F.array().cast("array<bigint>"))
     tail = F.aggregate(upto, F.struct(first.alias("log"), F.exp(first).alias("sum")), step)["sum"]
     return F.when(n > 0, F.when(2 * least == n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))
+
+
+def rank_agreement(orders: DataFrame, scores: DataFrame) -> DataFrame:
+    """Per published entry: pairs of its compounds that have ranks and scores, how many a score (larger: more potent) orders alike, and the sign test's p.
+
+    ``orders``: entry, compound, rank (1 is the most potent); ``scores``: compound, score. Only pairs of one entry meet, and an entry is one published table.
+    """
+    known = orders.filter("rank is not null").join(scores.filter("score is not null"), "compound").select("entry", "compound", "rank", "score")
+    a, b = known.alias("a"), known.alias("b")
+    pair = a.join(b, F.col("a.entry") == F.col("b.entry")).filter("a.rank < b.rank").select("a.entry", (F.col("a.score") - F.col("b.score")).alias("d"))
+    out = pair.groupBy("entry").agg(F.count("*").alias("pairs"), F.count_if(F.col("d") > 0).alias("concordant"), F.count_if(F.col("d") < 0).alias("discordant"))
+    out = out.withColumn("p", binomial_two_sided(F.col("concordant"), F.col("concordant") + F.col("discordant")))
+    return orders.select("entry").distinct().join(out, "entry", "left")

@@ -512,14 +512,11 @@ def viewer_edges(spark, d):
 @query
 def response_sample_sizes(spark, d):
     """Group sizes for the drop in a response proportion that each compound's largest insect engagement predicts."""
-    from statistics import NormalDist
+    from ..operators import designs as D
 
-    za, zb = NormalDist().inv_cdf(0.975), NormalDist().inv_cdf(0.8)
     e = engaged(spark, d).filter("startswith(receptor, 'insect_') and engagement is not null").groupBy("compound").agg(F.least(F.max("engagement"), F.lit(0.5)).alias("drop"))
-    p1, p2 = F.lit(0.8), 0.8 * (1 - F.col("drop"))
-    mean = (p1 + p2) / 2
-    n = F.pow(za * F.sqrt(2 * mean * (1 - mean)) + zb * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2)), 2) / F.pow(p1 - p2, 2)
-    return e.filter("drop is not null").select("compound", r("drop", 9).alias("drop"), F.when(F.col("drop") > 1e-9, F.ceil(F.round(n, 6))).cast("long").alias("per_group"))
+    size = D.two_proportions(F.lit(0.8), 0.8 * (1 - F.col("drop")))
+    return e.filter("drop is not null").select("compound", r("drop", 9).alias("drop"), size.alias("per_group"))
 
 
 @query

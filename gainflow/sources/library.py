@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVIDENCE = "pos long, compound string, receptor string, param_type string, relation string, value_m double, n double, direction string, efficacy double, species string, source string, evidence_tier string"
-SHIFTS = "allele string, variant string, genotype string, compound string, fold double, metric string, assay_type string, use_as_ec50_shift boolean, evidence_tier string, source string"
 #: Documents are read on the driver up to this many bytes.
 LARGEST = 16 << 20
 
@@ -78,50 +77,93 @@ def compound(table: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def shift_rows(document_: dict) -> Iterator[tuple]:
-    """Fold changes of alleles in their four written shapes: one number, one per variant, one per compound, or ``fold_<VARIANT>`` keys."""
-    for allele in document_.get("alleles", []):
-        for s in allele.get("shifts") or []:
-            found: list[tuple[str | None, str | None, Any]]
-            named = {m[1]: v for k, v in s.items() if (m := re.fullmatch(r"fold_(.+)", str(k))) and k != "fold_with_PBO"}
-            if isinstance(s.get("per_allele_fold"), dict):
-                found = [(str(k), s.get("compound"), v) for k, v in s["per_allele_fold"].items()]
-            elif isinstance(s.get("per_compound_fold"), dict):
-                label = re.sub(r"[^A-Za-z0-9]+", "_", str(s.get("compound") or "")).strip("_") or None
-                found = [(label, k, v) for k, v in s["per_compound_fold"].items()]
-            elif named:
-                found = [(k, s.get("compound"), v) for k, v in named.items()]
-            else:
-                found = [(s.get("allele_variant"), s.get("compound"), s.get("fold"))]
-            for variant, compound_, fold in found:
-                use = s.get("use_as_ec50_shift", allele.get("use_as_ec50_shift"))
-                yield (
-                    allele.get("id"), variant, allele.get("id") if variant is None else f"{allele.get('id')}:{variant}", compound_, _number(fold), s.get("metric"), s.get("assay_type") or allele.get("assay_type"),
-                    use if isinstance(use, bool) else None, s.get("evidence_tier"), s.get("source") or allele.get("source"))
+def _entries(spark: SparkSession, rows: list[Any]) -> DataFrame:
+    """Nested entries of a document as rows ``pos, entry``, each its own JSON text, for Spark's JSON functions to open."""
+    return spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "pos long, entry string")
 
 
 def shifts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(list(shift_rows(document(spark, path))), SHIFTS)
+    """Fold changes of alleles, in four written shapes: a map per variant, a map per compound, ``fold_<VARIANT>`` keys, or one number.
+
+    A shape is taken only where none before it is there. The variant of a map per compound is the first run of capitals in
+    the entry's compound, else the words before a bracket.
+    """
+    entries = [{"own": s, "allele": {k: v for k, v in a.items() if k != "shifts"}} for a in document(spark, path).get("alleles", []) for s in a.get("shifts") or []]
+    fields = "compound string, fold string, allele_variant string, metric string, assay_type string, use_as_ec50_shift string, evidence_tier string, source string, id string, per_allele_fold map<string,string>, per_compound_fold map<string,string>"
+    e = _entries(spark, entries).select("pos", F.from_json(F.get_json_object("entry", "$.own"), fields).alias("s"), F.from_json(F.get_json_object("entry", "$.allele"), fields).alias("a"), F.from_json(F.get_json_object("entry", "$.own"), "map<string,string>").alias("m"))
+    named = F.map_filter("m", lambda k, _: k.rlike("^fold_.+") & (k != "fold_with_PBO"))
+    e = e.withColumns({"variants": F.transform_keys(named, lambda k, _: F.regexp_extract(k, "^fold_(.+)$", 1)), "per_allele": F.col("s.per_allele_fold"), "per_compound": F.col("s.per_compound_fold")})
+    words = F.regexp_replace(F.trim(F.substring_index(F.coalesce("s.compound", F.lit("variant")), "(", 1)), " ", "_")
+    capitals = F.regexp_extract(F.coalesce("s.compound", F.lit("")), r"\b([A-Z]{2,})\b", 1)
+    kind = F.when(F.col("per_allele").isNotNull(), 1).when(F.col("per_compound").isNotNull(), 2).when(F.size("variants") > 0, 3).otherwise(4)
+    e = e.withColumn("kind", kind)
+    rest = ["pos", "s", "a"]
+    shapes = [
+        e.filter("kind = 1").select(*rest, F.col("s.compound").alias("compound"), F.explode("per_allele").alias("variant", "fold")),
+        e.filter("kind = 2").select(*rest, F.when(capitals != "", capitals).otherwise(words).alias("variant"), F.explode("per_compound").alias("compound", "fold")),
+        e.filter("kind = 3").select(*rest, F.col("s.compound").alias("compound"), F.explode("variants").alias("variant", "fold")),
+        e.filter("kind = 4").select(*rest, F.col("s.compound").alias("compound"), F.col("s.allele_variant").alias("variant"), F.col("s.fold").alias("fold")),
+    ]
+    rows = shapes[0]
+    for shape in shapes[1:]:
+        rows = rows.unionByName(shape)
+    return rows.select(
+        F.col("a.id").alias("allele"), "variant", F.concat_ws(":", "a.id", "variant").alias("genotype"), "compound", F.expr("try_cast(fold AS double)").alias("fold"), F.col("s.metric").alias("metric"),
+        F.coalesce("s.assay_type", "a.assay_type").alias("assay_type"), F.expr("try_cast(coalesce(s.use_as_ec50_shift, a.use_as_ec50_shift) AS boolean)").alias("use_as_ec50_shift"), F.col("s.evidence_tier").alias("evidence_tier"), F.coalesce("s.source", "a.source").alias("source"))
+
+
+def genotypes(shifts_: DataFrame) -> DataFrame:
+    """One row per genotype of a table of shifts: its allele, variant, number of shifts, and how many may be used as shifts of a value."""
+    return shifts_.groupBy("genotype", "allele", "variant").agg(F.count("*").alias("shifts"), F.count_if(F.col("use_as_ec50_shift") & F.col("fold").isNotNull()).alias("usable"))
+
+
+EXPRESSION = "superclass string, gene string, level string, fraction double, evidence_tier string"
+
+
+def expression(spark: SparkSession, path: str) -> DataFrame:
+    """Written expression levels per superclass and gene; empty where the document is missing or has none."""
+    try:
+        blocks = document(spark, path).get("by_superclass") or []
+    except Exception as e:  # Spark raises its own errors for a path that isn't there
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        blocks = []
+    rows = [(b.get("superclass"), str(gene), str(x.get("level") or "unknown").strip().lower(), _number(x.get("fraction_cells_expressing")), x.get("evidence_tier")) for b in blocks for gene, x in (b.get("receptors") or {}).items() if isinstance(x, dict)]
+    return spark.createDataFrame(rows, EXPRESSION)
+
+
+def rank_orders(spark: SparkSession, path: str) -> DataFrame:
+    """Published orders: one row per entry and compound, in the written order; values and ranks that were not published stay NULL."""
+    item = "array<struct<compound:string,value:double,rank:double>>"
+    e = _entries(spark, document(spark, path).get("entries") or [])
+    e = e.select(F.from_json("entry", f"id string, species string, readout string, units string, source string, ordered_compounds {item}").alias("x")).select("x.*")
+    return e.select(F.col("id").alias("entry"), "species", "readout", "units", "source", F.posexplode("ordered_compounds").alias("pos", "o")).select("entry", "species", "readout", "units", "pos", "o.compound", "o.value", "o.rank", "source")
+
+
+def published_mixtures(spark: SparkSession, path: str) -> DataFrame:
+    """Published mixture results: one row per entry and partner with its interaction class."""
+    e = _entries(spark, document(spark, path).get("empirical") or [])
+    e = e.select(F.from_json("entry", "id string, species string, source string, results array<struct<partner:string,classification:string,library_key:string>>").alias("x")).select("x.*")
+    return e.select(F.col("id").alias("entry"), "species", "source", F.inline("results"))
 
 
-def proportions(node: Any, path: tuple[str, ...] = ()) -> Iterator[tuple[str, float]]:
-    """Every numeric leaf of a document of unknown shape, with its path; numbers in (1, 100] are read as percent by :func:`baseline`."""
-    if isinstance(node, dict):
-        for k, v in node.items():
-            yield from proportions(v, (*path, str(k)))
-    elif isinstance(node, list):
-        for i, v in enumerate(node):
-            yield from proportions(v, (*path, str(i)))
-    elif isinstance(node, (int, float)) and not isinstance(node, bool):
-        yield "/".join(path), float(node)
+def leaves(document_: Any) -> Iterator[tuple[str, float]]:
+    """Numbers of a document of unknown shape in written order, each with its path."""
+    open_: list[tuple[str, Any]] = [("", document_)]
+    while open_:
+        path, x = open_.pop()
+        inside = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ()
+        open_.extend(reversed([(f"{path}/{k}" if path else str(k), v) for k, v in inside]))
+        if type(x) in (int, float):
+            yield path, float(x)
 
 
-def baseline(node: Any, context: str = "per", default: float = 0.8) -> float:
-    """The first leaf below a key that begins with ``context`` and looks like a proportion; else the default."""
-    for path, x in proportions(node):
-        if any(p.lower().startswith(context) for p in path.split("/")) and 0 < x <= 100 and ("rate" in path.lower() or "prop" in path.lower() or "fraction" in path.lower()):
-            return x / 100 if x > 1 else x
-    return default
+def baseline(spark: SparkSession, document_: Any, context: str = "per", default: float = 0.8) -> float:
+    """The first number below a key that begins with ``context`` and whose path speaks of a proportion, percents as shares; else the default."""
+    rows = spark.createDataFrame([(i, *leaf) for i, leaf in enumerate(leaves(document_))], "pos long, path string, x double")
+    fits = F.lower("path").rlike(f"(^|/){context}") & F.lower("path").rlike("rate|prop|fraction") & (F.col("x") > 0) & (F.col("x") <= 100)
+    share = F.when(F.col("x") > 1, F.col("x") / 100).otherwise(F.col("x"))
+    return rows.filter(fits).agg(F.coalesce(F.min_by(share, "pos"), F.lit(default)).alias("x")).first()["x"]
 
 
 def graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -149,11 +191,12 @@ def seed_ids(nodes: DataFrame, types: DataFrame) -> DataFrame:
 def expression_matrix(spark: SparkSession, path: str, genes_above: int = 0, umis_above: int = 0, umis_upto: int = 1 << 30, mito_upto: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """From a gene by cell count table (tab-separated, header GENE first): QC per cell and detection per gene among the cells kept.
 
-    The wide table is turned long by Spark; counts per cell and per gene are aggregates over it.
+    Lines are read as text and turned long by place, so the plan has the same size for any number of cells.
     """
-    wide = spark.read.csv(path, sep="\t", header=True)
-    cells = [c for c in wide.columns if c != "GENE"]
-    long = wide.unpivot(["GENE"], cells, "cell", "n").select(F.col("GENE").alias("gene"), "cell", F.col("n").cast("long").alias("n"))
+    line = spark.read.text(path).select(F.split("value", "\t").alias("x"))
+    at = line.select(F.get("x", F.lit(0)).alias("gene"), F.posexplode(F.slice("x", F.lit(2), F.size("x"))).alias("at", "n"))
+    names = at.filter("gene = 'GENE'").select("at", F.col("n").alias("cell"))
+    long = at.filter("gene <> 'GENE'").join(names, "at").select("gene", "cell", F.col("n").cast("long").alias("n"))
     cell = long.groupBy("cell").agg(F.sum("n").alias("umis"), F.count_if(F.col("n") > 0).alias("genes"), F.sum(F.when(F.startswith("gene", F.lit("mt:")), F.col("n")).otherwise(0)).alias("mito"))
     share = F.col("mito") / F.greatest("umis", F.lit(1))
     cell = cell.withColumn("kept", (F.col("genes") > genes_above) & (F.col("umis") > umis_above) & (F.col("umis") <= umis_upto) & (share <= mito_upto))

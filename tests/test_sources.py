@@ -26,7 +26,7 @@ compounds:
 """
 ALLELES = """
 alleles:
-  - {id: a, assay_type: r, use_as_ec50_shift: true, source: s, shifts: [{compound: one, fold: 3}, {compound: one, per_allele_fold: {X: 2, Y: bad}}, {compound: both of them, per_compound_fold: {one: 4, two: 5}}, {compound: one, fold_Z: 6, fold_with_PBO: 9}]}
+  - {id: a, assay_type: r, use_as_ec50_shift: true, source: s, shifts: [{compound: one, fold: 3}, {compound: one, per_allele_fold: {X: 2, Y: bad}}, {compound: both of them, per_compound_fold: {one: 4, two: 5}}, {compound: "combination allele VAYA (both)", per_compound_fold: {one: 7}}, {compound: one, fold_Z: 6, fold_with_PBO: 9}]}
   - {id: b}
 """
 
@@ -54,9 +54,10 @@ def test_gain_golden(spark):
 def test_alleles_and_baseline(spark, tmp_path):
     (tmp_path / "a.yaml").write_text(ALLELES)
     rows = {(r.variant, r.compound): r for r in L.shifts(spark, f"{tmp_path}/a.yaml").collect()}
-    assert {k: r.fold for k, r in rows.items()} == {(None, "one"): 3, ("X", "one"): 2, ("Y", "one"): None, ("both_of_them", "one"): 4, ("both_of_them", "two"): 5, ("Z", "one"): 6}
+    assert {k: r.fold for k, r in rows.items()} == {(None, "one"): 3, ("X", "one"): 2, ("Y", "one"): None, ("both_of_them", "one"): 4, ("both_of_them", "two"): 5, ("VAYA", "one"): 7, ("Z", "one"): 6}
     assert rows["X", "one"].genotype == "a:X" and rows[None, "one"].genotype == "a" and rows["Z", "one"].assay_type == "r"
-    assert L.baseline({"per": [{"n": 5, "response_rate": 75}]}) == 0.75 and L.baseline({"other": {"rate": 0.3}}) == 0.8
+    assert rows["X", "one"].use_as_ec50_shift and {r.genotype: (r.shifts, r.usable) for r in L.genotypes(L.shifts(spark, f"{tmp_path}/a.yaml")).collect()}["a:Y"] == (1, 0)
+    assert L.baseline(spark, {"per": [{"n": 5, "response_rate": 75}, {"rate": 0.5}]}) == 0.75 and L.baseline(spark, {"other": {"rate": 0.3}}) == 0.8 and L.baseline(spark, {}) == 0.8
 
 
 def test_graph_and_census(spark, tmp_path):
@@ -74,7 +75,7 @@ def test_graph_and_census(spark, tmp_path):
 def test_two_node_fixed_point(spark):
     nodes = spark.createDataFrame([(1, "acetylcholine"), (2, "gaba")], "body_id long, nt string")
     edges = spark.createDataFrame([(1, 2, 2.0), (1, 2, 2.0), (7, 2, 9.0)], "pre long, post long, weight double")  # parallel edges add up, a dangling one goes
-    r = {x.body_id: x.hz for x in G.rates(edges, nodes, spark.createDataFrame([(1, 10.0)], "body_id long, hz double"), {"g_ach": 0.5}, steps=40).collect()}
+    r = {x.body_id: x.hz for x in G.rates(edges, nodes, spark.createDataFrame([(1, 10.0)], "body_id long, hz double"), {"treated": {"g_ach": 0.5}}, steps=40).collect()}
     assert abs(r[1] - 10) < 1e-4 and abs(r[2] - 5) < 1e-3
 
 
@@ -116,7 +117,8 @@ def test_sobol_and_samples(spark):
     assert abs(got["a"].first - 0.8) < 0.08 and abs(got["b"].total - 0.2) < 0.05 and abs(got["c"].total) < 1e-9
     v = D.information_value(D.sobol(s, 4 * x["a"] + 2 * x["b"]), 2.0).orderBy("rank").collect()
     assert [r.factor for r in v] == ["a", "b", "c"]
-    assert D.two_proportions(0.8, 0.0) is None and D.two_proportions(0.8, 0.5) == 23 and D.two_means(0) is None and D.two_means(5) == 16
+    n = spark.range(1).select(*[D.two_proportions(F.lit(0.8), F.lit(p)).alias(f"p{i}") for i, p in enumerate((0.8, 0.4))], *[D.two_means(F.lit(d)).alias(f"d{i}") for i, d in enumerate((0.0, 5.0))]).first()
+    assert tuple(n) == (None, 23, None, 16)
 
 
 def test_expression(spark):
@@ -135,5 +137,57 @@ def test_bh_ties_nulls_and_ranks(spark):
     assert S.benjamini_hochberg(df.limit(0)).count() == 0
 
 
+def test_published_tables(spark, tmp_path):
+    (tmp_path / "e.yaml").write_text("by_superclass:\n  - {superclass: s, receptors: {Rdl: {level: High, fraction_cells_expressing: 0.5}, Ace: {level: null}}}\n")
+    assert sorted(map(str, L.expression(spark, f"{tmp_path}/e.yaml").select("gene", "level", "fraction").collect())) == sorted(["Row(gene='Rdl', level='high', fraction=0.5)", "Row(gene='Ace', level='unknown', fraction=None)"])
+    assert L.expression(spark, f"{tmp_path}/none.yaml").count() == 0
+    (tmp_path / "r.yaml").write_text("entries:\n  - {id: a, units: ppm, ordered_compounds: [{compound: x, value: 0.1, rank: 1}, {compound: y, value: 2, rank: 2}, {compound: z, value: null, rank: 3}, {compound: w, rank: null}]}\n  - {id: b, ordered_compounds: [{compound: q, rank: 1}]}\n")
+    orders = L.rank_orders(spark, f"{tmp_path}/r.yaml")
+    assert [tuple(r) for r in orders.filter("entry = 'a'").orderBy("pos").select("compound", "value", "rank").collect()] == [("x", 0.1, 1.0), ("y", 2.0, 2.0), ("z", None, 3.0), ("w", None, None)]
+    scores = spark.createDataFrame([("x", 3.0), ("y", 1.0), ("z", 2.0), ("w", 9.0)], "compound string, score double")
+    got = {r.entry: tuple(r)[1:] for r in S.rank_agreement(orders, scores).collect()}
+    assert got == {"a": (3, 2, 1, 1.0), "b": (None, None, None, None)}
+    (tmp_path / "m.yaml").write_text("empirical:\n  - {id: h, species: bee, results: [{partner: p, classification: additive}]}\n")
+    assert [tuple(r) for r in L.published_mixtures(spark, f"{tmp_path}/m.yaml").select("entry", "partner", "classification").collect()] == [("h", "p", "additive")]
+
+
+def test_weight_floor_reaches_the_scan(spark):
+    from gainflow.plans.analyses import QUERIES
+
+    plan = QUERIES["edge_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(l_quantity,30.0)" in plan.split("PushedFilters", 1)[1]
+
+
+def test_landscape_with_rewired_graphs(spark):
+    from gainflow.plans import analyses as A
+
+    sf = "/root/testdata/sf0.001"
+    e, n = A.heavy_graph(spark, sf)
+    arms = G.arm_table(spark, {"none": {}, "block": {"g_ach": 0.3}})
+    rows = A.landscape(e, n, arms, A.seeds(n).withColumn("hz", F.lit(40.0)), A.motor(n), ("rewire", "sign_permute"), 4, 0.3).collect()
+    assert {(r.arm, r["mode"]) for r in rows} == {(a, m) for a in ("none", "block") for m in ("rewire", "sign_permute")}
+    assert {r["class"] for r in rows if r.arm == "none"} == {"no-effect"} and all(r.real != 0 for r in rows if r.arm == "block")
+    assert all((r.q is None) == (r["mode"] == "sign_permute") for r in rows)
+
+
+def test_dense_blocks_of_nulls(spark):
+    e = spark.createDataFrame([(i, (i * 7 + k) % 40, float(1 + (i + k) % 9)) for i in range(40) for k in range(1, 4) if (i * 7 + k) % 40 != i], "pre long, post long, weight double")
+    n = spark.createDataFrame([(i, ["gaba", "acetylcholine", None][i % 3]) for i in range(40)], "body_id long, nt string")
+    er = G.erdos_renyi(e, n, 2).collect()
+    for k in (0, 1):
+        own = [(r.pre, r.post) for r in er if r.draw == k]
+        assert len(own) == len(set(own)) == e.count() and all(a != b for a, b in own)
+    wm = G.weight_matched_nulls(e, n, 2, tolerance=0.05)
+    out = {r.pre: r.w for r in e.groupBy("pre").agg(F.sum("weight").alias("w")).collect()}
+    total = sum(out.values())
+    real = {}
+    for r in n.collect():
+        real[r.nt] = real.get(r.nt, 0) + out.get(r.body_id, 0)
+    for k in (0, 1):
+        own = [r for r in wm.collect() if r.draw == k]
+        assert sorted(str(r.nt) for r in own) == sorted(str(r.nt) for r in n.collect())
+        assert all(abs(sum(out.get(r.body_id, 0) for r in own if r.nt == t) - real[t]) <= 0.05 * total + 1e-9 for t in real)
+
+
 def test_rule_table():
     assert dims.model_of("Kd", "E0") == "binding_occupancy" and dims.model_of("Ki", "E3") == "functional_engagement_proxy" and dims.model_of("IC50", "E4") == "not_modelled" and dims.model_of("unknown", "E0") == "not_modelled"
