@@ -11,15 +11,18 @@ that meets most others over all bands, which in a group of copies is their sourc
 member is aligned with its buckets' leaders. Only buckets that then still hold several components
 go on, and only pairs across components: in buckets of up to SMALL members all of them, in larger
 ones first those of the next LEADERS leaders, round by round until a round finds no link. Large
-buckets that are open even then are finished exactly: of their members' shingles, ordered from rare
-to common, two texts of similarity 0.8 share one among the first ninth of the shorter and the first
-fifth of the longer. All pairs across components that do are aligned; the others can't reach 0.8.
+buckets that are open even then are finished exactly, by what their members differ in from their
+leader: two texts of similarity 0.8 differ in at most a ninth of their shingles, so texts that are
+further than that from their leader must share much of what sets them apart from it. All pairs across
+components that may are aligned; the others can't reach 0.8.
 
 Chance of missing a pair: 32 bands of six minima miss one of similarity 0.8 with probability about
 (1 - 0.8**6)**32 = 6e-5.
 
-Defined results: texts without words are copies only of equal texts, null counting as empty;
-repeated rows and ties share a class; a class is named by its smallest id (null ids count only where no other is).
+Defined results: texts without words are copies only of equal texts, null counting as empty; an empty
+table gives no rows; repeated rows and ties share a class; a class is named by its smallest id (null
+ids count only where no other is); texts of any length are hashed and aligned whole, STEP shingles at
+a time; other columns of the input, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import KEY, cut, shared_dir, text_batches, with_key
-from .components import components
+from .components import components, look_up
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Of a text's shingles, the part that it and any text of similarity SIMILAR may differ in.
+SPARE = (1 - SIMILAR) / SIMILAR
 #: Bands, sketches in a band, minima in a sketch.
 BANDS, SKETCHES, MINIMA = 32, 2, 3
 #: Members up to which all pairs across components are aligned, and leaders that larger buckets take in a later round.
@@ -175,38 +180,51 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("lead", "node", "lead_text", "node_text").mapInPandas(run, "lead binary, node binary, overlap double, similar double")
 
 
-def _beginnings(texts: DataFrame) -> DataFrame:
-    """``node, size, s, short``: of each text's shingles, from rare to common, those that a text of similarity SIMILAR may share first.
+def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``lead, node, root, size, n, e, at``: of the ``n`` shingles in which a node differs from its leader, those that a like text may share first, and their places.
 
-    Two sets share at least SIMILAR of the larger one, and 2 SIMILAR / (1 + SIMILAR) of the smaller one. So their first common
-    shingle, in whatever order, is among the first of the larger one, and the ``short`` of the smaller one. Shingles of one text only go.
+    Shingles that only the node has come first, then those that only the leader has, each by their hash. A node that differs in so
+    few that it may be like another without sharing one of them has a mark besides, at place -1.
     """
+    named = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text"))
+    both = pairs.join(named("node"), "node").join(named("lead"), "lead").select("lead", "node", "root", "lead_text", "node_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, name, lead = WordHashes(), None, np.zeros(0, np.uint64)
         for part in batches:
-            s = [shingles(word_hashes(t, hashes)).view(np.int64) for t in part["text"]]
-            yield part[["node"]].assign(size=[len(x) for x in s], s=s)
+            size, n, e = [], [], []
+            for r in part.itertuples(index=False):
+                if r.lead != name:
+                    name, lead = r.lead, shingles(word_hashes(r.lead_text, hashes))
+                own = shingles(word_hashes(r.node_text, hashes))
+                more, less = np.setdiff1d(own, lead, assume_unique=True), np.setdiff1d(lead, own, assume_unique=True)
+                size.append(len(own))
+                n.append(len(more) + len(less))
+                e.append(np.r_[more, ~less][: int(len(own) * SPARE + 1e-9) + 1].view(np.int64))
+            yield part[["lead", "node", "root"]].assign(size=size, n=n, e=e)
 
-    each = texts.select("node", "text").mapInPandas(run, "node binary, size int, s array<long>").select("node", "size", F.explode("s").alias("s"))
-    common = each.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
-    rare = each.join(common, "s").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("l"))
-    alone = F.col("size") - F.size("l")
-    first = lambda share: F.col("size") - F.ceil(share * F.col("size") - 1e-9).cast("int") + 1
-    rare = rare.withColumns({"alone": alone, "long": first(SIMILAR) - alone}).filter("long > 0")
-    at = rare.select("node", "size", "alone", F.posexplode(F.slice("l", 1, F.col("long"))).alias("i", "x"))
-    return at.select("node", "size", "x.s", (F.col("alone") + F.col("i") < first(2 * SIMILAR / (1 + SIMILAR))).alias("short"))
+    made = both.mapInPandas(run, "lead binary, node binary, root binary, size int, n int, e array<long>")
+    mark = F.when(F.col("n") <= F.col("size") * SPARE + 1e-9, F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("e")))).otherwise(F.array().cast("array<struct<at:int,e:bigint>>"))
+    each = F.concat(F.transform("e", lambda x, i: F.struct(i.alias("at"), x.alias("e"))), mark)
+    return made.select("lead", "node", "root", "size", "n", F.explode(each).alias("x")).select("lead", "node", "root", "size", "n", "x.*")
 
 
 def _remaining(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``lead, node``: all pairs of ``members`` (``node, root``) with different roots that may reach SIMILAR, the lesser node first."""
-    rows = cut(_beginnings(texts.join(members, "node", "left_semi")).join(members, "node"))
-    # of each shingle only nodes outside its largest component meet all others, so that component isn't joined with itself
-    most = rows.groupBy("s", "root").agg(F.count("*").alias("n")).groupBy("s").agg(F.max_by("root", "n").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    rows = cut(rows.join(most.select("s", "most"), "s").withColumn("minor", F.col("root") != F.col("most")).drop("most"))
-    a = rows.filter("short").select("s", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "root", "minor")])
-    fits = f"a_root <> root and a_size <= size and a_size >= {SIMILAR} * size - 1e-9"
-    pairs = a.filter("a_minor").join(rows, "s").filter(fits).unionByName(a.filter("not a_minor").join(rows.filter("minor"), "s").filter(fits))
+    """``lead, node``: all pairs of nodes that share a leader in ``members`` (``lead, node, root``), have different roots and may reach SIMILAR, the lesser node first.
+
+    Texts a and b that differ from the leader in A and B differ from each other in what is in one of both only. Of the shingles
+    of both together, at most (1 - SIMILAR) / (1 + SIMILAR) may be such; so A and B must share the more, the more there is
+    in them. At the first shingle that they share, no more can be common than what follows in either.
+    """
+    rows = cut(_differences(members, texts))
+    # of each difference only nodes outside its largest component meet all others, so that component isn't joined with itself
+    most = rows.groupBy("lead", "e", "root").agg(F.count("*").alias("k")).groupBy("lead", "e").agg(F.max_by("root", "k").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    rows = cut(rows.join(most.select("lead", "e", "most"), ["lead", "e"]).withColumn("minor", F.col("root") != F.col("most")).drop("most"))
+    a = rows.filter(F.col("at") <= F.col("size") * (SPARE / 2) + 1e-9).select("lead", "e", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "n", "at", "root", "minor")])
+    need = f"(a_n + n - {(1 - SIMILAR) / (1 + SIMILAR)} * (a_size + size)) / 2 - 1e-6"
+    fits = f"a_root <> root and a_n <= n and least(a_size, size) >= {SIMILAR} * greatest(a_size, size) - 1e-9 and case when at < 0 or a_at < 0 then {need} <= 0 else least(a_n - a_at, n - at) >= {need} end"
+    on = ["lead", "e"]
+    pairs = a.filter("a_minor").join(rows, on).filter(fits).unionByName(a.filter("not a_minor").join(rows.filter("minor"), on).filter(fits))
     return pairs.select(F.least("a_node", "node").alias("lead"), F.greatest("a_node", "node").alias("node")).distinct()
 
 
@@ -249,7 +267,7 @@ def links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str) -> tuple[
         if new.filter(F.col("similar") >= SIMILAR).limit(1).count() == 0:
             break
         found = tested.filter(F.col("similar") >= SIMILAR).select("lead", "node")
-    rest = cut(large.select("node", "root").distinct())
+    rest = cut(large.join(lead, ["band", "key"]).filter("lead <> node").select("lead", "node", "root").distinct())
     if rest.limit(1).count() == 0:
         return found, root
     done = tested.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node"))
@@ -267,9 +285,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sig = spark.read.parquet(f"{folder}/signatures")
     _, root = links(docs, sig, id_col, text_col)
     least = sig.groupBy("node").agg(F.min("id").alias("least"))
-    named = least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    return sig.drop("bands").join(named.join(ids, "root").select("node", "root", "class_id"), "node").select(*KEY, "id", "root", "class_id")
+    return look_up(sig.drop("bands"), look_up(named, ids, "root", "node").select("node", "root", "class_id"), "node", KEY[0]).select(*KEY, "id", "root", "class_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

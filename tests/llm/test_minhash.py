@@ -105,7 +105,7 @@ def test_large_bucket_is_finished(spark):
     family = [changed(base, 7) for _ in range(80)]
     texts = [" ".join(w) for w in family + [changed(w, 8) for w in family[:20]]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    sig = M.signatures(df, "doc_id", "text").withColumn("bands", F.array(F.lit(1).cast("long"))).localCheckpoint()
+    sig = M.signatures(df, "doc_id", "text").withColumn("bands", F.array(F.lit(1).cast("long"))).cache()
     name = {bytes(x.node): x.id for x in sig.collect()}
     found, root = M.links(df, sig, "doc_id", "text")
     want = expected(texts)
@@ -114,7 +114,39 @@ def test_large_bucket_is_finished(spark):
     assert root.count() == 40
 
 
+def test_pairs_in_one_large_bucket(spark):
+    """Pairs just above the bound, all sharing a passage, so that they meet in buckets of hundreds of members; and a very long text."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(260)], []
+    for _ in range(100):
+        w = passage + [word() for _ in range(140)]
+        v = w[:]
+        for k in (0, 3, 12, 24, 36, 48, 60, 72, 84):
+            v[270 + k] = word()
+        texts += [" ".join(w), " ".join(v)]
+    want = expected(texts)
+    assert want == [i - i % 2 for i in range(200)]
+    h = M.WordHashes()
+    a, b = (M.shingles(M.word_hashes(t, h)) for t in texts[:2])
+    assert 0.8 <= M.similarity(a, b)[1] < 0.81
+    long = " ".join(word() for _ in range(200_000))
+    rows = [*enumerate(texts), (1000, long), (1001, long.replace(long[7000:7100], " x ")), (1002, long[:400_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {x.id: x.class_id for x in M.classes(df).collect()}
+    assert got == dict(enumerate(want)) | {1000: 1000, 1001: 1000, 1002: 1002}
+    sig = M.signatures(df, "doc_id", "text").cache()
+    sizes = sig.filter("id < 1000").select(F.posexplode("bands").alias("band", "key")).groupBy("band", "key").count().filter("count > 64")
+    assert sizes.count() > 0
+    sig = sig.withColumn("bands", F.array(F.lit(1).cast("long")))  # even if all meet in one bucket only
+    found, _ = M.links(df, sig, "doc_id", "text")
+    assert found.count() == 101
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (102, 101), (101, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "x int, y int"), "x", "y").collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    star = [(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 3000, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(star, "x int, y int"), "x", "y").collect()}
+    assert set(got.values()) == {0} and len(got) == len({n for p in star for n in p})
