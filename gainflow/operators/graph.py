@@ -118,13 +118,38 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int, least: float) -> DataFra
 
 
 def paths(edges: DataFrame, sources: DataFrame, length: int, top: int) -> DataFrame:
-    """The strongest acyclic paths of a length from the sources, by the product of their weights; ``top`` per source is the report's size."""
-    step = edges.select(F.col("pre").alias("at"), F.col("post").alias("to"), F.col("weight").alias("w"))
-    rows = sources.select(F.col("body_id").alias("source"), F.col("body_id").alias("at"), F.array("body_id").alias("path"), F.lit(1.0).alias("strength"))
-    for _ in range(length):
+    """The strongest acyclic paths of a length from the sources, by the product of their positive weights; ``top`` per source is the report's size.
+
+    What can follow a node at best is known before paths grow: the largest product of any walk from there. A first search keeps the
+    ``top`` most promising beginnings of each source only, which gives every source a strength that its report reaches; the second
+    drops just the beginnings that can't reach it.
+    """
+    step = cut(edges.select(F.col("pre").alias("at"), F.col("post").alias("to"), F.col("weight").alias("w")))
+    best = [None, cut(step.groupBy("at").agg(F.max("w").alias("best")))]
+    for _ in range(2, length):
+        best.append(cut(step.join(best[-1].withColumnRenamed("at", "to"), "to").groupBy("at").agg(F.max(F.col("w") * F.col("best")).alias("best"))))
+    first = sources.select(F.col("body_id").alias("source"), F.col("body_id").alias("at"), F.array("body_id").alias("path"), F.lit(1.0).alias("strength"))
+    of = Window.partitionBy("source")
+
+    def grown(rows: DataFrame, left: int) -> DataFrame:
         rows = rows.join(step, "at").filter(~F.array_contains("path", F.col("to"))).select("source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("strength") * F.col("w")).alias("strength"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("strength"), "path"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select("source", "rank", "strength", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+        return rows.join(best[left], "at").withColumn("reach", F.col("strength") * F.col("best")).drop("best") if left else rows.withColumn("reach", F.col("strength"))
+
+    def search(keep) -> DataFrame:
+        rows = first
+        for k in range(1, length + 1):
+            rows = keep(grown(rows, length - k)).drop("reach")
+        return rows
+
+    def most(rows: DataFrame, by: str) -> DataFrame:
+        rank = F.row_number().over(of.orderBy(F.desc(by), "path"))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= top)
+
+    some = search(lambda rows: most(rows, "reach").drop("rank"))
+    surely = cut(some.groupBy("source").agg(F.count("*").alias("n"), F.min("strength").alias("least")).filter(F.col("n") >= top).select("source", "least"))
+    enough = (F.col("reach") >= F.col("least") * (1 - 1e-9)) | F.col("least").isNull()
+    rows = search(lambda rows: rows.join(surely, "source", "left").filter(enough).drop("least"))
+    return most(rows, "strength").select("source", "rank", "strength", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def ranked_rings(edges: DataFrame, seeds: DataFrame, rings: int) -> DataFrame:

@@ -25,6 +25,15 @@ def numbered(df: DataFrame, by: list[str], *order: Column | str, name: str) -> D
     return rows.join(first, by).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first")
 
 
+def prefix_sums(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` up to and with each row, in each group's order; ties share it. Ranges of the order are summed each, then moved by the sums of those before."""
+    ranged = cut(df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()))
+    own = F.sum(value).over(Window.partitionBy("__part", *by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    parts = ranged.groupBy(*by, "__part").agg(F.sum(value).alias("__n"))  # a row for each task that holds a part of a group
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__own", own).join(parts.select(*by, "__part", before.alias("__before")), [*by, "__part"]).withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
 def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Average ranks with ties, NULL values unranked: ordinals of distinct values with their counts, then a join back."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
@@ -47,12 +56,29 @@ def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b per group by counting values, not pairs: each distinct pair of values meets each other one of its group once."""
+    """Kendall's tau-b per group, without pairs.
+
+    Places of the second value are split by their bits: two different places differ first in one bit, below equal higher
+    ones. For each bit, a row with a 1 there meets the rows with a 0 and the same higher bits through running sums over the first value.
+    """
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(by, F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
-    left, right = cells.alias("l"), cells.select(by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2")).alias("r")
-    pairs = left.join(right, by).filter("x < x2 or (x = x2 and y < y2)").select(by, F.signum(F.col("x2") - F.col("x")).alias("dx"), F.signum(F.col("y2") - F.col("y")).alias("dy"), (F.col("n") * F.col("n2")).alias("k"))
-    s = pairs.groupBy(by).agg(F.sum(F.col("dx") * F.col("dy") * F.col("k")).alias("s"), F.sum(F.abs("dx") * F.col("k")).alias("ux"), F.sum(F.abs("dy") * F.col("k")).alias("uy"))
-    return s.select(by, F.when((F.col("ux") > 0) & (F.col("uy") > 0), F.col("s") / F.sqrt(F.col("ux") * F.col("uy"))).alias("tau"))
+    place = numbered(cells.select(by, "y").distinct(), [by], "y", name="k")
+    cells = cut(cells.join(place, [by, "y"]))
+    bits = max(1, int(cells.agg(F.max("k")).first()[0] or 1).bit_length())
+    each = cells.select(by, "x", "n", "k", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    one = F.expr("shiftright(k, bit) & 1") == 1
+    each = each.groupBy(by, "bit", F.expr("shiftright(k, bit + 1)").alias("block"), "x").agg(F.sum(F.when(one, 0).otherwise(F.col("n"))).alias("zeros"), F.sum(F.when(one, F.col("n")).otherwise(0)).alias("ones"))
+    on = [by, "bit", "block"]
+    upto = prefix_sums(each, on, "x", "zeros", "upto").join(each.groupBy(*on).agg(F.sum("zeros").alias("all")), on)
+    s = upto.groupBy(by).agg(F.sum(F.col("ones") * (2 * F.col("upto") - F.col("zeros") - F.col("all"))).alias("s"))
+
+    def untied(*own: str) -> DataFrame:
+        """Pairs of rows that differ in some columns."""
+        count = cells.groupBy(by, *own).agg(F.sum("n").alias("n")).groupBy(by).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("tied"))
+        return count.select(by, (F.col("rows") * (F.col("rows") - 1) / 2 - F.col("tied")).alias(f"u{own[0]}"))
+
+    out = s.join(untied("x"), by).join(untied("y"), by)
+    return out.select(by, F.when((F.col("ux") > 0) & (F.col("uy") > 0), F.col("s") / F.sqrt(F.col("ux") * F.col("uy"))).alias("tau"))
 
 
 def permutation(draws: DataFrame, by: str = "cell") -> DataFrame:
