@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Parameter types with the strongest engagement model each supports, in order of strength.
 CEILING = {
@@ -52,3 +55,37 @@ def signs(spark: SparkSession) -> DataFrame:
 
 def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RULES), "receptor string, activating boolean, gain string, slope double, curve double")
+
+
+def coerced(c: Column, known: Iterable[str], default: str) -> Column:
+    """A name of ``known`` whatever its case and outer blanks; NULL is the default, any other text an error that lists the known."""
+    out = F.raise_error(F.concat(F.lit("unknown value "), c, F.lit("; known: " + ", ".join(known)))).cast("string")
+    for name in known:
+        out = F.when(F.lower(F.trim(c)) == name.lower(), F.lit(name)).otherwise(out)
+    return F.when(c.isNull(), F.lit(default)).otherwise(out)
+
+
+def param_type(c: Column) -> Column:
+    return coerced(c, CEILING, "unknown")
+
+
+def relation(c: Column) -> Column:
+    return coerced(c, DISTANCE, "unsupported")
+
+
+def distance(c: Column) -> Column:
+    """An evidence distance by its own name or that of a relation."""
+    own = coerced(F.when(F.upper(F.trim(c)).isin(*DISTANCE.values()), c), DISTANCE.values(), "E4")
+    of = relation(F.when(~F.coalesce(F.upper(F.trim(c)).isin(*DISTANCE.values()), F.lit(False)), c))
+    named = F.lit(None).cast("string")
+    for name, d in DISTANCE.items():
+        named = F.when(of == name, d).otherwise(named)
+    return F.when(F.coalesce(F.upper(F.trim(c)).isin(*DISTANCE.values()), F.lit(False)), own).otherwise(named)
+
+
+def exceeds(model: Column, param_type_: Column) -> Column:
+    """Whether a claimed model is stronger than its parameter type supports: an occupancy without a binding constant, or any model of a type that has none."""
+    top = F.lit("not_modelled")
+    for name, m in CEILING.items():
+        top = F.when(param_type_ == name, m).otherwise(top)
+    return (model != "not_modelled") & ((top == "not_modelled") | (model.startswith("binding") & (top != "binding_occupancy")))

@@ -71,3 +71,19 @@ def shaped(shape: Column, t: Column, sign: Column, a: Column, b: Column, coef: C
         .otherwise(line - 2 * ref * t * t)
     )
     return F.greatest(F.lit(FLOOR), F.least(F.lit(CEILING), g))
+
+
+def generic_multiplier(theta: Column, direction: Column, directed: bool = True) -> Column:
+    """One number for all of a network in place of its pharmacology: 1 + theta where the net drive rises, else 1 - theta above the floor; 1 without theta."""
+    down = F.greatest(F.lit(FLOOR), 1 - theta)
+    return F.when(theta.isNull(), F.lit(1.0)).otherwise(F.when(direction > 0, 1 + theta).otherwise(down) if directed else down)
+
+
+def is_placeholder(value: Column, param_type: Column, tier: Column) -> Column:
+    """A row that stands for missing evidence: no value, no known type, or a tier that says so."""
+    return value.isNull() | F.coalesce(param_type == "unknown", F.lit(True)) | F.coalesce(tier == "class_placeholder", F.lit(False))
+
+
+def is_estimate(value: Column, direction: Column, tier: Column) -> Column:
+    """A row whose value may move: there is one, it acts in some direction, and its tier isn't a placeholder's."""
+    return value.isNotNull() & F.coalesce(direction != "none", F.lit(False)) & ~F.coalesce(tier == "class_placeholder", F.lit(False))

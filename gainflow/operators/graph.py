@@ -355,3 +355,10 @@ def backward_paths(edges: DataFrame, nodes: DataFrame, targets: DataFrame, gains
         front = grown.orderBy(F.desc(F.round(F.abs("after"), 6)), "path").limit(beam)
     out = union_all(found)
     return out.join(sources.select(F.col("body_id").alias("head")), "head", "left_semi").drop("head") if sources is not None else out.drop("head")
+
+
+def scaled_cut(edges: DataFrame, seeds: DataFrame, rings: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes in growth order (ring, then pull, then id) up to a budget, with their ``place``, and the edges among them."""
+    order = [F.col("ring"), F.desc(F.round("pull", 6)), F.col("body_id")]
+    chosen = cut(numbered(ranked_rings(edges, seeds, rings).withColumn("down", -F.round("pull", 6)), [], "ring", "down", "body_id", name="place").filter(F.col("place") <= budget).select("body_id", "ring", "pull", "place"))
+    return chosen.orderBy(*order), induced(edges, chosen)

@@ -205,3 +205,29 @@ def two_sided_signs(spark, d):
     p = X.table(spark, d, "part")
     rows = p.crossJoin(F.broadcast(p.agg(F.avg("p_retailprice").alias("mean")))).groupBy("p_brand").agg(F.count_if(F.col("p_retailprice") > F.col("mean")).alias("k"), F.count("*").alias("n"))
     return rows.select("p_brand", "k", "n", r(S.binomial_two_sided(F.col("k"), F.col("n")), 9).alias("p"))
+
+
+@query
+def evidence_coercion(spark, d):
+    """Types and relations written in any case and with blanks, read back, and rows that claim a stronger model than their type supports."""
+    e = X.evidence(spark, d)
+    messy = e.select(F.when(F.col("pos") % 13 != 0, F.concat(F.lit(" "), F.upper("param_type"))).alias("t"), F.when(F.col("pos") % 17 != 0, F.concat(F.initcap("relation"), F.lit("  "))).alias("s"), X.pick(["binding_occupancy", "functional_engagement", "not_modelled"], F.col("pos")).alias("claimed"))
+    rows = messy.select(dims.param_type(F.col("t")).alias("param_type"), dims.relation(F.col("s")).alias("relation"), dims.distance(F.col("s")).alias("distance"), "claimed")
+    return rows.withColumn("exceeds", dims.exceeds(F.col("claimed"), F.col("param_type"))).groupBy("param_type", "relation", "distance").agg(F.count("*").alias("n"), F.count_if("exceeds").alias("too_strong"))
+
+
+@query
+def generic_multipliers(spark, d):
+    e = E.engage(X.evidence(spark, d), X.doses(spark, 1e-6))
+    theta = e.filter(F.startswith("receptor", F.lit("insect_"))).groupBy("compound").agg(F.max("engagement").alias("theta"))
+    g = E.drive_sign(E.gains(e)).select("compound", "direction").join(theta, "compound", "left")
+    return g.select("compound", r(pharm.generic_multiplier(F.col("theta"), F.col("direction")), 9).alias("directed"), r(pharm.generic_multiplier(F.col("theta"), F.col("direction"), False), 9).alias("depressant"))
+
+
+@query
+def scaled_cut(spark, d):
+    """The first 60 nodes in growth order and the weights among them; the budget is the operator's."""
+    e = X.big_edges(spark, d).filter("weight >= 45")
+    nodes, inside = G.scaled_cut(e, spark.createDataFrame([(1,)], "body_id long"), 2, 60)
+    out = inside.groupBy(F.col("pre").alias("body_id")).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+    return nodes.join(out, "body_id", "left").select("body_id", "ring", "place", F.coalesce("edges", F.lit(0)).alias("edges"), r(F.coalesce("weight", F.lit(0.0))).alias("weight"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import dims
-from .oracles import _GAIN, _SIGN, EDGE, EV, PERM, SQL, listed, values
+from .oracles import _GAIN, _SIGN, BOTH, EDGE, EV, GAINS, PERM, SQL, engaged, listed
 
 __all__ = ["SQL"]
 
@@ -143,3 +143,12 @@ SQL["isobologram"] = f"""WITH {EV}, e AS (SELECT compound, receptor, min(value_m
 SELECT pair, receptor, round(i / 6, 6) AS fraction, round(i / 6 * va * 1e9, 6) AS dose_a_nm, round((1 - i / 6) * vb * 1e9, 6) AS dose_b_nm, 1.0::DOUBLE AS ci FROM p, range(7) r(i)"""
 SQL["two_sided_signs"] = """WITH c AS (SELECT p_brand, count(*) FILTER (p_retailprice > (SELECT avg(p_retailprice) FROM part)) AS k, count(*) AS n FROM part GROUP BY 1), t AS (SELECT p_brand, k, n, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS tail FROM c, unnest(range(least(k, n - k) + 1)) r(i) GROUP BY ALL)
 SELECT p_brand, k, n, round(CASE WHEN 2 * k = n THEN 1 ELSE least(1, 2 * tail) END, 9) AS p FROM t"""
+
+
+SQL["evidence_coercion"] = f"""WITH {EV}, t AS (SELECT CASE WHEN pos % 13 = 0 THEN 'unknown' ELSE param_type END AS param_type, CASE WHEN pos % 17 = 0 THEN 'unsupported' ELSE relation END AS relation, (['binding_occupancy', 'functional_engagement', 'not_modelled'])[pos % 3 + 1] AS claimed FROM ev)
+SELECT param_type, relation, CASE relation WHEN 'exact_compound_exact_receptor_exact_species' THEN 'E0' WHEN 'exact_compound_exact_receptor_other_species' THEN 'E1' WHEN 'exact_compound_related_receptor' THEN 'E2' WHEN 'class_extrapolation' THEN 'E3' ELSE 'E4' END AS distance, count(*) AS n,
+count(*) FILTER (claimed <> 'not_modelled' AND (param_type IN ('relative_potency', 'class_order', 'unknown') OR (claimed = 'binding_occupancy' AND param_type NOT IN ('Kd', 'Ki')))) AS too_strong FROM t GROUP BY 1, 2"""
+SQL["generic_multipliers"] = f"""WITH {engaged()}, {GAINS}, h AS (SELECT compound, max(engagement) AS theta FROM en WHERE receptor LIKE 'insect_%' GROUP BY 1), g AS (SELECT compound, {_NET} > 0 AS up, theta FROM gains LEFT JOIN h USING (compound))
+SELECT compound, round(CASE WHEN theta IS NULL THEN 1 WHEN up THEN 1 + theta ELSE greatest(0.05, 1 - theta) END, 9) AS directed, round(coalesce(CASE WHEN theta IS NOT NULL THEN greatest(0.05, 1 - theta) END, 1), 9) AS depressant FROM g"""
+SQL["scaled_cut"] = f"""WITH {BOTH}, r AS ({SQL["ranked_rings"]}), n AS (SELECT body_id, ring, row_number() OVER (ORDER BY ring, pull DESC, body_id) AS place FROM r), c AS (SELECT * FROM n WHERE place <= 60),
+o AS (SELECT pre, count(*) AS edges, sum(weight) AS weight FROM h WHERE pre IN (SELECT body_id FROM c) AND post IN (SELECT body_id FROM c) GROUP BY 1) SELECT body_id, ring, place, coalesce(edges, 0) AS edges, round(coalesce(weight, 0), 6) AS weight FROM c LEFT JOIN o ON pre = body_id"""

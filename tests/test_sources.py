@@ -191,3 +191,14 @@ def test_dense_blocks_of_nulls(spark):
 
 def test_rule_table():
     assert dims.model_of("Kd", "E0") == "binding_occupancy" and dims.model_of("Ki", "E3") == "functional_engagement_proxy" and dims.model_of("IC50", "E4") == "not_modelled" and dims.model_of("unknown", "E0") == "not_modelled"
+
+
+def test_names_in_any_case(spark):
+    rows = spark.createDataFrame([(" kd ", "E2"), (None, None), ("Relative_Potency", " Class_Extrapolation")], "t string, d string")
+    got = [tuple(r) for r in rows.select(dims.param_type(F.col("t")), dims.distance(F.col("d"))).collect()]
+    assert got == [("Kd", "E2"), ("unknown", "E4"), ("relative_potency", "E3")]
+    with pytest.raises(Exception, match="known: Kd"):
+        spark.createDataFrame([("Kx",)], "t string").select(dims.param_type(F.col("t"))).collect()
+    flags = spark.createDataFrame([(1.0, "Kd", "measured_fit", "agonist"), (None, "Kd", "measured_fit", "agonist"), (1.0, "unknown", None, "none")], "v double, t string, tier string, d string")
+    got = [tuple(r) for r in flags.select(pharm.is_placeholder(F.col("v"), F.col("t"), F.col("tier")), pharm.is_estimate(F.col("v"), F.col("d"), F.col("tier"))).collect()]
+    assert got == [(False, True), (True, False), (True, False)]
