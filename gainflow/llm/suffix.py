@@ -189,11 +189,13 @@ class RunLengthIndex:
         left = np.repeat(ends, np.diff(np.r_[-1, ends])) - at
         depth, most = PACKED, int(left.max()) + 1
         while True:
-            sa = np.argsort(key, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[sa] = np.cumsum(np.r_[0, key[sa][1:] != key[sa][:-1]])
-            if depth >= most or rank[sa[-1]] == n - 1:
+            sa = np.argsort(key)
+            key, rank = key[sa], np.empty(n, np.int64)
+            rank[sa] = np.r_[0, np.cumsum(key[1:] != key[:-1])]
+            if rank[sa[-1]] == n - 1:
                 return sa
+            if depth >= most:
+                return np.argsort(rank * np.int64(n) + at)
             key = rank * np.int64(n + 1) + np.where(left >= depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
             depth *= 2
 
