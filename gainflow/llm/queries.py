@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, licenses, linededup, minhash, pii, quality, suffix, warc
+from . import ann, bpe, collocations, decontam, licenses, linededup, minhash, pii, quality, suffix, warc
 from ._common import shared_dir, table
 
 
@@ -85,6 +85,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_linededup": op8_linededup,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -123,4 +128,15 @@ d AS (SELECT doc_id, {_WORDS} AS w FROM documents), k AS (SELECT DISTINCT k FROM
 h AS (SELECT doc_id, i, x.k, item_id FROM x JOIN g USING (gram)), n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + k)) r(p) GROUP BY 1),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t), n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, array_to_string(w[i + 1:i + k], ' ') AS p, count(*) AS f FROM w, unnest([1, 2, 3, 4, 5]) u(k), unnest(range(len(w) - k + 1)) r(i) GROUP BY ALL HAVING count(*) >= 100),
+held AS (SELECT DISTINCT lang, f, unnest([array_to_string(string_split(p, ' ')[1:k - 1], ' '), array_to_string(string_split(p, ' ')[2:k], ' ')]) AS p FROM f WHERE k > 2),
+c AS (SELECT f.lang, f.p, f.k, f.f AS a FROM f ANTI JOIN held USING (lang, p, f) WHERE f.k > 1),
+cut AS (SELECT lang, p, a, i, array_to_string(string_split(p, ' ')[1:i], ' ') AS x, array_to_string(string_split(p, ' ')[i + 1:k], ' ') AS y FROM c, unnest(range(1, k)) r(i)),
+s AS (SELECT cut.lang, cut.p, a, i, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n::HUGEINT) // (x.f::HUGEINT * y.f) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.p = cut.x JOIN f y ON y.lang = cut.lang AND y.p = cut.y JOIN n ON n.lang = cut.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, i) AS o FROM s),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM b WHERE o = 1)
+SELECT * FROM o WHERE rank <= 2000""",
 }
