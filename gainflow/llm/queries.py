@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, collocations, decontam, licenses, linededup, minhash, pii, quality, suffix, warc
+from . import ann, bpe, collocations, conversations, decontam, langid, licenses, linededup, minhash, pii, quality, suffix, warc
 from ._common import shared_dir, table
 
 
@@ -89,6 +89,27 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage the conversations, repair them, and describe each: only the hash of a repaired conversation gathers its texts."""
+    rows, folder = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), shared_dir(spark)
+    flagged = conversations.faults(conversations.damage(rows))
+    conversations.solve(flagged).write.parquet(f"{folder}/solved")
+    solved = spark.read.parquet(f"{folder}/solved")
+    line = F.struct("id", "part", F.concat_ws(":", "role", "text").alias("line"))
+    texts = conversations.repaired(flagged, solved).groupBy("k").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    digest = texts.select("k", F.sha2(F.array_join("lines.line", "\n").cast("binary"), 256).alias("repaired_sha256"))
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    out = rows.select("conv_id").distinct().withColumn("k", key).join(solved.drop("conv_id", "blocks"), "k", "left").join(conversations.gaps(flagged), "k", "left").join(digest, "k", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
@@ -101,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
     "op11_collocations": op11_collocations,
+    "op12_langid": op12_langid,
+    "op13_conversations": op13_conversations,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
