@@ -128,6 +128,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _edit(cell: str, cost: str, letter: str) -> str:
+    """A cell (nine digits of cost, then the audit) after an edit, in SQL."""
+    return f"lpad((left({cell}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({cell}, 10) || {letter}"
+
+
+def _inserted(s0: str, s1: str, s2: str, s3: str) -> tuple[str, str]:
+    """States after u and after a, with the inserts that may be worth it, in SQL."""
+    one = lambda *cells: [_edit(c, "2", "'I'") for c in cells]
+    two = lambda *cells: [_edit(c, "4", "'II'") for c in cells]
+    return f"least({', '.join([s2, *one(s0, s1, s3)])})", f"least({', '.join([s3, *one(s2), *two(s0, s1)])})"
+
+
+_U, _A = _inserted("s0", "s1", "s2", "s3")
+_STRIPPED = "rtrim(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' ')"
+
 #: DuckDB SQL where SQL can express the operator. The others are tested against brute force, a library or held-out labels.
 ORACLES: dict[str, str] = {
     "op1_warc": """
@@ -162,4 +179,24 @@ s AS (SELECT cut.lang, cut.p, a, i, x.f AS l, y.f AS r, n, (1000::HUGEINT * a *
 b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, i) AS o FROM s),
 o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM b WHERE o = 1)
 SELECT * FROM o WHERE rank <= 2000""",
+    "op13_conversations": f"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+o AS (SELECT coalesce('=' || conv_id, '') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT k, turn, role, text, xor(list_reduce(list_transform(string_split(key, ''), lambda x: unicode(x)::BIGINT), lambda c, b: xor(c >> 8, t.t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 20 AS h FROM o, t),
+d AS (SELECT k, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) r(i)),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i, {_STRIPPED} AS s FROM d),
+q AS (SELECT *, s = '' AS blank, s <> '' AND row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS duplicate, left(role, 1) AS f, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS g FROM p),
+r AS (SELECT *, NOT blank AND NOT duplicate AND right(s, 1) NOT IN ('.', '!', '?') AS truncated, NOT blank AND NOT duplicate AS stays FROM q),
+n AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated, sum((g IS NOT NULL AND g || f NOT IN ('su', 'ua', 'au'))::INT) AS illegal, count(*) AS n FROM r GROUP BY 1),
+e AS (SELECT k, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM n
+  UNION ALL SELECT k, i, {_edit('s0', '3', "'D'")}, least({_edit('s1', '3', "'D'")}, CASE WHEN stays AND f = 's' THEN {_edit('s0', 'c', "'K'")} END),
+    least({_edit('u', '3', "'D'")}, CASE WHEN stays AND f = 'u' THEN {_edit('least(s0, s1, a)', 'c', "'K'")} WHEN stays THEN {_edit('least(s0, s1, a)', '(c + 2)', "'R'")} END),
+    least({_edit('a', '3', "'D'")}, CASE WHEN stays AND f = 'a' THEN {_edit('u', 'c', "'K'")} WHEN stays THEN {_edit('u', '(c + 2)', "'R'")} END)
+  FROM (SELECT r.k, r.i, s0, s1, {_U} AS u, {_A} AS a, stays, f, truncated::INT AS c FROM e JOIN r ON r.k = e.k AND r.i = e.i + 1)),
+b AS (SELECT n.*, least(s0, {_A}) AS best FROM e JOIN n ON n.k = e.k AND n.n = e.i),
+l AS (SELECT k, x, x.j AS j FROM b, unnest(list_transform(string_split(substr(best, 10), ''), lambda c, j: {{'c': c, 'j': j}})) u(x) WHERE length(best) > 9),
+m AS (SELECT k, j, x.c AS c, count(*) FILTER (x.c <> 'I') OVER (PARTITION BY k ORDER BY j) AS i, count(*) FILTER (x.c <> 'D') OVER (PARTITION BY k ORDER BY j) AS z, count(*) FILTER (x.c <> 'D') OVER (PARTITION BY k) AS total FROM l),
+w AS (SELECT m.k, sha256(string_agg(CASE WHEN c = 'K' THEN role WHEN (z - total % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN c = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha FROM m LEFT JOIN r ON r.k = m.k AND r.i = m.i WHERE c <> 'D' GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(best, 9)::BIGINT, 0) AS cost, coalesce(substr(best, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.k = coalesce('=' || conv_id, '') LEFT JOIN w ON w.k = b.k""",
 }
