@@ -1,18 +1,19 @@
 """Phrase collocations: candidates from sketch upper bounds, counted by Aho-Corasick automata.
 
 A-Z are lower-cased; a text is cut into pieces at ``. , ; : ! ?`` and line ends (``\\x0A`` to ``\\x0D``), pieces into words at
-blanks and tabs. Three passes, each of which reads every whole text:
+blanks and tabs. Four passes, each of which reads every whole text:
 
-1. every occurrence of a phrase of one to ``max_words`` words adds one to two cells of a sketch, with its language; a phrase's
-   lesser cell is an upper bound of its count, so no phrase is missed;
+1. every occurrence of a phrase of one or two words adds one to two cells of a sketch, with its language; then every longer one
+   whose word pairs all may be frequent does so in a second sketch. A phrase's lesser cell is an upper bound of its count, so no
+   phrase is missed;
 2. phrases whose bound, and that of every phrase inside them, reaches the threshold are the candidates;
-3. candidates become automata in which each word is one letter. All else, piece ends and words of no candidate, is a delimiter
-   that no pattern holds, so a match can't cross it. Overlapping matches are counted per language and summed; then the
-   threshold is applied to the exact counts.
+3. candidates become automata, each pattern guarded by a blank at either end, and each text is its words with one blank between any
+   two and a line end where a piece ends. No pattern holds a line end, so a match is whole words of one piece. Overlapping
+   matches are counted per language and summed; then the threshold is applied to the exact counts.
 
 The sketch's size follows the text's (a cell for 16 characters, CELLS_MOST at most: beyond it more candidates turn out to be too
-rare, none is lost). Tasks send their cells in compressed slices, which are added one by one; the driver gets one bit a cell (32 MB
-at most). Candidates are dealt to automata of at most LETTERS words and about PATTERN_BYTES bytes; only one of them, so bounded,
+rare, none is lost). Tasks send their cells in compressed slices, which are added one by one; the driver gets one bit a cell (40 MB
+at most). Candidates are dealt to automata of about PATTERN_BYTES bytes (each byte is a node at most); only one of them, so bounded,
 is collected and broadcast at a time, and each takes a pass over the texts.
 
 Defined results: a null text is empty; a null language counts as ``und``, together with rows that say so; repeated rows count each;
@@ -35,10 +36,10 @@ from .minhash import WordHashes, mix
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
 #: Cells of the sketch, least and most, and characters a cell.
 CELLS_LEAST, CELLS_MOST, CHARS = 1 << 20, 1 << 28, 16
-#: Cells of a slice.
-SLICE = 1 << 18
-#: Letters of one automaton (a code point each), as all words of its phrases may differ, and bytes of its phrases.
-LETTERS, PATTERN_BYTES = 1_000_000, 32 << 20
+#: Cells of a slice, buckets of candidates, and words of a phrase up to which the first sketch counts.
+SLICE, DEALT, SHORT = 1 << 18, 1024, 2
+#: Bytes of the phrases of one automaton.
+PATTERN_BYTES = 8 << 20
 #: Words that are hashed at once, cells that are added at once, and counters that travel together.
 WORDS, PENDING, PART = 1 << 19, 1 << 22, 1 << 14
 #: Parts into which a language's phrases are dealt before its first ones are taken.
@@ -76,13 +77,13 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[bytes],
                     held = []
 
 
-def levels(words: np.ndarray, most: int, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def levels(words: np.ndarray, most: int, passes: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``k``, places and hashes of the phrases of k words; only those that pass, and whose parts do."""
     at, h = np.flatnonzero(words), np.zeros(len(words), np.uint64)
     x = mix(words[at] * _ODD)
     for k in range(1, most + 1):
         if passes is not None:
-            keep = passes(x)
+            keep = passes(k, x)
             at, x = at[keep], x[keep]
         yield k, at, x
         h[at] = x
@@ -100,23 +101,37 @@ def cells(x: np.ndarray, lang: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (y & np.uint64(size - 1)).astype(np.uint32), ((y >> np.uint64(32)) & np.uint64(size - 1)).astype(np.uint32)
 
 
-def _sketch(texts: DataFrame, size: int, most: int, least: int) -> np.ndarray:
-    """A bit for each cell: it was met ``least`` times or more."""
-    cap = np.int64(min(least, 255))
+def bounded(bits: list[np.ndarray], lang: str) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether phrases of k words may be met often enough: by the first sketch those of up to SHORT words, by the second, once there is one, longer ones."""
+    def passes(k: int, x: np.ndarray) -> np.ndarray:
+        if k > SHORT and len(bits) == 1:
+            return np.ones(len(x), bool)
+        own = bits[k > SHORT]
+        a, b = cells(x, lang, 8 * len(own))
+        test = lambda c: (own[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 > 0
+        return test(a) & test(b)
+
+    return passes
+
+
+def _sketch(texts: DataFrame, size: int, most: int, least: int, known: list[np.ndarray]) -> np.ndarray:
+    """A bit for each cell: it was met ``least`` times or more, by the phrases of up to SHORT words, or by the longer ones that ``known`` bounds let pass."""
+    cap, sent = np.int64(min(least, 255)), texts.sparkSession.sparkContext.broadcast(known)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        table, pending, n = np.zeros(size, np.uint8), [], 0
+        table, pending, n, before = np.zeros(size, np.uint8), [], 0, sent.value
 
         def add() -> None:
             at, count = np.unique(np.concatenate(pending), return_counts=True)
             table[at] = np.minimum(table[at] + count, 255)
 
         for lang, _, words in blocks(batches):
-            for _, _, x in levels(words, most):
-                pending += cells(x, lang, size)
-                n += 2 * len(x)
+            for k, _, x in levels(words, most if before else min(most, SHORT), bounded(before, lang) if before else None):
+                if k > SHORT or not before:
+                    pending += cells(x, lang, size)
+                    n += 2 * len(x)
             if n >= PENDING:
                 add()
                 pending, n = [], 0
@@ -146,45 +161,45 @@ def _sketch(texts: DataFrame, size: int, most: int, least: int) -> np.ndarray:
     return out
 
 
-def _candidates(texts: DataFrame, bits: np.ndarray, most: int) -> DataFrame:
-    """``phrase``: every phrase whose bound, and that of all inside it, reaches the threshold in some language."""
-    sent, size = texts.sparkSession.sparkContext.broadcast(bits), 8 * len(bits)
+def _candidates(texts: DataFrame, bits: list[np.ndarray], most: int) -> DataFrame:
+    """``phrase``: every phrase whose bound, and that of all inside it, reaches the threshold in some language. Tasks send theirs in lists, one for each of DEALT buckets."""
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heavy, seen = sent.value, set()
-        test = lambda c: (heavy[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 > 0
+        heavy, seen, out, n = sent.value, set(), {}, 0
         for lang, held, words in blocks(batches):
-            out: list[str] = []
-            for k, at, x in levels(words, most, lambda x: np.logical_and(*map(test, cells(x, lang, size)))):
+            for k, at, x in levels(words, most, bounded(heavy, lang)):
                 u, first = np.unique(x, return_index=True)
                 for v, i in zip(u.tolist(), at[first].tolist()):
                     if v not in seen:
                         seen.add(v)
-                        out.append(b" ".join(held[i : i + k]).decode("utf-8"))
-            if out:
-                yield pd.DataFrame({"phrase": out})
+                        n += 1
+                        out.setdefault(v % DEALT, []).append(b" ".join(held[i : i + k]).decode("utf-8"))
+            if n >= WORDS:
+                yield pd.DataFrame({"bucket": list(out), "phrases": list(out.values())})
+                out, n = {}, 0
+        if out:
+            yield pd.DataFrame({"bucket": list(out), "phrases": list(out.values())})
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+        for part in batches:
+            new = {p for own in part["phrases"] for p in own} - seen
+            seen |= new
+            yield pd.DataFrame({"phrase": list(new)})
 
-    return texts.mapInPandas(run, "phrase string").distinct()
+    return texts.mapInPandas(run, "bucket int, phrases array<string>").repartition("bucket").mapInPandas(once, "phrase string")
 
 
-def automaton(patterns: list[str]) -> tuple[dict[bytes, str], object]:
-    """The letter of each word, and an automaton of the patterns' letters."""
+def automaton(patterns: list[str]) -> object:
+    """Finds every pattern, a blank at either end of each."""
     import ahocorasick
 
-    class Letters(dict):
-        def __missing__(self, word: bytes) -> str:
-            return "\n"
-
-    letters, found = Letters(), ahocorasick.Automaton()
+    found = ahocorasick.Automaton()
     for i, p in enumerate(patterns):
-        own = p.encode("utf-8").split(b" ")
-        for w in own:
-            if w not in letters:
-                c = len(letters) + 32
-                letters[w] = chr(c if c < 0xD800 else c + 0x800)
-        found.add_word("".join(map(letters.__getitem__, own)), i)
+        found.add_word(f" {p} ", i)
     found.make_automaton()
-    return letters, found
+    return found
 
 
 def _scan(texts: DataFrame, patterns: list[str], least: int) -> DataFrame:
@@ -194,7 +209,7 @@ def _scan(texts: DataFrame, patterns: list[str], least: int) -> DataFrame:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from operator import itemgetter
 
-        letters, found = automaton(sent.value)
+        found = automaton(sent.value)
         size, counts = len(sent.value), {}
         for part in batches:
             for lang, own in part.groupby("lang", sort=False)["text"]:
@@ -204,7 +219,7 @@ def _scan(texts: DataFrame, patterns: list[str], least: int) -> DataFrame:
                 for t in own:
                     words = tokens(t)
                     counts[lang][size] += len(words) - words.count(b"\n")
-                    hits.extend(map(itemgetter(1), found.iter("".join(map(letters.__getitem__, words)))))
+                    hits.extend(map(itemgetter(1), found.iter(f" {b' '.join(words).decode('utf-8')} ")))
                     if len(hits) >= WORDS:
                         counts[lang][:size] += np.bincount(hits, minlength=size)
                         hits = []
@@ -236,10 +251,12 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most
     texts = text_batches(docs).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     size = min(CELLS_MOST, max(CELLS_LEAST, 1 << max(0, int(chars) // CHARS - 1).bit_length()))
-    _candidates(texts, _sketch(texts, size, most, least), most).write.parquet(f"{folder}/candidates")
+    bits = [_sketch(texts, size, most, least, [])]
+    if most > SHORT:
+        bits.append(_sketch(texts, max(CELLS_LEAST, size // 4), most, least, bits))
+    _candidates(texts, bits, most).write.parquet(f"{folder}/candidates")
     found = spark.read.parquet(f"{folder}/candidates")
-    n, volume = found.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
-    automata = max(-(-n * 10 * most // (9 * LETTERS)), -(-volume // PATTERN_BYTES))
+    automata = -(-(found.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0) // PATTERN_BYTES)
     for i in range(automata):
         own = sorted(r["phrase"] for r in found.filter(F.pmod(F.xxhash64("phrase"), F.lit(automata)) == i).toLocalIterator())
         _scan(texts, own, least).withColumn("automaton", F.lit(i)).write.parquet(f"{folder}/counts/{i}")

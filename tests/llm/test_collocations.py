@@ -50,8 +50,9 @@ def test_equals_brute_force(spark):
 
 
 def test_several_automata_and_a_crowded_sketch(spark, monkeypatch):
-    """Few letters an automaton, and a sketch of so few cells that bounds are far too high, change nothing."""
-    monkeypatch.setattr(collocations, "LETTERS", 100)
+    """Few bytes an automaton, and a sketch of so few cells that bounds are far too high, change nothing."""
+    monkeypatch.setattr(collocations, "PATTERN_BYTES", 300)
+    monkeypatch.setattr(collocations, "DEALT", 3)
     monkeypatch.setattr(collocations, "CELLS_LEAST", 1 << 8)
     monkeypatch.setattr(collocations, "CELLS_MOST", 1 << 8)
     monkeypatch.setattr(collocations, "SLICE", 1 << 7)
