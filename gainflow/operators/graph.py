@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -165,15 +167,55 @@ def ranked_rings(edges: DataFrame, seeds: DataFrame, rings: int) -> DataFrame:
 
 #: Rows of a state (some 60 bytes each) up to which it is sent to the edges; beyond, edges stay where they are and the state is shuffled to them.
 SENT = 500_000
+#: Edges or nodes up to which a graph runs all its steps in one task (some 100 bytes each); beyond, every step is a join. Edges times arms of such a task.
+WHOLE, CHUNK = 2_000_000, 1_000_000
 VEHICLE = {"vehicle": {}}
 
 
-def rates(edges: DataFrame, nodes: DataFrame, drive: DataFrame, arms: DataFrame | dict[str, dict[str, float]] | None = None, normalise: str = "row_abs", steps: int = 80, alpha: float = 0.3, most: float = 300.0, every: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+def _whole(w: DataFrame, state: DataFrame, on: list[str], parts: int, steps: int, alpha: float, most: float) -> DataFrame:
+    """The steps of :func:`rates` for graphs that fit in a task: a group is a graph and some of its arms, which are the columns of one matrix; arms are dealt to ``parts`` groups by hash."""
+    names = ["__p", *[f"__g{i}" for i in range(len(on))]]
+    # every column gets a name of its own side: both sides may come from the same rows
+    keyed = lambda df, part, *own: df.select(part.alias("__p"), *[F.col(c).alias(n) for n, c in zip(names[1:], on)], *[F.col(c).alias(c) for c in own])
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
+    schema = ", ".join(["__p int", *[f"{n} {kinds[c]}" for n, c in zip(names[1:], on)]] + [f"arm {kinds['arm']}", f"body_id {kinds['body_id']}", "r double"])
+
+    def run(key, edges, nodes):
+        if nodes.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        ids, at = np.unique(nodes["body_id"].to_numpy(), return_inverse=True)
+        arms, col = np.unique(nodes["arm"].to_numpy(object), return_inverse=True)
+        hz, gain, nav = (np.zeros((len(ids), len(arms))) for _ in range(3))
+        for m, c in ((hz, "hz"), (gain, "gain"), (nav, "nav")):
+            m[at, col] = nodes[c].to_numpy()
+        edges = edges.sort_values(["post", "pre"], kind="stable")
+        pre, w, e = np.searchsorted(ids, edges["pre"]), edges["w"].to_numpy()[:, None], edges["e"].to_numpy()[:, None]
+        post, first = np.unique(edges["post"].to_numpy(), return_index=True)
+        post, r = np.searchsorted(ids, post), np.zeros((len(ids), len(arms)))
+        scaled = w * (1 + (gain[pre] - 1) * e)
+        for _ in range(steps):
+            x = hz.copy()
+            if len(post):
+                x[post] += np.add.reduceat(scaled * r[pre], first, axis=0)
+            r = np.clip((1 - alpha) * r + alpha * nav * x, 0.0, most)
+        return pd.DataFrame(dict(zip(names, key)) | {"arm": arms[col], "body_id": ids[at], "r": r[at, col]})
+
+    copies, part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), F.pmod(F.xxhash64("arm"), F.lit(parts)).cast("int")
+    out = keyed(w, copies, "pre", "post", "w", "e").groupBy(*names).cogroup(keyed(state, part, "arm", "body_id", "hz", "gain", "nav").groupBy(*names)).applyInPandas(run, schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names[1:], on)], "arm", "body_id", "r")
+
+
+def rates(edges: DataFrame, nodes: DataFrame, drive: DataFrame, arms: DataFrame | dict[str, dict[str, float]] | None = None, normalise: str = "row_abs", steps: int = 80, alpha: float = 0.3, most: float = 300.0, every: int = 10, by: tuple[str, ...] = (), expression: DataFrame | None = None) -> DataFrame:
     """``arm, body_id, hz``: leaky rates after some steps: r <- clip((1 - a) r + a g_nav (drive + W r), 0, most), from 0.
 
     All arms run side by side, and so do all graphs that columns ``by`` (of edges and nodes) tell
     apart. An arm's gains scale what a node sends, so they stand with the state and the edges are the
-    same for all arms. A step is one join of the edges with the state and one sum per target; each node
+    same for all arms. ``drive`` is by ``body_id`` and, where it has them, by ``arm`` and columns of ``by``.
+    With ``expression`` (``body_id, nt, level``: how much of a transmitter's receptor a target has) an edge takes
+    1 + (gain - 1) * level in place of the gain; targets that it doesn't name take the gain.
+
+    Graphs of at most WHOLE edges and nodes, counted first, run all steps as groups, a task for each graph and some of its arms. In a larger one a step
+    is one join of the edges with the state and one sum per target; each node
     has an edge to itself that hands on its own state, so a step reads the last one once. Edges are
     dealt by source once and kept; the state goes to them whole while it has at most SENT rows. It is
     checkpointed every few steps.
@@ -182,23 +224,34 @@ def rates(edges: DataFrame, nodes: DataFrame, drive: DataFrame, arms: DataFrame
     arms = arms if isinstance(arms, DataFrame) else arm_table(edges.sparkSession, arms or VEHICLE)
     pre, post = nodes.select(*on, F.col("body_id").alias("pre"), "nt"), nodes.select(*on, F.col("body_id").alias("post"))
     known = edges.join(pre, [*on, "pre"]).join(post, [*on, "post"], "left_semi")
-    signed = cut(known.groupBy(*on, "pre", "post", "nt").agg(F.sum("weight").alias("weight")).select(*on, "pre", "post", (F.col("weight") * sign_of(F.col("nt"))).alias("w")))
+    signed = cut(known.groupBy(*on, "pre", "post", "nt").agg(F.sum("weight").alias("weight")).select(*on, "pre", "post", "nt", (F.col("weight") * sign_of(F.col("nt"))).alias("w")))
     scale = {"row_abs": F.greatest(F.sum(F.abs("w")), F.lit(1.0)), "degree": F.greatest(F.count_if(F.col("w") != 0), F.lit(1)).cast("double"), "none": F.max(F.lit(1.0))}
     if normalise not in scale:
         raise ValueError(f"unknown normalisation {normalise!r}")
     total = signed.groupBy(*on, "post").agg(scale[normalise].alias("scale"))
-    w = signed.join(total, [*on, "post"]).filter("w <> 0").select(*on, "pre", "post", (F.col("w") / F.col("scale")).alias("w"))
-    state = nodes.select(*on, "body_id", "nt").join(drive, "body_id", "left").crossJoin(arms)
+    level = F.lit(1.0)
+    if expression is not None:
+        signed = signed.join(expression.select(F.col("body_id").alias("post"), "nt", F.col("level").cast("double").alias("level")), ["post", "nt"], "left")
+        level = F.coalesce("level", F.lit(1.0))
+    w = signed.join(total, [*on, "post"]).filter("w <> 0").select(*on, "pre", "post", (F.col("w") / F.col("scale")).alias("w"), level.alias("e"))
+    of = [c for c in (*on, "arm", "body_id") if c in drive.columns]
+    state = nodes.select(*on, "body_id", "nt").crossJoin(arms).join(drive.select(*of, "hz"), of, "left")
     state = cut(state.select(*on, "arm", "body_id", F.coalesce("hz", F.lit(0.0)).alias("hz"), gain_column(F.col("nt")).alias("gain"), F.col("g_nav").alias("nav"), F.lit(0.0).alias("r")))
+    largest = w.groupBy(*on).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = state.groupBy(*on, "arm").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if max(largest, rows) <= WHOLE:
+        parts = max(1, -(-max(largest, rows) * arms.count() // CHUNK))
+        return cut(_whole(w, state, on, parts, steps, alpha, most)).select(*on, "arm", "body_id", F.col("r").alias("hz"))
     small = state.count() <= SENT
-    own = nodes.select(*on, F.col("body_id").alias("pre"), F.col("body_id").alias("post"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))
+    own = nodes.select(*on, F.col("body_id").alias("pre"), F.col("body_id").alias("post"), F.lit(0.0).alias("w"), F.lit(1.0).alias("e"), F.lit(True).alias("own"))
     w = w.withColumn("own", F.lit(False)).unionByName(own)
     w = (cut(w) if small else w.repartition(*on, "pre").sortWithinPartitions(*on, "pre")).persist(StorageLevel.MEMORY_AND_DISK)
     for k in range(1, steps + 1):
         sent = state.withColumnRenamed("body_id", "pre")
         reached = w.join(F.broadcast(sent) if small else sent.hint("merge"), [*on, "pre"]).filter("own or r <> 0")
         kept = F.max(F.when(F.col("own"), F.struct("hz", "gain", "nav", "r"))).alias("s")
-        state = reached.groupBy(*on, "arm", F.col("post").alias("body_id")).agg(F.sum(F.col("w") * F.col("r") * F.col("gain")).alias("x"), kept)
+        sending = F.col("w") * F.col("r") * (1 + (F.col("gain") - 1) * F.col("e"))
+        state = reached.groupBy(*on, "arm", F.col("post").alias("body_id")).agg(F.sum(sending).alias("x"), kept)
         new = (1 - alpha) * F.col("s.r") + alpha * F.col("s.nav") * (F.col("s.hz") + F.col("x"))
         state = state.select(*on, "arm", "body_id", "s.hz", "s.gain", "s.nav", F.least(F.greatest(new, F.lit(0.0)), F.lit(most)).alias("r"))
         if k % every == 0 or k == steps:
@@ -260,12 +313,15 @@ def weight_matched_nulls(edges: DataFrame, nodes: DataFrame, draws: int, seed: i
     return found.unionByName(none)
 
 
-def weight_nulls(edges: DataFrame, draws: int, seed: int = 0, within: tuple[str, ...] = ("post",)) -> DataFrame:
-    """Weights dealt anew, once per draw: ``draw, pre, post, weight``; over each target's incoming edges, so every target keeps its own, or over all (``within=()``)."""
-    many, of = drawn(edges.select("pre", "post", "weight"), draws), ["draw", *within]
-    place = numbered(many.withColumn("h", by_hash(F.lit(seed), "draw", "pre", "post")), of, "h", "pre", "post", name="k").select("draw", "pre", "post", "k")
+def weight_nulls(edges: DataFrame, draws: int, seed: int = 0, within: tuple[str, ...] = ("post",), by: tuple[str, ...] = ()) -> DataFrame:
+    """Weights dealt anew, once per draw: ``*by, draw, pre, post, weight``; over each target's incoming edges, so every target keeps its own, or over all of a graph (``within=()``).
+
+    Graphs that columns ``by`` tell apart are dealt each by itself.
+    """
+    many, of = drawn(edges.select(*by, "pre", "post", "weight"), draws), [*by, "draw", *within]
+    place = numbered(many.withColumn("h", by_hash(F.lit(seed), *[F.col(c).cast("string") for c in by], "draw", "pre", "post")), of, "h", "pre", "post", name="k").select(*by, "draw", "pre", "post", "k")
     held = numbered(many, of, "pre", "post", name="k").select(*of, "weight", "k")
-    return place.join(held, [*of, "k"]).select("draw", "pre", "post", "weight")
+    return place.join(held, [*of, "k"]).select(*by, "draw", "pre", "post", "weight")
 
 
 def erdos_renyi(edges: DataFrame, nodes: DataFrame, draws: int, seed: int = 0, more: int = 8) -> DataFrame:

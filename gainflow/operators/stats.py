@@ -46,6 +46,21 @@ def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group, between neighbours by their distance; NULL values are left out and no group's rows meet in one task."""
+    rows = numbered(df.filter(F.col(value).isNotNull()).select(*by, value), by, value, name="__k")
+    n = rows.groupBy(*by).agg(F.max("__k").alias("__n"))
+    place = lambda q: (F.col("__n") - 1) * F.lit(q) + 1
+    some = rows.join(n, by)
+    pick = lambda k: F.max(F.when(F.col("__k") == k, F.col(value)))
+
+    def between(q: float) -> Column:
+        low, high = pick(F.floor(place(q))), pick(F.ceil(place(q)))
+        return low + (high - low) * F.max(place(q) - F.floor(place(q)))
+
+    return some.groupBy(*by).agg(*[between(q).alias(name) for name, q in at.items()])
+
+
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson and Spearman over rows where both are finite; NULL below three rows or without variance."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -81,15 +96,18 @@ def kendall(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
     return out.select(by, F.when((F.col("ux") > 0) & (F.col("uy") > 0), F.col("s") / F.sqrt(F.col("ux") * F.col("uy"))).alias("tau"))
 
 
-def permutation(draws: DataFrame, by: str = "cell") -> DataFrame:
-    """Per cell: two-sided permutation p = (k + 1) / (n + 1) around the null mean, null median, 95 % interval and resolution."""
+def permutation(draws: DataFrame, by: str = "cell", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per cell: two-sided permutation p = (k + 1) / (n + 1) around the null mean, null median, 95 % interval and resolution; and columns ``keep``, which a cell's rows share.
+
+    Quantiles are exact, but no cell's draws meet: they are numbered over ranges of the order, and the few at a quantile's place are picked.
+    """
     centre = draws.groupBy(by).agg(F.avg("effect").alias("centre"))
     rows = draws.join(centre, by)
     beyond = F.abs(F.round(F.col("effect") - F.col("centre"), 9)) >= F.abs(F.round(F.col("real") - F.col("centre"), 9))
-    low, high = F.percentile("effect", F.lit(0.025)), F.percentile("effect", F.lit(0.975))
-    return rows.groupBy(by).agg(
-        F.max("real").alias("real"), F.count("*").alias("n"), F.max("centre").alias("null_mean"), F.percentile("effect", F.lit(0.5)).alias("null_median"), low.alias("ci_low"), high.alias("ci_high"),
+    out = rows.groupBy(by).agg(
+        F.max("real").alias("real"), F.count("*").alias("n"), F.max("centre").alias("null_mean"), *[F.first(c).alias(c) for c in keep],
         ((F.count_if(beyond) + 1) / (F.count("*") + 1)).alias("p"), (F.lit(1.0) / (F.count("*") + 1)).alias("resolution"))
+    return out.join(quantiles(draws, [by], "effect", {"null_median": 0.5, "ci_low": 0.025, "ci_high": 0.975}), by)
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:

@@ -71,3 +71,11 @@ def draws(spark: SparkSession, d: str) -> DataFrame:
 
 def doses(spark: SparkSession, *values: float) -> DataFrame:
     return spark.createDataFrame([(float(v),) for v in values], "conc_m double")
+
+
+def expression_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Written levels of three receptors by class of :func:`order_nodes`: ``superclass, receptor, level``; what isn't known has no row."""
+    p = table(spark, d, "part")
+    n = p.groupBy(pick(["sensory", "central", "motor", "visual"], F.col("p_size")).alias("superclass"), pick(["nAChR", "RDL", "GluCl"], F.col("p_partkey")).alias("receptor")).agg(F.count("*").alias("n"))
+    level = F.element_at(F.array(*map(F.lit, [1.0, 0.6, 0.25, 0.0, None])), (F.col("n") % 5 + 1).cast("int"))
+    return n.select("superclass", "receptor", level.alias("level")).filter("level is not null")
