@@ -87,3 +87,11 @@ def is_placeholder(value: Column, param_type: Column, tier: Column) -> Column:
 def is_estimate(value: Column, direction: Column, tier: Column) -> Column:
     """A row whose value may move: there is one, it acts in some direction, and its tier isn't a placeholder's."""
     return value.isNotNull() & F.coalesce(direction != "none", F.lit(False)) & ~F.coalesce(tier == "class_placeholder", F.lit(False))
+
+
+def log_gamma(x: Column) -> Column:
+    """Of a number of 1 or more: Stirling's series eight further on, less the logarithms of the steps."""
+    z = x + 8
+    inner = 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    steps = sum((F.ln(x + i) for i in range(1, 8)), F.ln(x))
+    return (z - 0.5) * F.ln(z) - z + 0.9189385332046727 + inner - steps

@@ -74,11 +74,11 @@ def run(design: Design, evidence: DataFrame) -> DataFrame:
 
 
 def latin_hypercube(spark: SparkSession, n: int, factors: list[str], seed: int = 0) -> DataFrame:
-    """``row, factor, u``: one stratum per row and factor, in an order by hash."""
+    """``row, factor, u``: one stratum per row and factor, in an order by hash; no factor's rows meet in one task."""
     f = spark.createDataFrame([(x,) for x in factors], "factor string")
     rows = spark.range(n).withColumnRenamed("id", "row").crossJoin(F.broadcast(f))
-    place = F.row_number().over(Window.partitionBy("factor").orderBy(F.xxhash64(F.lit(seed), "factor", "row"), "row")) - 1
-    return rows.select("row", "factor", ((place + uniform(F.lit(seed), F.lit("in"), "factor", "row")) / n).alias("u"))
+    placed = S.numbered(rows.withColumn("h", F.xxhash64(F.lit(seed), "factor", "row")), ["factor"], "h", "row", name="place")
+    return placed.select("row", "factor", ((F.col("place") - 1 + uniform(F.lit(seed), F.lit("in"), "factor", "row")) / n).alias("u"))
 
 
 def saltelli(spark: SparkSession, n: int, factors: list[str], seed: int = 0) -> DataFrame:

@@ -158,15 +158,16 @@ def credible(evidence: DataFrame, draws: int = 500, sd_log10: float = 0.3, seed:
 
 
 def isobole(pairs: DataFrame, effect: float, points: int, rounds: int = 60) -> DataFrame:
-    """Rows of ``va`` and ``vb`` at ``points`` shares of the first compound: the doses that reach the effect together, and their combination index.
+    """Rows of ``va, na`` and ``vb, nb`` at ``points`` shares of the first compound: the doses that reach the effect together, and their combination index.
 
-    Along each share both doses are scaled by one factor, found by geometric bisection of the competitive occupancy.
+    Along each share both doses are scaled by one factor, found by geometric bisection of the competitive occupancy, to which
+    each compound adds (dose / value) ^ n; so the index is 1 only where both slopes are.
     """
-    alone_a, alone_b = (pharm.inverse_hill(F.lit(effect), F.col(v), F.lit(1.0)) for v in ("va", "vb"))
+    alone_a, alone_b = (pharm.inverse_hill(F.lit(effect), F.col(v), F.col(n)) for v, n in (("va", "na"), ("vb", "nb")))
     rows = pairs.withColumns({"alone_a": alone_a, "alone_b": alone_b, "fraction": F.explode(F.array(*[F.lit(i / (points - 1)) for i in range(points)]))})
 
     def occupancy(scale: Column) -> Column:
-        x = F.col("fraction") * F.col("alone_a") * scale / F.col("va") + (1 - F.col("fraction")) * F.col("alone_b") * scale / F.col("vb")
+        x = F.pow(F.col("fraction") * F.col("alone_a") * scale / F.col("va"), F.col("na")) + F.pow((1 - F.col("fraction")) * F.col("alone_b") * scale / F.col("vb"), F.col("nb"))
         return x / (1 + x)
 
     def halve(at: Column, _: Column) -> Column:

@@ -344,17 +344,56 @@ def erdos_renyi(edges: DataFrame, nodes: DataFrame, draws: int, seed: int = 0, m
     return out.join(weights, "of").select("draw", "pre", "post", "weight")
 
 
+#: Edges up to which a graph is rewired as a whole by one task (some 200 bytes each); beyond, all tasks swap in rounds.
+CHAINED = 200_000
+
+
+def _chained(edges: DataFrame, on: list[str], swaps_per_edge: float, seed: int) -> DataFrame:
+    """Sequential double-edge swaps of graphs that fit in a task, a group each: ``*on, pre, post, weight, swaps``; the draws depend on the seed and the graph's key."""
+    schema = ", ".join([f"{c} {edges.schema[c].dataType.simpleString()}" for c in (*on, "pre", "post", "weight")] + ["swaps long"])
+
+    def run(key, part):
+        import xxhash
+
+        part = part.sort_values(["pre", "post"], kind="stable", ignore_index=True)
+        pre, post = part["pre"].tolist(), part["post"].tolist()
+        there, m, made = set(zip(pre, post)), len(pre), 0
+        wanted = int(np.ceil(swaps_per_edge * m))
+        pick = np.random.default_rng([seed, xxhash.xxh64_intdigest(repr([str(k) for k in key]))])
+        for _ in range(20 if m > 1 else 0):  # each time as many tries as swaps asked for
+            for i, j in pick.integers(0, m, (wanted, 2)).tolist():
+                a, b, c, d = pre[i], post[i], pre[j], post[j]
+                if a != c and b != d and a != d and c != b and (a, d) not in there and (c, b) not in there:
+                    there.difference_update(((a, b), (c, d)))
+                    there.update(((a, d), (c, b)))
+                    post[i], post[j] = d, b
+                    made += 1
+                    if made >= wanted:
+                        break
+            if made >= wanted:
+                break
+        return part.assign(post=post, swaps=made)[[*on, "pre", "post", "weight", "swaps"]]
+
+    keyed = edges if on else edges.withColumn("__g", F.lit(0))
+    return keyed.groupBy(*(on or ["__g"])).applyInPandas(run, schema)
+
+
 def rewire(edges: DataFrame, swaps_per_edge: float = 10.0, seed: int = 0, rounds: int = 400, by: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """Degree-preserving rewiring by parallel double-edge swaps: the edges, one per pair of nodes, and the number of swaps made.
+    """Degree-preserving rewiring by double-edge swaps: the edges, one per pair of nodes, and the number of swaps made.
+
+    Two edges exchange their targets, unless that makes a loop or an edge that exists, until as many swaps are made as asked
+    for (ten per edge forget the original). Weights stay with the sources. Every in- and out-degree is kept. Graphs that columns
+    ``by`` tell apart are rewired at once, each by itself.
 
-    In each round the edges, in an order by hash, are paired inside buckets of some PAIRED; the two of
-    a pair exchange their targets, unless that makes a loop, an edge that exists, or one that another
-    pair of the round makes too. Rounds go on until as many swaps are made as asked for (ten per edge
-    forget the original) or ``rounds`` are over. Weights stay with the sources. Every in- and out-degree is
-    kept. Graphs that columns ``by`` tell apart are rewired at once, each by itself.
+    Graphs of at most CHAINED edges, counted first, are chains of swaps, a task each. In larger ones the edges are, in each
+    round, paired inside buckets of some PAIRED in an order by hash, and a pair gives way as well where another
+    pair of the round makes the same edge; rounds go on until the swaps are made or ``rounds`` are over.
     """
     on = list(by)
     edges = cut(edges.select(*on, "pre", "post", "weight"))
+    if (edges.groupBy(*on).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= CHAINED:
+        out = cut(_chained(edges, on, swaps_per_edge, seed))
+        return out.drop("swaps"), int(out.groupBy(*on).agg(F.max("swaps").alias("n")).agg(F.sum("n")).first()[0] or 0)
     m, done = edges.count(), 0
     for k in range(rounds):
         if done >= swaps_per_edge * m:

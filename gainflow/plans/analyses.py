@@ -59,10 +59,10 @@ def cells(spark, d, *doses: float) -> DataFrame:
     return cut(g.select(F.concat_ws("@", "compound", (F.col("conc_m") * 1e9).cast("long").cast("string")).alias("arm"), *dims.GAINS))
 
 
-def effects(edges, nodes, arms, drive, motor, by=()) -> DataFrame:
+def effects(edges, nodes, arms, drive, motor, by=(), steps=80) -> DataFrame:
     """Mean rate of the read-out nodes per arm, less the vehicle's: ``*by, arm, effect, vehicle``."""
     vehicle = G.arm_table(edges.sparkSession, G.VEHICLE)
-    hz = G.rates(edges, nodes, drive, arms.unionByName(vehicle), by=tuple(by)).join(motor, "body_id", "left_semi").groupBy(*by, "arm").agg(F.avg("hz").alias("hz"))
+    hz = G.rates(edges, nodes, drive, arms.unionByName(vehicle), by=tuple(by), steps=steps).join(motor, "body_id", "left_semi").groupBy(*by, "arm").agg(F.avg("hz").alias("hz"))
     base = hz.filter("arm = 'vehicle'").select(*by, F.col("hz").alias("vehicle"))
     rest = hz.filter("arm <> 'vehicle'")
     rest = rest.join(base, list(by)) if by else rest.crossJoin(F.broadcast(base))
@@ -194,8 +194,8 @@ def credible_intervals(spark, d):
 @query
 def isobologram(spark, d):
     """Dose pairs of two compounds at a shared receptor that reach half occupancy together, and their combination index."""
-    e = X.evidence(spark, d).filter("value_m is not null").groupBy("compound", "receptor").agg(F.min("value_m").alias("v")).withColumn("pair", F.floor(F.col("compound") / 2).cast("long"))
-    a, b = e.filter("compound % 2 = 0").select("pair", "receptor", F.col("v").alias("va")), e.filter("compound % 2 = 1").select("pair", "receptor", F.col("v").alias("vb"))
+    e = X.evidence(spark, d).filter("value_m is not null").groupBy("compound", "receptor").agg(F.min(F.struct("value_m", "n")).alias("x")).select("compound", "receptor", F.col("x.value_m").alias("v"), F.col("x.n").alias("n")).withColumn("pair", F.floor(F.col("compound") / 2).cast("long"))
+    a, b = e.filter("compound % 2 = 0").select("pair", "receptor", F.col("v").alias("va"), F.col("n").alias("na")), e.filter("compound % 2 = 1").select("pair", "receptor", F.col("v").alias("vb"), F.col("n").alias("nb"))
     return E.isobole(a.join(b, ["pair", "receptor"]), 0.5, 7).select("pair", "receptor", r("fraction").alias("fraction"), r(F.col("dose_a") * 1e9).alias("dose_a_nm"), r(F.col("dose_b") * 1e9).alias("dose_b_nm"), r("ci").alias("ci"))
 
 

@@ -139,8 +139,9 @@ def _unit(salt: str) -> str:
 SQL["credible_intervals"] = f"""WITH {EV}, x AS (SELECT pos, n, direction, value_m IS NOT NULL AS perturbed, CASE WHEN {_RULE} = 'modelled' THEN value_m END AS v, draw, sqrt(-2 * ln({_unit('a')})) * cos(6.283185307179586 * {_unit('b')}) AS z FROM ev, range(1, 101) d(draw)),
 y AS (SELECT pos, perturbed, pow(1e-6, n) / (pow(v, n) + pow(1e-6, n)) AS point, pow(1e-6, n) / (pow(v * pow(10.0, 0.3 * z), n) + pow(1e-6, n)) AS y FROM x)
 SELECT pos, round(max(point), 6) AS point, round(avg(y), 6) AS mean, round(quantile_cont(y, 0.025), 6) AS low, round(quantile_cont(y, 0.975), 6) AS high, bool_or(perturbed) AS perturbed FROM y GROUP BY 1"""
-SQL["isobologram"] = f"""WITH {EV}, e AS (SELECT compound, receptor, min(value_m) AS v FROM ev WHERE value_m IS NOT NULL GROUP BY ALL), p AS (SELECT a.compound // 2 AS pair, receptor, a.v AS va, b.v AS vb FROM e a JOIN e b USING (receptor) WHERE a.compound % 2 = 0 AND b.compound = a.compound + 1)
-SELECT pair, receptor, round(i / 6, 6) AS fraction, round(i / 6 * va * 1e9, 6) AS dose_a_nm, round((1 - i / 6) * vb * 1e9, 6) AS dose_b_nm, 1.0::DOUBLE AS ci FROM p, range(7) r(i)"""
+SQL["isobologram"] = f"""WITH {EV}, e AS (SELECT compound, receptor, min((value_m, n)) AS x FROM ev WHERE value_m IS NOT NULL GROUP BY ALL), p AS (SELECT a.compound // 2 AS pair, receptor, a.x[1] AS va, a.x[2] AS na, b.x[1] AS vb, b.x[2] AS nb, i / 6 AS f FROM e a JOIN e b USING (receptor), range(7) r(i) WHERE a.compound % 2 = 0 AND b.compound = a.compound + 1),
+s AS (SELECT *, pow(10, list_reduce(list_transform(range(1, 61), lambda k: 16 / pow(2, k)), lambda x, h: CASE WHEN pow(f * pow(10, x + h), na) + pow((1 - f) * pow(10, x + h), nb) < 1 THEN x + h ELSE x END, -8.0::DOUBLE)) AS s FROM p)
+SELECT pair, receptor, round(f, 6) AS fraction, round(f * va * s * 1e9, 6) AS dose_a_nm, round((1 - f) * vb * s * 1e9, 6) AS dose_b_nm, round(s, 6) AS ci FROM s"""
 SQL["two_sided_signs"] = """WITH c AS (SELECT p_brand, count(*) FILTER (p_retailprice > (SELECT avg(p_retailprice) FROM part)) AS k, count(*) AS n FROM part GROUP BY 1), t AS (SELECT p_brand, k, n, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS tail FROM c, unnest(range(least(k, n - k) + 1)) r(i) GROUP BY ALL)
 SELECT p_brand, k, n, round(CASE WHEN 2 * k = n THEN 1 ELSE least(1, 2 * tail) END, 9) AS p FROM t"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .analysis_sql import GAIN, HEAVY, OE, SQL, erdos_renyi, hashed, number, signs_dealt, typical
+from .analysis_sql import GAIN, HEAVY, OE, SQL, erdos_renyi, hashed, number, signs_dealt, typical, weights_dealt
 from .oracles import _SIGN, EV
 
 __all__ = ["SQL"]
@@ -107,3 +107,21 @@ c AS (SELECT kind, draw, own, round(sum({_SIGN} * ({GAIN} - 1) * k) / (SELECT co
 z AS (SELECT kind, draw, rank() OVER (PARTITION BY kind, draw ORDER BY c) + (count(*) OVER (PARTITION BY kind, draw, c) - 1) / 2 AS rc, rank() OVER (PARTITION BY kind, draw ORDER BY f) + (count(*) OVER (PARTITION BY kind, draw, f) - 1) / 2 AS rf FROM c JOIN f USING (own)),
 h AS MATERIALIZED (SELECT kind, draw, count(*) AS n, corr(rc, rf) AS rho FROM z GROUP BY ALL), p AS (SELECT kind, avg((round(rho, 9) <= (SELECT round(rho, 9) FROM h WHERE kind = 'real'))::INT) AS percentile FROM h WHERE kind <> 'real' GROUP BY 1)
 SELECT kind, draw, n, round(rho, 6) AS rho, round(percentile, 6) AS percentile FROM h LEFT JOIN p USING (kind)"""
+
+_SHAPED = """CASE shape WHEN 'linear' THEN 1 + 0.4 * k * t WHEN 'saturating' THEN 1 + 0.4 * k * 1.25 * t / (0.25 + t) WHEN 'weak_biphasic' THEN 1 + 0.4 * k * t - 0.8 * k * t * t WHEN 'default_biphasic' THEN 1 + 0.4 * k * t - 1.6 * k * t * t ELSE 1 + 0.4 * k * t - 3.2 * k * t * t END"""
+_SPECS = f"""{_TYPICAL}, te2 AS (SELECT compound, receptor, direction, pow(1e-6, n) / (pow(v, n) + pow(1e-6, n)) AS engagement FROM ty), g0 AS ({gains('te2', 'compound')}),
+sp AS (SELECT shape, k, shape || '@' || CASE WHEN k = 1 THEN '1' ELSE k::VARCHAR END AS spec FROM (SELECT unnest(['linear', 'saturating', 'weak_biphasic', 'default_biphasic', 'strong_biphasic']) AS shape), (SELECT unnest([0.5, 0.75, 1.0, 1.25, 1.5]::DOUBLE[]) AS k)),
+ow AS (SELECT compound, engagement AS t FROM te2 WHERE receptor = 'insect_nAChR' AND direction = 'agonist'),
+ar AS MATERIALIZED (SELECT spec || '|' || g0.compound AS arm, spec, g0.compound, CASE WHEN t IS NULL THEN g_ach ELSE greatest(0.05, least(10, {_SHAPED})) END AS g_ach, g_gaba, g_glu, g_oct, g_nav, ach_tone FROM g0 CROSS JOIN sp LEFT JOIN ow ON ow.compound = g0.compound UNION ALL SELECT 'vehicle', NULL, NULL, 1, 1, 1, 1, 1, 1),
+{weights_dealt('oe', 9, 'wd')}, ge AS MATERIALIZED (SELECT draw, pre, post, weight FROM wd UNION ALL SELECT -1, pre, post, weight FROM oe),
+gn AS MATERIALIZED (SELECT draw, arm, body_id, nt, {GAIN} AS g, g_nav AS nav, {_HZ} AS hz FROM ond CROSS JOIN ar, range(-1, 9) t(draw)), {steps('ge', 'gn', 'x', 10, 'draw, ')},
+mo AS (SELECT draw, arm, avg(r) AS hz FROM x10 WHERE body_id IN (SELECT body_id FROM ond WHERE superclass = 'motor') GROUP BY ALL), ef AS (SELECT a.draw, a.arm, a.hz - v.hz AS effect, v.hz AS vehicle FROM mo a JOIN mo v ON v.arm = 'vehicle' AND v.draw = a.draw WHERE a.arm <> 'vehicle'),
+nu AS (SELECT a.arm, a.effect, b.effect AS real, b.vehicle, avg(a.effect) OVER (PARTITION BY a.arm) AS c FROM ef a JOIN ef b ON a.arm = b.arm AND b.draw = -1 WHERE a.draw >= 0),
+lg AS MATERIALIZED (SELECT spec, compound, max(real) AS real, max(vehicle) AS vehicle, quantile_cont(effect, 0.5) AS med, (count(*) FILTER (abs(round(effect - c, 9)) >= abs(round(real - c, 9))) + 1) / (count(*) + 1) AS p, max(g_ach) AS g FROM nu JOIN ar USING (arm) GROUP BY ALL),
+wi AS (SELECT spec, max(vehicle) AS vehicle, {', '.join(f"max({c}) FILTER (compound = '{k}') AS {n}_{k}" for k in ('agonist', 'antagonist', 'inhibitor') for n, c in (('effect', 'real'), ('p', 'p'), ('median', 'med'), ('g', 'g')))} FROM lg GROUP BY 1),
+de AS MATERIALIZED (SELECT spec, unnest([{{'c': 'agonist_lowers', 'h': effect_agonist < 0}}, {{'c': 'antagonist_lowers', 'h': effect_antagonist < 0}}, {{'c': 'agonist_beats_antagonist', 'h': abs(effect_agonist) > abs(effect_antagonist)}}, {{'c': 'agonist_needs_wiring', 'h': p_agonist <= 0.1}},
+  {{'c': 'inhibitor_within_nulls', 'h': p_inhibitor > 0.1 AND abs(effect_inhibitor - median_inhibitor) < 0.05 * vehicle}}, {{'c': 'agonist_desensitises', 'h': CASE WHEN g_agonist > 0.05 THEN g_agonist < 1 END}}]) AS x FROM wi)"""
+SQL["conclusion_stability"] = f"""WITH {_SPECS} SELECT x.c AS conclusion, count(*) AS n, count(*) FILTER (x.h) AS retained, count(*) FILTER (NOT x.h) AS lost, count(*) FILTER (x.h IS NULL) AS undecidable, round(count(*) FILTER (x.h) / count(*), 6) AS share,
+round(count(*) FILTER (x.h) / nullif(count(*) FILTER (x.h IS NOT NULL), 0), 6) AS share_decidable, coalesce(string_agg(spec, ',' ORDER BY spec) FILTER (NOT x.h), '') AS failing, count(*) FILTER (x.h) < count(*) AS fragile FROM de GROUP BY 1"""
+SQL["conclusion_breakdown"] = f"""WITH {_SPECS}, lb AS (SELECT CASE compound WHEN 'agonist' THEN 'agonist_needs_wiring' ELSE 'inhibitor_within_nulls' END AS conclusion, spec, CASE WHEN p <= 0.1 THEN 'distinguishable' WHEN abs(real - med) < 0.05 * abs(vehicle) THEN 'equivalent_within_tolerance' ELSE 'indeterminate' END AS label FROM lg WHERE compound IN ('agonist', 'inhibitor'))
+SELECT conclusion, label, count(*) AS n, count(*) FILTER (x.h) AS retained FROM lb JOIN de ON de.spec = lb.spec AND de.x.c = conclusion GROUP BY ALL"""

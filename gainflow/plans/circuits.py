@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dims, pharm
 from ..lineage import cut
+from ..operators import conclusions as C
+from ..operators import engagement as E
+from ..operators import graph as G
 from ..operators import networks as N
 from ..operators import planted as P
+from ..operators import stats as S
 from ..sources import fixtures as X
-from .analyses import QUERIES, cells
+from .analyses import QUERIES, cells, effects
 from .catalogue import TREATED, query, r
 
 __all__ = ["QUERIES"]
@@ -105,3 +110,52 @@ def composition_reference(spark, d):
     motor = nodes.filter("superclass = 'motor'").select("body_id")
     out = N.composition_reference(edges, nodes, drive, motor, cells(spark, d, 1e-8, 1e-7, 1e-6, 1e-5), 5, steps=10)
     return out.select("kind", "draw", "n", r("rho").alias("rho"), r("percentile").alias("percentile"))
+
+
+#: Predicates over the read-outs of one specification, and the compound whose test each topology conclusion rests on.
+CONCLUSIONS = {
+    "agonist_lowers": "effect_agonist < 0",
+    "antagonist_lowers": "effect_antagonist < 0",
+    "agonist_beats_antagonist": "abs(effect_agonist) > abs(effect_antagonist)",
+    "agonist_needs_wiring": "p_agonist <= 0.1",
+    "inhibitor_within_nulls": "p_inhibitor > 0.1 and abs(effect_inhibitor - median_inhibitor) < 0.05 * vehicle",
+    "agonist_desensitises": "falling_agonist > 0",
+}
+RESTS_ON = {"agonist_needs_wiring": "agonist", "inhibitor_within_nulls": "inhibitor"}
+
+
+def spec_readouts(spark, d):
+    """One row a specification: effects of typical compounds on motor nodes, their permutation p against dealt weights, and null medians; long and wide."""
+    edges, nodes, drive = order_graph(spark, d)
+    engaged = typical_evidence(spark, d).withColumn("conc_m", F.lit(1e-6)).withColumn("engagement", pharm.hill(F.col("conc_m"), F.col("value_m"), F.col("n")))
+    specs = spark.createDataFrame([(f"{s}@{c:g}", s, c) for s in pharm.SHAPES for c in pharm.COEFFICIENTS], "spec string, shape string, coef double")
+    own = E.spec_gains(engaged, specs).select("compound", "spec", F.col("g_ach").alias("own"))
+    arms = E.gains(engaged).crossJoin(F.broadcast(specs.select("spec"))).join(own, ["compound", "spec"], "left").withColumn("g_ach", F.coalesce("own", "g_ach"))
+    arms = cut(arms.select(F.concat_ws("|", "spec", "compound").alias("arm"), *dims.GAINS))
+    motor = nodes.filter("superclass = 'motor'").select("body_id")
+    real = cut(effects(edges, nodes, arms, drive, motor, steps=10))
+    null = effects(G.weight_nulls(edges, 9, within=()), G.drawn(nodes.select("body_id", "nt"), 9), arms, drive, motor, by=("draw",), steps=10)
+    tested = S.permutation(null.select(F.col("arm").alias("cell"), "effect").join(real.select(F.col("arm").alias("cell"), F.col("effect").alias("real")), "cell"))
+    rows = tested.join(real.select(F.col("arm").alias("cell"), "vehicle"), "cell").join(arms.select(F.col("arm").alias("cell"), "g_ach"), "cell")
+    long = cut(rows.select(F.substring_index("cell", "|", 1).alias("spec"), F.substring_index("cell", "|", -1).alias("compound"), "real", "p", "null_median", "vehicle", "g_ach"))
+    of = lambda column, compound: F.max(F.when(F.col("compound") == compound, F.col(column)))
+    wide = long.groupBy("spec").agg(F.max("vehicle").alias("vehicle"), *[of(c, k).alias(f"{n}_{k}") for k in ("agonist", "antagonist", "inhibitor") for n, c in (("effect", "real"), ("p", "p"), ("median", "null_median"))], F.when(of("g_ach", "agonist") > 0.05, 1 - of("g_ach", "agonist")).alias("falling_agonist"))
+    return long, wide
+
+
+@query
+def conclusion_stability(spark, d):
+    """Every conclusion under all 25 specifications: how many retain it, lose it or can't tell, and which lose it."""
+    _, wide = spec_readouts(spark, d)
+    out = C.stability(C.decide(wide, CONCLUSIONS))
+    return out.select("conclusion", "n", "retained", "lost", "undecidable", r("share").alias("share"), r("share_decidable").alias("share_decidable"), F.array_join("failing", ",").alias("failing"), "fragile")
+
+
+@query
+def conclusion_breakdown(spark, d):
+    """Verdicts of the tests behind the conclusions about wiring, and how many specifications of each verdict retain them."""
+    long, wide = spec_readouts(spark, d)
+    on = spark.createDataFrame(list(RESTS_ON.items()), "conclusion string, compound string")
+    label = S.verdict(F.col("real"), F.col("null_median"), F.col("p"), 0.05 * F.abs("vehicle"), 0.1)
+    labels = long.join(F.broadcast(on), "compound").select("conclusion", "spec", label.alias("label"))
+    return C.breakdown(C.decide(wide, CONCLUSIONS), labels)
