@@ -125,3 +125,16 @@ SQL["conclusion_stability"] = f"""WITH {_SPECS} SELECT x.c AS conclusion, count(
 round(count(*) FILTER (x.h) / nullif(count(*) FILTER (x.h IS NOT NULL), 0), 6) AS share_decidable, coalesce(string_agg(spec, ',' ORDER BY spec) FILTER (NOT x.h), '') AS failing, count(*) FILTER (x.h) < count(*) AS fragile FROM de GROUP BY 1"""
 SQL["conclusion_breakdown"] = f"""WITH {_SPECS}, lb AS (SELECT CASE compound WHEN 'agonist' THEN 'agonist_needs_wiring' ELSE 'inhibitor_within_nulls' END AS conclusion, spec, CASE WHEN p <= 0.1 THEN 'distinguishable' WHEN abs(real - med) < 0.05 * abs(vehicle) THEN 'equivalent_within_tolerance' ELSE 'indeterminate' END AS label FROM lg WHERE compound IN ('agonist', 'inhibitor'))
 SELECT conclusion, label, count(*) AS n, count(*) FILTER (x.h) AS retained FROM lb JOIN de ON de.spec = lb.spec AND de.x.c = conclusion GROUP BY ALL"""
+
+_CUTS, _P, _UPTO = [], 0.36787944117144233, 0.0
+for _k in range(16):
+    _UPTO, _P = _UPTO + _P, _P / (_k + 1)
+    _CUTS.append(_UPTO)
+SQL["index_intervals"] = f"""WITH l AS (SELECT l_linenumber::INT AS factor, l_orderkey, l_partkey, l_extendedprice AS a, 1500 * l_quantity AS b, l_extendedprice * (1 - l_discount) AS ab FROM lineitem),
+u AS (SELECT *, {unit("'0'", "draw", "factor", "l_orderkey", "l_partkey")} AS u FROM l, range(1, 21) t(draw)), w AS (SELECT *, {' + '.join(f'(u > {c!r}::DOUBLE)::INT' for c in _CUTS)} AS w FROM u),
+g AS (SELECT factor, draw, sum(w) AS n, sum(w * (a + b)) AS s, sum(w * (a * a + b * b)) AS q, sum(w * pow(b - ab, 2)) AS db, sum(w * pow(a - ab, 2)) AS da FROM w WHERE w > 0 GROUP BY ALL),
+v AS (SELECT *, (q - s * s / (2 * n)) / (2 * n - 1) AS v FROM g), e AS (SELECT factor, 1 - db / (2 * n * v) AS f, da / (2 * n * v) AS t FROM v WHERE v > 0),
+i AS (SELECT factor, quantile_cont(f, 0.025) AS fl, quantile_cont(f, 0.975) AS fh, quantile_cont(t, 0.025) AS tl, quantile_cont(t, 0.975) AS th FROM e GROUP BY 1),
+y AS (SELECT factor, var_samp(y) AS v FROM (SELECT factor, unnest([a, b]) AS y FROM l) GROUP BY 1), j AS (SELECT factor, 1 - sum(pow(b - ab, 2)) / (2 * count(*)) / max(v) AS f, sum(pow(a - ab, 2)) / (2 * count(*)) / max(v) AS t FROM l JOIN y USING (factor) GROUP BY 1),
+z AS (SELECT greatest(coalesce(max(abs(f)) FILTER (factor = 7), 0), coalesce(max(-f) FILTER (f < 0), 0)) AS z FROM j)
+SELECT factor, round(f, 6) AS first, round(t, 6) AS total, round(fl, 6) AS first_low, round(fh, 6) AS first_high, round(tl, 6) AS total_low, round(th, 6) AS total_high, CASE WHEN factor = 7 THEN 'null control' WHEN fl > 0 OR fh < 0 THEN 'resolved' WHEN abs(f) <= z THEN 'null control' ELSE 'unresolved' END AS state FROM j JOIN i USING (factor), z"""

@@ -159,3 +159,12 @@ def conclusion_breakdown(spark, d):
     label = S.verdict(F.col("real"), F.col("null_median"), F.col("p"), 0.05 * F.abs("vehicle"), 0.1)
     labels = long.join(F.broadcast(on), "compound").select("conclusion", "spec", label.alias("label"))
     return C.breakdown(C.decide(wide, CONCLUSIONS), labels)
+
+
+@query
+def index_intervals(spark, d):
+    """Sobol indices of seven factors over line items, with bootstrap intervals and what the sample resolves; factor 7 is the control."""
+    li = X.table(spark, d, "lineitem")
+    rows = li.select(F.col("l_linenumber").cast("int").alias("factor"), "l_orderkey", "l_partkey", F.col("l_extendedprice").alias("a"), (1500 * F.col("l_quantity")).alias("b"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("ab"))
+    out = S.jansen_bootstrap(rows, "factor", ("l_orderkey", "l_partkey"), 20, null="7")
+    return out.select("factor", *[r(c).alias(c) for c in ("first", "total", "first_low", "first_high", "total_low", "total_high")], "state")

@@ -251,3 +251,21 @@ def test_sign_test_of_few_and_very_many_trials(spark):
             assert math.isclose(p, 1.0 if 2 * k == n else want, rel_tol=1e-9 if n <= 300 else 1e-3)
         else:
             assert math.isclose(p, math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 2)), rel_tol=1e-3)
+
+
+def test_bootstrap_intervals_of_indices(spark):
+    """y = 3 a + b + noise-free rest: the intervals hold the true shares, a factor that does nothing is no finding."""
+    pick = np.random.default_rng(2)
+    x, z = pick.random((2, 4000, 3))
+    f = lambda m: 3 * m[:, 0] + m[:, 1]
+    rows = []
+    for j, name in enumerate("abn"):
+        mixed = x.copy()
+        mixed[:, j] = z[:, j]
+        rows += [(name, i, float(p), float(q), float(m)) for i, (p, q, m) in enumerate(zip(f(x), f(z), f(mixed)))]
+    got = {r["factor"]: r for r in S.jansen_bootstrap(spark.createDataFrame(rows, "factor string, i int, a double, b double, ab double"), "factor", ("i",), 60, null="n").collect()}
+    for name, share in (("a", 0.9), ("b", 0.1), ("n", 0.0)):
+        assert got[name]["first_low"] <= share + 0.02 and got[name]["first_high"] >= share - 0.02 and got[name]["first_low"] <= got[name]["first"] <= got[name]["first_high"]
+    assert (got["a"]["state"], got["n"]["state"]) == ("resolved", "null control")
+    w = S.resampled(spark.range(20_000), 3, "id").groupBy("draw").agg({"w": "sum"}).collect()
+    assert all(abs(r["sum(w)"] / 20_000 - 1) < 0.05 for r in w) and len({r["sum(w)"] for r in w}) > 1
