@@ -138,3 +138,21 @@ i AS (SELECT factor, quantile_cont(f, 0.025) AS fl, quantile_cont(f, 0.975) AS f
 y AS (SELECT factor, var_samp(y) AS v FROM (SELECT factor, unnest([a, b]) AS y FROM l) GROUP BY 1), j AS (SELECT factor, 1 - sum(pow(b - ab, 2)) / (2 * count(*)) / max(v) AS f, sum(pow(a - ab, 2)) / (2 * count(*)) / max(v) AS t FROM l JOIN y USING (factor) GROUP BY 1),
 z AS (SELECT greatest(coalesce(max(abs(f)) FILTER (factor = 7), 0), coalesce(max(-f) FILTER (f < 0), 0)) AS z FROM j)
 SELECT factor, round(f, 6) AS first, round(t, 6) AS total, round(fl, 6) AS first_low, round(fh, 6) AS first_high, round(tl, 6) AS total_low, round(th, 6) AS total_high, CASE WHEN factor = 7 THEN 'null control' WHEN fl > 0 OR fh < 0 THEN 'resolved' WHEN abs(f) <= z THEN 'null control' ELSE 'unresolved' END AS state FROM j JOIN i USING (factor), z"""
+
+_LADDER = f"""{OE}, bo AS MATERIALIZED (SELECT pre AS a, post AS b, weight FROM oe UNION ALL SELECT post, pre, weight FROM oe), r0 AS MATERIALIZED (SELECT pre AS id, 0 AS ring, 0.0::DOUBLE AS pull FROM oe WHERE pre IN (SELECT body_id FROM ond) GROUP BY pre ORDER BY round(sum(weight), 6) DESC, pre LIMIT 3)"""
+for _i in range(1, 4):
+    _LADDER += f", r{_i} AS MATERIALIZED (SELECT * FROM r{_i - 1} UNION ALL SELECT b, {_i}, sum(weight) FROM bo JOIN r{_i - 1} ON a = id WHERE b NOT IN (SELECT id FROM r{_i - 1}) GROUP BY b)"
+_LADDER += """, pl AS (SELECT *, row_number() OVER (ORDER BY ring, round(pull, 6) DESC, id) AS place FROM r3), no AS MATERIALIZED (SELECT id, ring, CASE WHEN place <= 60 THEN 60 WHEN place <= 120 THEN 120 ELSE 240 END AS rung FROM pl WHERE place <= 240),
+ed AS MATERIALIZED (SELECT pre, post, weight, greatest(x.rung, y.rung) AS rung FROM oe JOIN no x ON x.id = pre JOIN no y ON y.id = post)"""
+SQL["ladder_rungs"] = f"""WITH {_LADDER}, e AS (SELECT rung, count(*) AS edges, round(sum(weight), 6) AS weight FROM ed GROUP BY 1) SELECT rung, count(*) AS nodes, max(ring) AS ring, sum(id)::BIGINT AS ids, max(edges) AS edges, max(weight) AS weight FROM no LEFT JOIN e USING (rung) GROUP BY 1"""
+SQL["profile_over_scale"] = f"""WITH {_LADDER}, bu AS (SELECT unnest([60, 120, 240]) AS budget), be AS MATERIALIZED (SELECT budget, pre, post, weight FROM ed JOIN bu ON rung <= budget), bn AS MATERIALIZED (SELECT budget, body_id, nt, CASE WHEN body_id IN (SELECT id FROM r0) THEN 40.0::DOUBLE ELSE 0 END AS hz FROM no JOIN ond ON body_id = id JOIN bu ON rung <= budget),
+si AS (SELECT budget, count(*) AS n_edges, sum(weight) AS weight, least(greatest(floor(round(0.5 / 3 / (1.09e-2 + 6.86e-6 * count(*)), 6)), 9), 15)::INT AS draws FROM be GROUP BY 1),
+pa AS (SELECT *, row_number() OVER (PARTITION BY budget, draw ORDER BY {hashed("'0'", "budget", "draw", "pre", "post")}, pre, post) AS k FROM be, range(15) t(draw)), ph AS (SELECT budget, weight, row_number() OVER (PARTITION BY budget ORDER BY pre, post) AS k FROM be),
+ge AS MATERIALIZED (SELECT budget, draw, pre, post, ph.weight FROM pa JOIN ph USING (budget, k) JOIN si USING (budget) WHERE draw < draws UNION ALL SELECT budget, -1, pre, post, weight FROM be),
+gn AS MATERIALIZED (SELECT budget, draw, arm, body_id, nt, CASE WHEN arm = 'treated' THEN CASE nt WHEN 'acetylcholine' THEN 0.4 WHEN 'gaba' THEN 0.7 ELSE 1 END ELSE 1 END::DOUBLE AS g, 1.0::DOUBLE AS nav, hz FROM bn JOIN si USING (budget), range(-1, 15) t(draw), (SELECT unnest(['vehicle', 'treated']) AS arm) WHERE draw < draws),
+{steps('ge', 'gn', 'x', 10, 'budget, draw, ')}, f AS (SELECT budget, draw, avg(r) FILTER (arm = 'treated') - avg(r) FILTER (arm = 'vehicle') AS effect, avg(r) FILTER (arm = 'vehicle') AS vehicle FROM x10 GROUP BY ALL),
+h AS (SELECT a.budget, a.effect, b.effect AS real, b.vehicle, avg(a.effect) OVER (PARTITION BY a.budget) AS c FROM f a JOIN f b ON a.budget = b.budget AND b.draw = -1 WHERE a.draw >= 0)
+SELECT budget, (SELECT count(*) FROM no WHERE rung <= budget) AS n_nodes, max(n_edges) AS n_edges, round(max(weight), 6) AS weight, max(draws) AS draws, round(max(real), 6) AS real, round(max(vehicle), 6) AS vehicle, round(quantile_cont(effect, 0.5), 6) AS null_median, round((count(*) FILTER (abs(round(effect - c, 9)) >= abs(round(real - c, 9))) + 1) / (count(*) + 1), 9) AS p FROM h JOIN si USING (budget) GROUP BY budget"""
+
+_KEY = lambda *k: "".join(f'.{{"key":"{x}"}}' for x in k)
+SQL["stable_digests"] = f"""SELECT c_custkey, sha256(list_aggregate(list_sort(['$={{}}', '${_KEY("id")}=' || c_custkey, '${_KEY("run")}={{}}', '${_KEY("run", "state")}="a"', '${_KEY("tags")}=[]', '${_KEY("tags")}[0]="' || c_mktsegment || '"', '${_KEY("tags")}[1]="x"']), 'string_agg', chr(10))) AS digest, true AS agree FROM customer"""

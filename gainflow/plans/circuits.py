@@ -13,6 +13,7 @@ from ..operators import networks as N
 from ..operators import planted as P
 from ..operators import stats as S
 from ..sources import fixtures as X
+from ..sources import sinks as K
 from .analyses import QUERIES, cells, effects
 from .catalogue import TREATED, query, r
 
@@ -168,3 +169,42 @@ def index_intervals(spark, d):
     rows = li.select(F.col("l_linenumber").cast("int").alias("factor"), "l_orderkey", "l_partkey", F.col("l_extendedprice").alias("a"), (1500 * F.col("l_quantity")).alias("b"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("ab"))
     out = S.jansen_bootstrap(rows, "factor", ("l_orderkey", "l_partkey"), 20, null="7")
     return out.select("factor", *[r(c).alias(c) for c in ("first", "total", "first_low", "first_high", "total_low", "total_high")], "state")
+
+
+#: Cuts of the ladder, and the seconds that its draws may take.
+BUDGETS, LADDER_S = (60, 120, 240), 0.5
+
+
+def order_ladder(spark, d):
+    """The order graph's ladder, grown from its three nodes of most outgoing weight."""
+    edges, nodes, _ = order_graph(spark, d)
+    hubs = cut(edges.groupBy(F.col("pre").alias("body_id")).agg(F.sum("weight").alias("w")).join(nodes.select("body_id"), "body_id", "left_semi").orderBy(F.desc(r("w")), "body_id").limit(3))
+    return N.ladder(edges, hubs.select("body_id"), 3, BUDGETS), nodes, hubs.select("body_id", F.lit(40.0).alias("hz"))
+
+
+@query
+def ladder_rungs(spark, d):
+    """Nodes and edges that each rung adds, and the weight between them."""
+    (nodes, edges), _, _ = order_ladder(spark, d)
+    e = edges.groupBy("rung").agg(F.count("*").alias("edges"), r(F.sum("weight")).alias("weight"))
+    return nodes.groupBy("rung").agg(F.count("*").alias("nodes"), F.max("ring").alias("ring"), F.sum("body_id").alias("ids")).join(e, "rung", "left")
+
+
+@query
+def profile_over_scale(spark, d):
+    """Effect, draws and permutation p of each cut of the ladder."""
+    cuts, nodes, drive = order_ladder(spark, d)
+    out = N.profile_over_scale(cuts, nodes, drive, {"g_ach": 0.4, "g_gaba": 0.7}, BUDGETS, LADDER_S, most=15, steps=10)
+    return out.select("budget", "n_nodes", "n_edges", r("weight").alias("weight"), "draws", r("real").alias("real"), r("vehicle").alias("vehicle"), r("null_median").alias("null_median"), r("p", 9).alias("p"))
+
+
+@query
+def stable_digests(spark, d):
+    """Digests of every customer's artifact, written twice with other run times and another order of keys; the two agree."""
+    c = X.table(spark, d, "customer")
+    first = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_acctbal").alias("runtime_s"), F.lit("a").alias("state")).alias("run"), F.array("c_mktsegment", F.lit("x")).alias("tags")))
+    again = F.to_json(F.struct(F.array("c_mktsegment", F.lit("x")).alias("tags"), F.struct(F.lit("a").alias("state"), F.lit(0.5).alias("runtime_s")).alias("run"), F.lit("2020-01-01").alias("created_at"), F.col("c_custkey").alias("id")))
+    both = c.select("c_custkey", F.explode(F.array(F.struct(F.lit(0).alias("run"), first.alias("json")), F.struct(F.lit(1).alias("run"), again.alias("json")))).alias("x"))
+    out = K.stable_digests(both.select(F.concat_ws("|", "c_custkey", "x.run").alias("of"), "x.json"), "of", "json")
+    by = out.groupBy(F.substring_index("of", "|", 1).cast("long").alias("c_custkey"))
+    return by.agg(F.min("digest").alias("digest"), (F.min("digest") == F.max("digest")).alias("agree"))

@@ -14,6 +14,7 @@ from gainflow.operators import graph as G
 from gainflow.operators import networks as N
 from gainflow.operators import planted as P
 from gainflow.operators import stats as S
+from gainflow.sources.sinks import stable_digests
 
 NT = ["acetylcholine", "gaba", "glutamate", "octopamine", "histamine", "unclear"]
 
@@ -269,3 +270,28 @@ def test_bootstrap_intervals_of_indices(spark):
     assert (got["a"]["state"], got["n"]["state"]) == ("resolved", "null control")
     w = S.resampled(spark.range(20_000), 3, "id").groupBy("draw").agg({"w": "sum"}).collect()
     assert all(abs(r["sum(w)"] / 20_000 - 1) < 0.05 for r in w) and len({r["sum(w)"] for r in w}) > 1
+
+
+def test_ladders_are_nested(spark, net):
+    e, n, _, edges = net
+    seeds = n.filter("body_id in (0, 7)").select("body_id")
+    nodes, own = N.ladder(e, seeds, 3, (6, 12, 25))
+    place, cuts = {r["body_id"]: r["place"] for r in nodes.collect()}, {}
+    assert sorted(place.values()) == list(range(1, len(place) + 1)) and {place[0], place[7]} == {1, 2}
+    for r in N.at_rungs(own, (6, 12, 25)).collect():
+        cuts.setdefault(r["budget"], set()).add((r["pre"], r["post"], r["weight"]))
+    for b in (6, 12, 25):
+        held = {i for i, p in place.items() if p <= b}
+        assert cuts.get(b, set()) == {(x, y, w) for (x, y), w in edges.items() if x in held and y in held}
+    sizes = spark.createDataFrame([(1, 0), (2, 10_000), (3, 10**8)], "budget int, n_edges long")
+    assert [r["draws"] for r in N.permutation_budget(sizes, 1.0, 1, 5, 60).orderBy("budget").collect()] == [60, 12, 5]
+
+
+def test_digests_leave_run_times_out(spark):
+    texts = {
+        "a": '{"x": [1, {"runtime_s": 3, "y": null}], "created_at": "now"}', "b": '{"created_at": "then", "x": [1, {"y": null, "runtime_s": 4}]}', "c": '{"x": [{"y": null}, 1]}', "d": '{"x": [1, {}]}',
+        "e": '{"x": [1, {"runtime_s": 0}]}', "f": "[]", "g": "{}", "h": '"x"', "i": None, "j": '{"x": {"y": 1}}', "k": '{"x.y": 1}', "l": '{"x": "1"}', "m": '{"x": 1}'}
+    got = {r["k"]: r["digest"] for r in stable_digests(spark.createDataFrame(list(texts.items()), "k string, j string"), "k", "j").collect()}
+    assert set(got) == set(texts) - {"i"} and got["a"] == got["b"] and got["d"] == got["e"]
+    assert len(set(got.values())) == len(got) - 2
+    assert stable_digests(spark.createDataFrame([], "k string, j string"), "k", "j").count() == 0
