@@ -156,3 +156,5 @@ SELECT budget, (SELECT count(*) FROM no WHERE rung <= budget) AS n_nodes, max(n_
 
 _KEY = lambda *k: "".join(f'.{{"key":"{x}"}}' for x in k)
 SQL["stable_digests"] = f"""SELECT c_custkey, sha256(list_aggregate(list_sort(['$={{}}', '${_KEY("id")}=' || c_custkey, '${_KEY("run")}={{}}', '${_KEY("run", "state")}="a"', '${_KEY("tags")}=[]', '${_KEY("tags")}[0]="' || c_mktsegment || '"', '${_KEY("tags")}[1]="x"']), 'string_agg', chr(10))) AS digest, true AS agree FROM customer"""
+SQL["order_rates"] = f"""WITH {OE}, tr AS (SELECT 'vehicle' AS arm, 1.0::DOUBLE AS g_ach, 1.0::DOUBLE AS g_gaba, 1.0::DOUBLE AS g_glu, 1.0::DOUBLE AS g_oct, 1.0::DOUBLE AS g_nav, 1.0::DOUBLE AS ach_tone UNION ALL SELECT 'treated', 0.4, 0.7, 1, 1, 1, 1.2), {run('tr', 'x', 80)}
+SELECT superclass, arm, count(*) AS n, round(avg(r), 6) AS mean_hz, round(max(r), 6) AS max_hz FROM x80 JOIN ond USING (body_id) GROUP BY ALL"""

@@ -208,3 +208,11 @@ def stable_digests(spark, d):
     out = K.stable_digests(both.select(F.concat_ws("|", "c_custkey", "x.run").alias("of"), "x.json"), "of", "json")
     by = out.groupBy(F.substring_index("of", "|", 1).cast("long").alias("c_custkey"))
     return by.agg(F.min("digest").alias("digest"), (F.min("digest") == F.max("digest")).alias("agree"))
+
+
+@query
+def order_rates(spark, d):
+    """Mean and largest rate of each class of the order graph, at vehicle and under treatment, after 80 steps."""
+    edges, nodes, drive = order_graph(spark, d)
+    hz = G.rates(edges, nodes, drive, {"vehicle": {}, "treated": TREATED}).join(nodes.select("body_id", "superclass"), "body_id")
+    return hz.groupBy("superclass", "arm").agg(F.count("*").alias("n"), r(F.avg("hz")).alias("mean_hz"), r(F.max("hz")).alias("max_hz"))
