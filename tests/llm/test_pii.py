@@ -49,3 +49,12 @@ def test_random_strings(spark):
     r = random.Random(7)
     kinds = ["a@.-_%+b ", "0123.4 .5", "41 1-2+(3). 9", "+1 (2)-3.x", "a1@b.2 +3.4-5\n"]
     check(spark, [(i, "".join(r.choice(kinds[i % 5]) for _ in range(r.randrange(70)))) for i in range(3000)])
+
+
+def test_a_very_long_text(spark):
+    """Half a million characters in one row: spans at its start, its middle and its end are those of plain regular expressions."""
+    text = "first@mail.example " + "some words, 12 and 3.4 more " * 9000 + "+44 20 7946 0958 4111 1111 1111 1111 10.0.0.1 " + "yet more of it " * 17_000 + "last@mail.example"
+    assert len(text) > 500_000
+    counts, base = brute.pii(text)
+    out = pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (out["n_email"], out["n_ip"], out["n_card"], out["n_phone"]) == tuple(counts[k] for k in ("email", "ip", "card", "phone")) and out["base_sha256"] == base and out["n_email"] == 2
