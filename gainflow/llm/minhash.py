@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import KEY, cut, shared_dir, text_batches, with_key
+from ._common import KEY, cut, shared_dir, stored, text_batches, with_key
 from .components import components, look_up
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -216,10 +216,10 @@ def _remaining(members: DataFrame, texts: DataFrame) -> DataFrame:
     of both together, at most (1 - SIMILAR) / (1 + SIMILAR) may be such; so A and B must share the more, the more there is
     in them. At the first shingle that they share, no more can be common than what follows in either.
     """
-    rows = cut(_differences(members, texts))
+    rows = stored(_differences(members, texts))
     # of each difference only nodes outside its largest component meet all others, so that component isn't joined with itself
     most = rows.groupBy("lead", "e", "root").agg(F.count("*").alias("k")).groupBy("lead", "e").agg(F.max_by("root", "k").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    rows = cut(rows.join(most.select("lead", "e", "most"), ["lead", "e"]).withColumn("minor", F.col("root") != F.col("most")).drop("most"))
+    rows = stored(rows.join(most.select("lead", "e", "most"), ["lead", "e"]).withColumn("minor", F.col("root") != F.col("most")).drop("most"))
     a = rows.filter(F.col("at") <= F.col("size") * (SPARE / 2) + 1e-9).select("lead", "e", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "n", "at", "root", "minor")])
     need = f"(a_n + n - {(1 - SIMILAR) / (1 + SIMILAR)} * (a_size + size)) / 2 - 1e-6"
     fits = f"a_root <> root and a_n <= n and least(a_size, size) >= {SIMILAR} * greatest(a_size, size) - 1e-9 and case when at < 0 or a_at < 0 then {need} <= 0 else least(a_n - a_at, n - at) >= {need} end"
