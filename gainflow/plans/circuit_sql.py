@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from .analysis_sql import GAIN, HEAVY, OE, SQL, erdos_renyi, hashed, number, signs_dealt, typical, weights_dealt
-from .oracles import _SIGN, EV
+from .oracles import _SIGN, EV, engaged
 
 __all__ = ["SQL"]
 
@@ -158,3 +160,36 @@ _KEY = lambda *k: "".join(f'.{{"key":"{x}"}}' for x in k)
 SQL["stable_digests"] = f"""SELECT c_custkey, sha256(list_aggregate(list_sort(['$={{}}', '${_KEY("id")}=' || c_custkey, '${_KEY("run")}={{}}', '${_KEY("run", "state")}="a"', '${_KEY("tags")}=[]', '${_KEY("tags")}[0]="' || c_mktsegment || '"', '${_KEY("tags")}[1]="x"']), 'string_agg', chr(10))) AS digest, true AS agree FROM customer"""
 SQL["order_rates"] = f"""WITH {OE}, tr AS (SELECT 'vehicle' AS arm, 1.0::DOUBLE AS g_ach, 1.0::DOUBLE AS g_gaba, 1.0::DOUBLE AS g_glu, 1.0::DOUBLE AS g_oct, 1.0::DOUBLE AS g_nav, 1.0::DOUBLE AS ach_tone UNION ALL SELECT 'treated', 0.4, 0.7, 1, 1, 1, 1.2), {run('tr', 'x', 80)}
 SELECT superclass, arm, count(*) AS n, round(avg(r), 6) AS mean_hz, round(max(r), 6) AS max_hz FROM x80 JOIN ond USING (body_id) GROUP BY ALL"""
+
+
+_ZA, _ZB = (f"{NormalDist().inv_cdf(x)}::DOUBLE" for x in (0.975, 0.8))
+_DRAWN = f"{_TYPICAL}, j AS (SELECT compound, receptor, direction, n, draw, v * pow(10, 0.3 * {_Z}) AS v FROM ty, range(1, 7) t(draw)), e AS MATERIALIZED (SELECT compound, draw, receptor, direction, v, pow(1e-6, n) / (pow(v, n) + pow(1e-6, n)) AS engagement FROM j)"
+_ASKED = """hy AS (SELECT * FROM (VALUES ('h1', 'antagonist', 'gap', '', NULL, 'increase', 'c'), ('h2', 'agonist', 'v', 'mean_hz', NULL, 'decrease', 'per'), ('h3', 'antagonist', 'v', 'mean_hz', NULL, 'increase', 'c'), ('h4', 'inhibitor', 'v', 'visual_hz', NULL, 'none', 'per'),
+('h5', 'vehicle', 'w', 'motor_hz', 'visual_hz', 'decrease', 'per'), ('h6', 'agonist', 'w', 'motor_hz', 'visual_hz', 'increase', 'c'), ('h7', 'unlisted', 'v', 'mean_hz', NULL, 'decrease', 'per')) t(h, compound, kind, readout, minus, direction, endpoint))"""
+SQL["predictions"] = f"""WITH {_DRAWN}, ga AS MATERIALIZED (SELECT *, compound || '|' || draw AS arm FROM ({gains('e', 'compound, draw')} UNION ALL SELECT 'vehicle', draw, 1, 1, 1, 1, 1, 1 FROM range(1, 7) t(draw))),
+{run('ga', 'x', hz=f"CASE WHEN superclass = 'sensory' THEN 40.0 * (1 + 0.1 * (2 * {_U} - 1)) ELSE 0 END")}, {_ASKED},
+o AS (SELECT compound, draw, superclass, r FROM x10 JOIN ga USING (arm) JOIN ond USING (body_id)), v AS MATERIALIZED (SELECT compound, draw, 'mean_hz' AS readout, avg(r) AS y FROM o GROUP BY ALL UNION ALL SELECT compound, draw, superclass || '_hz', avg(r) FROM o WHERE superclass IN ('motor', 'visual') GROUP BY ALL),
+pr AS (SELECT i.compound, i.draw, arg_max(i.engagement - w.engagement, w.v / i.v) AS gap FROM e i JOIN e w ON i.compound = w.compound AND i.draw = w.draw AND i.receptor LIKE 'insect!_%' ESCAPE '!' AND w.receptor = replace(i.receptor, 'insect_', 'vertebrate_') GROUP BY ALL),
+ef AS (SELECT h, a.y AS t, b.y AS o, a.y - b.y AS f FROM hy JOIN v a ON a.compound = hy.compound AND a.readout = hy.readout JOIN v b ON b.draw = a.draw AND b.compound = CASE WHEN kind = 'w' THEN hy.compound ELSE 'vehicle' END AND b.readout = CASE WHEN kind = 'w' THEN minus ELSE hy.readout END WHERE kind <> 'gap' UNION ALL SELECT h, gap, NULL, gap FROM hy JOIN pr USING (compound) WHERE kind = 'gap'),
+s AS (SELECT h, count(*) AS n, avg(f) AS effect, stddev_samp(f) AS sd, avg(t) AS treated, avg(o) AS other FROM ef GROUP BY 1),
+m AS (SELECT *, CASE WHEN round(sd, 12) > 0 THEN effect / sd END AS d, CASE WHEN abs(other) > 1e-12 THEN abs(effect / other) END AS relative, CASE WHEN effect > 1e-9 THEN 'increase' WHEN effect < -1e-9 THEN 'decrease' WHEN effect IS NOT NULL THEN 'none' END AS observed FROM hy LEFT JOIN s USING (h)),
+q AS (SELECT *, 0.8::DOUBLE * (1 - least(greatest(relative, 0.05), 0.5)) AS p2, CASE WHEN d IS NOT NULL THEN least(abs(d), 1) END AS dd FROM m)
+SELECT h, coalesce(n, 0) AS n, round(effect, 6) AS effect, round(sd, 6) AS sd, round(effect - 1.959963985 * sd / sqrt(n), 6) AS low, round(effect + 1.959963985 * sd / sqrt(n), 6) AS high, round(treated, 6) AS treated, round(other, 6) AS other, round(relative, 6) AS relative, round(d, 4) AS d, observed, coalesce(observed = direction, false) AS matches,
+CASE WHEN endpoint = 'per' AND relative > 0 THEN ceil(round(pow(({_ZA} * sqrt((0.8 + p2) * (1 - (0.8 + p2) / 2)) + {_ZB} * sqrt(0.16 + p2 * (1 - p2))) / (0.8 - p2), 2), 6)) WHEN dd > 1e-9 THEN ceil(round(2 * pow(({_ZA} + {_ZB}) / dd, 2), 6)) END::BIGINT AS per_group FROM q"""
+
+_CLAIMS = f"""{engaged()}, li AS (SELECT l_partkey, round(avg(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1),
+cl AS MATERIALIZED (SELECT *, CASE WHEN entry % 5 <> 0 THEN receptor END AS target, CASE WHEN entry % 4 = 1 AND entry % 7 <> 0 THEN s % 3 + 1 END AS rank, CASE WHEN s % 11 <> 0 AND entry % 7 <> 0 THEN price END AS value, entry % 3 = 0 AS falling FROM (SELECT ev.*, p_size AS s, pos // 6 AS entry, price FROM ev JOIN part ON p_partkey = pos LEFT JOIN li ON l_partkey = pos)),
+rc AS (SELECT entry, e.receptor, count(DISTINCT c.compound) AS k, count(DISTINCT c.compound) FILTER (value_m IS NOT NULL) AS a, avg(log10(value_m)) AS m FROM (SELECT DISTINCT entry, compound FROM cl) c JOIN ev e USING (compound) GROUP BY ALL),
+re AS MATERIALIZED (SELECT entry, coalesce((SELECT max(receptor) FROM rc WHERE rc.entry = x.entry AND x.entry % 10 = 0 AND receptor = 'insect_RDL' AND k >= 2), (SELECT receptor FROM rc WHERE rc.entry = x.entry AND a > 0 AND starts_with(receptor, CASE WHEN x.entry % 2 = 0 THEN 'insect_' ELSE 'vertebrate_' END) ORDER BY a DESC, round(m, 9), receptor LIMIT 1)) AS receptor FROM (SELECT DISTINCT entry FROM cl) x)"""
+_AGREED = f"""{_CLAIMS}, sc AS (SELECT compound, receptor, arg_max_null(engagement, pos) AS y FROM en GROUP BY ALL), ln AS (SELECT cl.entry, cl.pos, cl.compound, coalesce(cl.target, re.receptor) AS receptor, rank, value, s, falling FROM cl JOIN re USING (entry)),
+wr AS (SELECT entry, count(*) AS n, count(rank) AS k, count(DISTINCT rank) AS dk, count(value) AS v, bool_and(value IS NOT NULL OR s % 2 = 0) AS told, min(value) AS lo, max(value) AS hi, count(*) FILTER (s % 2 <> 0) AS ve FROM ln GROUP BY 1),
+so AS (SELECT *, CASE WHEN n < 2 THEN 'few' WHEN k = n AND dk = 1 THEN 'tied' WHEN k = n THEN 'published_rank' WHEN v >= 2 AND told THEN 'published_value' WHEN entry % 7 = 0 AND ve > 0 AND ve < n THEN 'direction_selectivity' ELSE 'none' END AS src FROM wr),
+pu AS (SELECT l.entry, l.pos, src, round(y, 12) AS y, CASE src WHEN 'published_rank' THEN rank WHEN 'direction_selectivity' THEN CASE WHEN s % 2 = 0 THEN 1 ELSE 2 END WHEN 'published_value' THEN CASE WHEN falling THEN -coalesce(value, lo / 10) ELSE coalesce(value, hi * 10) END END::DOUBLE AS key FROM ln l JOIN so USING (entry) LEFT JOIN sc ON sc.compound = l.compound AND sc.receptor = l.receptor),
+sk AS (SELECT entry, count(*) AS n, max(src) AS order_source, CASE WHEN count(key) < count(*) THEN 'no_order' WHEN count(y) < count(*) THEN 'no_score' WHEN min(y) = max(y) THEN 'same_scores' END AS skipped FROM pu GROUP BY 1),
+rk AS (SELECT entry, pos, y, CASE WHEN src = 'published_value' THEN rank() OVER (PARTITION BY entry ORDER BY key) + (count(*) OVER (PARTITION BY entry, key) - 1) / 2 ELSE key END AS a, rank() OVER (PARTITION BY entry ORDER BY y DESC) + (count(*) OVER (PARTITION BY entry, y) - 1) / 2 AS b FROM pu JOIN sk USING (entry) WHERE skipped IS NULL),
+rh AS (SELECT entry, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS rho, bool_and(abs(a - b) < 1e-6) AS exact FROM rk GROUP BY 1),
+ta AS (SELECT x.entry, sum(sign(x.a - z.a) * sign(x.b - z.b)) / sqrt(sum(abs(sign(x.a - z.a))) * sum(abs(sign(x.b - z.b)))) AS tau FROM rk x JOIN rk z ON x.entry = z.entry AND x.pos < z.pos GROUP BY 1),
+al AS (SELECT entry, n, order_source, skipped, rho, tau, exact FROM sk LEFT JOIN rh USING (entry) LEFT JOIN ta USING (entry))"""
+SQL["published_orders"] = f"WITH {_AGREED} SELECT entry, n, order_source, skipped, round(rho, 6) AS rho, round(tau, 6) AS tau, exact FROM al"
+SQL["claimed_receptors"] = f"WITH {_CLAIMS} SELECT entry, receptor FROM re"
+SQL["validation_summary"] = f"WITH {_AGREED} SELECT 'occupancy' AS assay, count(*) AS entries, count(*) FILTER (skipped IS NULL) AS evaluated, count(skipped) AS skipped, count(*) FILTER (exact) AS exact, round(avg(rho), 6) AS mean_rho FROM al"

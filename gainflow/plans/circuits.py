@@ -11,11 +11,13 @@ from ..operators import engagement as E
 from ..operators import graph as G
 from ..operators import networks as N
 from ..operators import planted as P
+from ..operators import predictions as H
 from ..operators import stats as S
+from ..operators import validation as V
 from ..sources import fixtures as X
 from ..sources import sinks as K
 from .analyses import QUERIES, cells, effects
-from .catalogue import TREATED, query, r
+from .catalogue import TREATED, engaged, query, r
 
 __all__ = ["QUERIES"]
 
@@ -216,3 +218,62 @@ def order_rates(spark, d):
     edges, nodes, drive = order_graph(spark, d)
     hz = G.rates(edges, nodes, drive, {"vehicle": {}, "treated": TREATED}).join(nodes.select("body_id", "superclass"), "body_id")
     return hz.groupBy("superclass", "arm").agg(F.count("*").alias("n"), r(F.avg("hz")).alias("mean_hz"), r(F.max("hz")).alias("max_hz"))
+
+
+#: Hypotheses on typical compounds: name, compound, dose, contrast, read-out, the read-out taken off, predicted direction and endpoint.
+HYPOTHESES = (
+    ("h1", "antagonist", 1e-6, H.GAP, "engagement", None, "increase", "continuous"),
+    ("h2", "agonist", 1e-6, H.VEHICLE, "mean_hz", None, "decrease", "per"),
+    ("h3", "antagonist", 1e-6, H.VEHICLE, "mean_hz", None, "increase", "continuous"),
+    ("h4", "inhibitor", 1e-6, H.VEHICLE, "visual_hz", None, "none", "per"),
+    ("h5", None, 0.0, H.WITHIN, "motor_hz", "visual_hz", "decrease", "per"),
+    ("h6", "agonist", 1e-6, H.WITHIN, "motor_hz", "visual_hz", "increase", "continuous"),
+    ("h7", "unlisted", 1e-6, H.VEHICLE, "mean_hz", None, "decrease", "per"),
+)
+
+
+@query
+def predictions(spark, d):
+    """Hypotheses on typical compounds over six paired replicates on the order graph: effect, interval, direction held against the predicted one, and a group size to plan with."""
+    edges, nodes, drive = order_graph(spark, d)
+    hypotheses = spark.createDataFrame(list(HYPOTHESES), H.HYPOTHESIS)
+    sets = nodes.filter("superclass in ('motor', 'visual')").select(F.concat("superclass", F.lit("_hz")).alias("readout"), "body_id")
+    out = H.predict(hypotheses, H.effects(edges, nodes, typical_evidence(spark, d), hypotheses, drive, sets, draws=6, steps=10))
+    numbers = [r(c).alias(c) for c in ("effect", "sd", "low", "high", "treated", "other", "relative")]
+    return out.select("h", "n", *numbers, r("d", 4).alias("d"), "observed", "matches", "per_group")
+
+
+def order_claims(spark, d):
+    """Published orders of up to six parts: ranks, values or directions, with what else an entry says."""
+    price = X.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.avg("l_extendedprice"), 2).alias("price"))
+    p = X.evidence(spark, d).join(X.table(spark, d, "part").select("p_partkey", "p_size"), F.col("pos") == F.col("p_partkey")).join(price, F.col("pos") == F.col("l_partkey"), "left")
+    entry, even = F.floor(F.col("pos") / 6).cast("long"), F.col("p_size") % 2 == 0
+    directed = entry % 7 == 0
+    return cut(p.select(
+        entry.alias("entry"), "pos", "compound", F.when(entry % 5 != 0, F.col("receptor")).alias("target"), F.when((entry % 4 == 1) & ~directed, F.col("p_size") % 3 + 1).cast("double").alias("rank"),
+        F.when((F.col("p_size") % 11 != 0) & ~directed, F.col("price")).alias("value"), F.when(even, "no effect").otherwise("full").alias("efficacy"),
+        F.when(directed, F.when(even, "insect-selective").otherwise("Vertebrate-selective")).otherwise("").alias("direction"), F.when(entry % 3 == 0, "resistance ratio").otherwise("EC50").alias("readout"),
+        F.when(entry % 2 == 0, "Drosophila melanogaster").otherwise("Rattus norvegicus").alias("species"), F.when(entry % 10 == 0, "RDL currents").otherwise("currents").alias("assay")))
+
+
+def validated_claims(spark, d):
+    claims = order_claims(spark, d)
+    return V.validate(V.occupancy_scores(V.published(claims), X.evidence(spark, d), engaged(spark, d)))
+
+
+@query
+def published_orders(spark, d):
+    """Every published order against engagement at its receptor: where the order comes from, why it is skipped, and agreement."""
+    return validated_claims(spark, d).select("entry", "n", "order_source", "skipped", r("rho").alias("rho"), r("tau").alias("tau"), "exact")
+
+
+@query
+def claimed_receptors(spark, d):
+    """The receptor that each published order speaks of."""
+    return V.receptors(order_claims(spark, d), X.evidence(spark, d))
+
+
+@query
+def validation_summary(spark, d):
+    out = V.summary(validated_claims(spark, d).withColumn("assay", F.lit("occupancy")))
+    return out.select("assay", "entries", "evaluated", "skipped", "exact", r("mean_rho").alias("mean_rho"))
