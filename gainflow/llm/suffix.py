@@ -25,7 +25,9 @@ Equal contexts are first reduced to one inside each task. Grams that occur very
 beforehand and serve as anchors only of windows that hold no other gram, so the surroundings of a
 very common passage are dealt by what differs in them. An anchor that has more than CROWDED different
 contexts nevertheless is decided window by window, by an aggregate over 128-bit hashes of the windows
-that combines before its shuffle: no index exceeds a fixed size.
+that combines before its shuffle: no index exceeds a fixed size. Contexts of anchors that
+are frequent nevertheless (as one document in SAMPLED shows) are shuffled by anchor and content, so that
+they fill no task, and counted by an aggregate; where they are shuffled doesn't change the result.
 
 Defined results: null text has no bytes; an empty table gives no rows; repeated rows (equal id and
 text) get equal results and don't remove one another's bytes; ids are integers, and a null id comes
@@ -55,6 +57,9 @@ SEGMENT, REDUCED, SHARD = 1 << 20, 2_000_000, 1 << 20
 HOT, MOST_HOT = 4_000, 1_000_000
 #: Different contexts (of at most 2 MATCH bytes) of one anchor up to which they are indexed together.
 CROWDED = 4_000
+#: Of one document in SAMPLED the anchors that contexts get are counted; contexts of those that make up HOT or more of all are dealt to SALTS
+#: tasks by content. That decides where contexts go, not what becomes of them.
+SAMPLED, SALTS = 16, 1 << 10
 #: What stands for a null id.
 NO_ID = -(1 << 63)
 
@@ -301,11 +306,12 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(i.alias("__id"), F.hash(text_col).bitwiseAND(0xFFFF).alias("__k"), F.col(text_col).alias("__text"), *rest)
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of very frequent grams, counted among the anchors; at most MOST_HOT, the most frequent."""
+def _frequent(docs: DataFrame, least: int, avoided: np.ndarray | None = None) -> np.ndarray:
+    """Sorted hashes of grams that are anchors ``least`` times or more, where those ``avoided`` are anchors only of windows that have no others; at most MOST_HOT, the most frequent."""
+    known = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if avoided is None else avoided)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none, held, total = np.zeros(0, np.uint64), [], 0
+        held, total = [], 0
 
         def often() -> pd.DataFrame:
             a, n = np.unique(np.concatenate(held), return_counts=True)
@@ -313,7 +319,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
         for part in batches:
             for t in part["__text"]:
-                held.append(anchors(_bytes(t), none)[0])
+                held.append(anchors(_bytes(t), known.value)[0])
                 total += len(held[-1])
                 if total > REDUCED:
                     yield often()
@@ -321,18 +327,19 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         if held:
             yield often()
 
-    counts = docs.select("__text").mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
+    counts = docs.select("__text").mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     rows = counts.orderBy(F.desc("n"), "a").limit(MOST_HOT).collect()
     return np.sort(np.array([r["a"] for r in rows], np.int64).view(np.uint64))
 
 
-def _contexts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def _contexts(docs: DataFrame, hot: np.ndarray, dealt: np.ndarray) -> DataFrame:
     """Contexts, one of each content per task, and ranges that go for another context of the task, packed for the shuffle.
 
     ``a``: hash of the anchor; ``c, d``: hashes of the context; ``id``; ``p``: 16 bits of the text's
-    hash, start and number of windows. For a range ``p`` is below 0 and holds those 16 bits, ``c`` its start, ``d`` its length.
+    hash, start and number of windows, and above them whether the anchor is one of ``dealt``. For a range ``p`` is below 0 and
+    holds the 16 bits, ``c`` its start, ``d`` its length.
     """
-    hot = docs.sparkSession.sparkContext.broadcast(hot)
+    hot, dealt = (docs.sparkSession.sparkContext.broadcast(x) for x in (hot, dealt))
 
     def reduced(held: list[tuple]) -> pd.DataFrame:
         a, c, d, s, n, i, k = (np.concatenate([x[j] for x in held]) for j in range(7))
@@ -345,7 +352,8 @@ def _contexts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         doc, start, end = merged(doc.ravel().astype(np.int64), s[gone], s[gone] + n[gone] + MATCH - 1)
         spread = mix((doc + start * 1_000_003).astype(np.uint64))  # ranges have no anchor; they go anywhere
         whole = lambda x, y: np.r_[x[first].view(np.int64), y.view(np.int64)]
-        return pd.DataFrame({"a": whole(a, spread), "c": whole(c, start), "d": whole(d, end - start), "id": whole(i, names[doc, 0]), "p": whole(k << 40 | s << 8 | n, -1 - names[doc, 1])})
+        often = np.isin(a, dealt.value).astype(np.int64)
+        return pd.DataFrame({"a": whole(a, spread), "c": whole(c, start), "d": whole(d, end - start), "id": whole(i, names[doc, 0]), "p": whole(often << 56 | k << 40 | s << 8 | n, -1 - names[doc, 1])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, total = [], 0
@@ -406,29 +414,40 @@ def ranges(keyed: DataFrame) -> DataFrame:
     """``id, k, s, e``: byte ranges of the documents of :func:`_documents` that go, several of which may overlap."""
     spark, folder = keyed.sparkSession, shared_dir(keyed.sparkSession)
     large = keyed.filter(F.octet_length("__text") >= MATCH)
-    packed = _contexts(large, _frequent(large)).repartition("a")  # unpacked after the shuffle
+    often = F.shiftright("p", 56) == 1
+    hot = _frequent(large, HOT)
+    part = large.filter(F.pmod(F.xxhash64("__id", "__k"), F.lit(SAMPLED)) == 0)
+    packed = _contexts(large, hot, _frequent(part, max(1, HOT // SAMPLED), hot)).withColumn("salt", F.when(often, F.pmod("c", F.lit(SALTS)) + 1).otherwise(0).cast("int")).repartition("a", "salt")  # unpacked after the shuffle
     cut, p = F.col("p") < 0, F.col("p")
     rows = packed.select(
-        "a", F.when(~cut, F.col("c")).alias("c"), F.when(~cut, F.col("d")).alias("d"), "id", F.when(cut, -1 - p).otherwise(F.shiftright(p, 40)).cast("int").alias("k"),
+        "a", "salt", F.when(~cut, F.col("c")).alias("c"), F.when(~cut, F.col("d")).alias("d"), "id", F.when(cut, -1 - p).otherwise(F.shiftright(p, 40).bitwiseAND(0xFFFF)).cast("int").alias("k"),
         F.when(cut, F.col("c")).otherwise(F.shiftright(p, 8).bitwiseAND((1 << 32) - 1)).cast("int").alias("s"), F.when(cut, F.col("d")).otherwise(p.bitwiseAND(255) + MATCH - 1).cast("int").alias("n"))
-    order, whole = Window.partitionBy("a").orderBy("c", "d", "id", "k", "s"), Window.partitionBy("a")
+    order, whole = Window.partitionBy("a", "salt").orderBy("c", "d", "id", "k", "s"), Window.partitionBy("a", "salt")
     before, content = F.lag(F.struct("c", "d", "id", "k", "s")).over(order), F.when(F.col("c").isNotNull(), F.struct("c", "d"))
     seen = rows.withColumns({"b": before, "low": F.min(content).over(whole), "high": F.max(content).over(whole)})
     again = F.coalesce((F.col("c") == F.col("b.c")) & (F.col("d") == F.col("b.d")), F.lit(False))
     same = again & (F.col("id") == F.col("b.id")) & (F.col("k") == F.col("b.k")) & (F.col("s") == F.col("b.s"))
-    asks = F.col("c").isNotNull() & ~again & (F.col("low") != F.col("high"))
-    seen = seen.withColumn("asks", asks).withColumn("crowded", F.col("asks") & (F.count_if("asks").over(whole) > CROWDED))
-    seen.filter((F.col("c").isNull() | again | F.col("asks")) & ~same).select("a", "id", "k", "s", (F.col("s") + F.col("n")).alias("e"), "asks", "crowded").write.parquet(f"{folder}/contexts")
+    dealt = F.col("salt") > 0  # its other contexts may be elsewhere
+    asks = F.col("c").isNotNull() & ~again & (dealt | (F.col("low") != F.col("high")))
+    seen = seen.withColumn("asks", asks).withColumn("crowded", F.col("asks") & ~dealt & (F.count_if("asks").over(whole) > CROWDED))
+    seen = seen.filter((F.col("c").isNull() | again | F.col("asks")) & ~same)
+    seen.select("a", "id", "k", "s", (F.col("s") + F.col("n")).alias("e"), "asks", "crowded", dealt.alias("dealt")).write.parquet(f"{folder}/contexts")
     seen = spark.read.parquet(f"{folder}/contexts")
+    # dealt anchors: at most MOST_HOT, their different contexts counted by an aggregate that combines before its shuffle
+    counts = seen.filter("asks and dealt").groupBy("a").agg(F.count("*").alias("contents")).filter("contents > 1")
+    counted = seen.filter("asks and dealt").join(counts, "a")
+    place = ["a", "id", "k", "s", "e"]
+    few = seen.filter("asks and not crowded and not dealt").select(*place).unionByName(counted.filter(F.col("contents") <= CROWDED).select(*place))
+    many = seen.filter("crowded").select(*place).unionByName(counted.filter(F.col("contents") > CROWDED).select(*place))
 
     def fetched(contexts: DataFrame) -> DataFrame:
         wanted = contexts.groupBy("id", "k").agg(F.collect_list(F.struct("a", "s", "e")).alias("at"))
         text = keyed.join(wanted, (F.col("__id") == F.col("id")) & (F.col("__k") == F.col("k"))).select("id", "k", F.col("__text").cast("binary").alias("b"), F.explode("at").alias("x"))
         return text.select("x.a", "id", "k", "x.s", F.substring("b", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("bytes"))
 
-    out = seen.filter("not asks").select("id", "k", "s", "e").unionByName(_shards(fetched(seen.filter("asks and not crowded"))))
-    if seen.filter("crowded").limit(1).count():
-        out = out.unionByName(_by_windows(fetched(seen.filter("crowded"))))
+    out = seen.filter("not asks").select("id", "k", "s", "e").unionByName(_shards(fetched(few)))
+    if many.limit(1).count():
+        out = out.unionByName(_by_windows(fetched(many)))
     return out
 
 

@@ -126,6 +126,28 @@ def test_crowded_anchors_and_a_long_text(spark, monkeypatch):
     check(spark, [(1, base * 8 + "the end"), (2, "x" + base[1000:90_000]), (3, "y" * 3000)], 2)
 
 
+def test_very_frequent_anchors_are_dealt_by_content(spark, monkeypatch, tmp_path):
+    """Every anchor that occurs twice counts as frequent, so contexts of one are in many tasks."""
+    folders = []
+    monkeypatch.setattr(S, "shared_dir", lambda _: folders.append(f"{tmp_path}/{len(folders)}") or folders[-1])
+    monkeypatch.setattr(S, "HOT", 1)
+    monkeypatch.setattr(S, "SAMPLED", 1)
+    monkeypatch.setattr(S, "SALTS", 16)
+    r = random.Random(21)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(120))
+    around = [(1000 + i, "".join(r.choice("uvwxyz") for _ in range(60)) + passage + "".join(r.choice("uvwxyz") for _ in range(60))) for i in range(150)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all these few rows go to one task
+    for crowded in (4_000, 3):
+        monkeypatch.setattr(S, "CROWDED", crowded)
+        check(spark, made(random.Random(6)) + around)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for f in folders:
+        seen = spark.read.parquet(f"{f}/contexts").filter("asks and dealt")
+        most = seen.groupBy("a").count().orderBy("count", ascending=False).first()
+        assert most["count"] > 50  # contexts of one anchor, from many tasks' files
+        assert seen.filter(seen.a == most.a).selectExpr("input_file_name() as f").distinct().count() > 1
+
+
 def test_corpus(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
