@@ -114,21 +114,26 @@ def least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[: len(key) - (width - n)], key[width - n :]) if width > n else key
 
 
-def anchors(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, two context hashes, first window, and number of windows, for each run of windows with one anchor.
+def anchor_runs(b: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Where each SEGMENT windows start, their grams' hashes, and the anchor's place and the first window of each run of windows with one anchor.
 
     Grams in the sorted list ``hot`` are anchors only of windows that have no others.
     """
-    out = []
     for s in range(0, len(b) - MATCH + 1, SEGMENT):
-        part = b[s : s + SEGMENT + MATCH - 1]
-        h = grams(part)
+        h = grams(b[s : s + SEGMENT + MATCH - 1])
         order = h >> np.uint64(33)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
             order |= (hot[at] == h).astype(np.uint64) << np.uint64(31)
         pos = (least(order << np.uint64(32) | np.arange(len(h), dtype=np.uint64), SPREAD) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+        yield s, h, pos, np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+
+
+def anchors(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchor hash, two context hashes, first window, and number of windows, for each run of :func:`anchor_runs`."""
+    out = []
+    for s, h, pos, first in anchor_runs(b, hot):
+        part = b[s : s + SEGMENT + MATCH - 1]
         count = np.diff(np.r_[first, len(pos)])
         up, down = Powers.to(len(part))
         shape = (pos[first] - first).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + count.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
@@ -223,7 +228,7 @@ class RunLengthIndex:
         query, begin = packed(text, ends), np.r_[0, ends[:-1] + 1]
         at, row, place, length, found = ends.copy(), np.zeros(len(ends), np.int64), np.full(len(ends), self.first), np.zeros(len(ends), np.int64), []
         while len(at):
-            on = at > begin
+            on = (at > begin) & (length + at - begin >= least)  # a match grows by one a step, so others can't get long enough
             at, begin, row, place, length = (x[on] for x in (at, begin, row, place, length))
             c = text[at - 1]
             run = np.searchsorted(self.starts, row, side="right") - 1
@@ -319,8 +324,9 @@ def _frequent(docs: DataFrame, least: int, avoided: np.ndarray | None = None) ->
 
         for part in batches:
             for t in part["__text"]:
-                held.append(anchors(_bytes(t), known.value)[0])
-                total += len(held[-1])
+                found = [h[pos[first]] for _, h, pos, first in anchor_runs(_bytes(t), known.value)]
+                held += found
+                total += sum(map(len, found))
                 if total > REDUCED:
                     yield often()
                     held, total = [], 0
