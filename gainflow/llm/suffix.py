@@ -238,7 +238,7 @@ class RunLengthIndex:
                 k = np.searchsorted(self.key, c[j] * len(self.starts) + run[j])
                 best, new, row[j], place[j] = np.full(len(j), -1), np.full(len(j), -1), 0, self.first
                 for side, near in ((1, k - 1), (0, k)):
-                    other = self.by_symbol[np.clip(near, 0, len(self.key) - 1)]
+                    other = self.by_symbol[np.minimum(np.maximum(near, 0), len(self.key) - 1)]
                     ok = (near >= 0) & (near < len(self.key)) & (self.symbol[other] == c[j])
                     same = np.where(ok, self.agree(self.sample[side, other], query, at[j], np.where(ok, length[j], 0)), -1)
                     better = same > new
@@ -348,8 +348,11 @@ def _contexts(docs: DataFrame, hot: np.ndarray, dealt: np.ndarray) -> DataFrame:
     hot, dealt = (docs.sparkSession.sparkContext.broadcast(x) for x in (hot, dealt))
 
     def reduced(held: list[tuple]) -> pd.DataFrame:
+        names = [(x[5][0], x[6][0]) for x in held]
+        held = [held[j] for j in sorted(range(len(held)), key=names.__getitem__)]
         a, c, d, s, n, i, k = (np.concatenate([x[j] for x in held]) for j in range(7))
-        order = np.lexsort((s, k, i, d, c, a))
+        # places stand in order already but for repeated rows; contexts whose mixed hashes clash are only reduced later
+        order = np.argsort(mix(a ^ mix(c ^ mix(d))), kind="stable") if len(set(names)) == len(names) else np.lexsort((s, k, i, d, c, a))
         a, c, d, s, n, i, k = (x[order] for x in (a, c, d, s, n, i, k))
         first = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
         same = np.r_[False, (s[1:] == s[:-1]) & (i[1:] == i[:-1]) & (k[1:] == k[:-1])]
@@ -358,7 +361,8 @@ def _contexts(docs: DataFrame, hot: np.ndarray, dealt: np.ndarray) -> DataFrame:
         doc, start, end = merged(doc.ravel().astype(np.int64), s[gone], s[gone] + n[gone] + MATCH - 1)
         spread = mix((doc + start * 1_000_003).astype(np.uint64))  # ranges have no anchor; they go anywhere
         whole = lambda x, y: np.r_[x[first].view(np.int64), y.view(np.int64)]
-        often = np.isin(a, dealt.value).astype(np.int64)
+        listed = dealt.value
+        often = (listed[np.minimum(np.searchsorted(listed, a), len(listed) - 1)] == a).astype(np.int64) if len(listed) else np.zeros(len(a), np.int64)
         return pd.DataFrame({"a": whole(a, spread), "c": whole(c, start), "d": whole(d, end - start), "id": whole(i, names[doc, 0]), "p": whole(often << 56 | k << 40 | s << 8 | n, -1 - names[doc, 1])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
