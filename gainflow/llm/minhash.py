@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import KEY, cut, shared_dir, stored, text_batches, with_key
+from ._common import KEY, sent, shared_dir, stored, text_batches, with_key
 from .components import components, look_up
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -46,8 +46,8 @@ SPARE = (1 - SIMILAR) / SIMILAR
 BANDS, SKETCHES, MINIMA = 32, 2, 3
 #: Members up to which all pairs across components are aligned, and leaders that larger buckets take in a later round.
 SMALL, LEADERS = 64, 4
-#: Nodes (some 40 bytes each) whose keys are broadcast to fetch their texts; beyond, the join shuffles.
-SENT = 500_000
+#: Longs of a text's sketch (see :func:`parities`), and nodes (some 150 bytes each) whose sketches are broadcast to pairs; beyond, the join shuffles.
+LONGS, SKETCHED = 16, 200_000
 #: Shingles that are hashed at once.
 STEP = 1 << 14
 
@@ -117,6 +117,12 @@ def bands(x: np.ndarray) -> np.ndarray:
     return mix((sketch.reshape(BANDS, SKETCHES) * _WEIGH[-SKETCHES:]).sum(1, dtype=np.uint64)).astype(np.int64)
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """Bits, as longs: whether an odd number of shingles falls to each. Two texts differ in as many shingles as bits, or more."""
+    odd = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def chain(at: np.ndarray) -> int:
     """Length of the longest increasing subsequence."""
     if len(at) < 2 or (np.diff(at) > 0).all():
@@ -143,25 +149,36 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: its key, id, ``node`` (hash of the word sequence, or of a text without words) and ``bands`` (null without words)."""
+    """Per row: its key, id, ``node`` (hash of the word sequence, or of a text without words); ``bands``, ``size`` in shingles and ``sketch`` (null without words)."""
     keyed = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    schema = f"{KEY[0]} long, {KEY[1]} long, id {docs.schema[id_col].dataType.simpleString()}, node binary, bands array<long>"
+    schema = f"{KEY[0]} long, {KEY[1]} long, id {docs.schema[id_col].dataType.simpleString()}, node binary, bands array<long>, size int, sketch array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         hashes = WordHashes()
         for part in batches:
-            nodes, keys = [], []
+            nodes, keys, size, sketch = [], [], [], []
             for t in part["text"]:
                 w = word_hashes(t, hashes)
                 nodes.append(xxhash.xxh128_digest(w.tobytes() if len(w) else b"-" + (t or "").encode("utf-8", "replace")))
-                keys.append(bands(shingles(w)) if len(w) else None)
-            yield part.drop(columns="text").assign(node=nodes, bands=keys)
+                x = shingles(w)
+                keys.append(bands(x) if len(w) else None)
+                size.append(len(x))
+                sketch.append(parities(x) if len(w) else None)
+            yield part.drop(columns="text").assign(node=nodes, bands=keys, size=size, sketch=sketch)
 
     return text_batches(keyed).select(*KEY, "id", "text").mapInPandas(run, schema)
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The ``pairs`` of nodes (``lead, node``) whose sketches (``node, size, sketch``) let them reach SIMILAR; no other pair can."""
+    named = lambda n: sketches.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("sketch").alias(f"{n}_sketch"))
+    apart = F.aggregate(F.zip_with("lead_sketch", "node_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(named("node"), "node").join(named("lead"), "lead")
+    return both.filter(apart <= (F.col("lead_size") + F.col("node_size")) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6).select("lead", "node")
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``lead, node, overlap, similar`` for pairs of nodes."""
     named = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text"))
@@ -236,25 +253,26 @@ def links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str) -> tuple[
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    nodes = kept(sig.filter("bands is not null").groupBy("node").agg(F.min(F.struct(*KEY, "bands")).alias("r")).select("node", "r.*"), "nodes")
+    nodes = kept(sig.filter("bands is not null").groupBy("node").agg(F.min(F.struct(*KEY, "bands", "size", "sketch")).alias("r")).select("node", "r.*"), "nodes")
     member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = member.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     member = kept(member.join(shared, ["band", "key"]), "members")
     weight = member.groupBy("node").agg(F.sum("n").alias("weight"))
     member = kept(member.join(weight, "node"), "weighted")
-    involved = kept(weight.join(nodes.select("node", *KEY), "node").select("node", *KEY), "involved")
+    involved = kept(weight.join(nodes.select("node", *KEY, "size", "sketch"), "node").select("node", *KEY, "size", "sketch"), "involved")
+    sketches = sent(involved.select("node", "size", "sketch"), SKETCHED)
     texts = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    texts = texts.join(F.broadcast(involved) if involved.count() <= SENT else involved, list(KEY))
+    texts = texts.join(sent(involved.select("node", *KEY)), list(KEY))
     texts = kept(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    lead = member.groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("h")).select("band", "key", F.col("h.node").alias("lead"))
-    tested = kept(_aligned(member.join(lead, ["band", "key"]).filter("lead <> node").select("lead", "node").distinct(), texts), "tested/0")
-    found, i = tested.filter(F.col("similar") >= SIMILAR).select("lead", "node"), 0
+    lead = kept(member.groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("h")).select("band", "key", F.col("h.node").alias("lead")), "leads")
+    tested = kept(_aligned(_possible(member.join(lead, ["band", "key"]).filter("lead <> node").select("lead", "node").distinct(), sketches), texts), "tested/0")
+    found, open_, i = tested.filter(F.col("similar") >= SIMILAR).select("lead", "node"), member, 0
     while True:
         root = components(found, "lead", "node")
         i += 1
-        of = cut(member.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        of = open_.select("band", "key", "node", "n", "weight").join(sent(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = of.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").drop("several")
-        open_ = of.join(several, ["band", "key"]).select("band", "key", "node", "root", "n", "weight")
+        open_ = kept(of.join(several, ["band", "key"]).select("band", "key", "node", "root", "n", "weight"), f"open/{i}")
         large = open_.filter(F.col("n") > SMALL)
         rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.desc("weight"), "node"))
         upto = large.withColumn("rank", rank).filter(F.col("rank") <= LEADERS * i + 1).filter(F.col("rank") > (LEADERS * (i - 1) + 1 if i > 1 else 0))
@@ -262,16 +280,16 @@ def links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str) -> tuple[
         pairs = open_.join(heads.select("band", "key", F.col("node").alias("lead"), F.col("root").alias("lead_root")), ["band", "key"]).filter(f"root <> lead_root and (n > {SMALL} or lead < node)")
         pairs = pairs.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")).distinct()
         done = tested.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node"))
-        new = kept(_aligned(pairs.join(done, ["lead", "node"], "left_anti"), texts), f"tested/{i}")
+        new = kept(_aligned(_possible(pairs, sketches).join(done, ["lead", "node"], "left_anti"), texts), f"tested/{i}")
         tested = spark.read.parquet(*[f"{folder}/tested/{k}" for k in range(i + 1)])
         if new.filter(F.col("similar") >= SIMILAR).limit(1).count() == 0:
             break
         found = tested.filter(F.col("similar") >= SIMILAR).select("lead", "node")
-    rest = cut(large.join(lead, ["band", "key"]).filter("lead <> node").select("lead", "node", "root").distinct())
+    rest = stored(large.join(lead, ["band", "key"]).filter("lead <> node").select("lead", "node", "root").distinct())
     if rest.limit(1).count() == 0:
         return found, root
     done = tested.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node"))
-    last = kept(_aligned(_remaining(rest, texts).join(done, ["lead", "node"], "left_anti"), texts), "last")
+    last = kept(_aligned(_possible(_remaining(rest, texts), sketches).join(done, ["lead", "node"], "left_anti"), texts), "last")
     if last.filter(F.col("similar") >= SIMILAR).limit(1).count() == 0:
         return found, root
     found = tested.unionByName(last).filter(F.col("similar") >= SIMILAR).select("lead", "node")
@@ -285,14 +303,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sig = spark.read.parquet(f"{folder}/signatures")
     _, root = links(docs, sig, id_col, text_col)
     least = sig.groupBy("node").agg(F.min("id").alias("least"))
-    named = cut(least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = stored(least.join(sent(root), "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return look_up(sig.drop("bands"), look_up(named, ids, "root", "node").select("node", "root", "class_id"), "node", KEY[0]).select(*KEY, "id", "root", "class_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of its smallest id, then smallest key."""
-    found = cut(classes(docs, id_col, text_col))
+    found = stored(classes(docs, id_col, text_col))
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *KEY)).alias("s")).select("s.*")
     repeated = found.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").select(*KEY)
     kept = with_key(docs, id_col, text_col).join(stay.select(*KEY), list(KEY), "left_semi")

@@ -150,3 +150,27 @@ def test_components(spark):
     star = [(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 3000, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(star, "x int, y int"), "x", "y").collect()}
     assert set(got.values()) == {0} and len(got) == len({n for p in star for n in p})
+
+
+def test_sketches_bound_differences(spark, monkeypatch):
+    """Pairs of a bucket that are surely unlike are not aligned, and no like pair is lost."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, h = [word() for _ in range(200)], M.WordHashes()
+    texts = [" ".join(base), " ".join(base[:199]), *[" ".join(base[:60] + [word() for _ in range(140)]) for _ in range(10)]]
+    x = [M.shingles(M.word_hashes(t, h)) for t in texts]
+    for a in x:
+        for b in x:
+            bits = sum(int(v).bit_count() for v in (M.parities(a) ^ M.parities(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b)) and (bits == 0) == (a is b)
+    aligned, old = [], M._aligned
+
+    def counted(pairs, texts):
+        aligned.append(pairs.count())
+        return old(pairs, texts)
+
+    monkeypatch.setattr(M, "_aligned", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    sig = M.signatures(df, "doc_id", "text").withColumn("bands", F.array(F.lit(1).cast("long"))).cache()
+    found, _ = M.links(df, sig, "doc_id", "text")
+    assert sum(aligned) == found.count() == 1
