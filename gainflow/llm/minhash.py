@@ -245,6 +245,18 @@ def _remaining(members: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select(F.least("a_node", "node").alias("lead"), F.greatest("a_node", "node").alias("node")).distinct()
 
 
+def _referred(members: DataFrame) -> DataFrame:
+    """``lead, node, root`` for ``lead, lead_weight, node, root``: leaders of much the same nodes give way to one of them.
+
+    What :func:`_remaining` tells from the differences holds for any text that two nodes are held against, so nodes need not be
+    held against each of their leaders. A leader gives way to the weightiest leader that most of its nodes have, or stays.
+    """
+    top = F.max(F.struct("lead_weight", "lead")).over(Window.partitionBy("node"))["lead"]
+    votes = members.select("lead", top.alias("top")).groupBy("lead", "top").agg(F.count("*").alias("k"))
+    refer = stored(votes.groupBy("lead").agg(F.max(F.struct("k", "top"))["top"].alias("by")))
+    return members.join(sent(refer), "lead").select(F.col("by").alias("lead"), "node", "root").distinct()
+
+
 def links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``lead, node``: verified links between different word sequences; and the components they make, as ``node, root``."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -264,7 +276,7 @@ def links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str) -> tuple[
     texts = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     texts = texts.join(sent(involved.select("node", *KEY)), list(KEY))
     texts = kept(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    lead = kept(member.groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("h")).select("band", "key", F.col("h.node").alias("lead")), "leads")
+    lead = kept(member.groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("h")).select("band", "key", F.col("h.weight").alias("lead_weight"), F.col("h.node").alias("lead")), "leads")
     tested = kept(_aligned(_possible(member.join(lead, ["band", "key"]).filter("lead <> node").select("lead", "node").distinct(), sketches), texts), "tested/0")
     found, open_, i = tested.filter(F.col("similar") >= SIMILAR).select("lead", "node"), member, 0
     while True:
@@ -285,11 +297,11 @@ def links(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str) -> tuple[
         if new.filter(F.col("similar") >= SIMILAR).limit(1).count() == 0:
             break
         found = tested.filter(F.col("similar") >= SIMILAR).select("lead", "node")
-    rest = stored(large.join(lead, ["band", "key"]).filter("lead <> node").select("lead", "node", "root").distinct())
+    rest = stored(large.join(lead, ["band", "key"]).filter("lead <> node").select("lead", "lead_weight", "node", "root").distinct())
     if rest.limit(1).count() == 0:
         return found, root
     done = tested.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node"))
-    last = kept(_aligned(_possible(_remaining(rest, texts), sketches).join(done, ["lead", "node"], "left_anti"), texts), "last")
+    last = kept(_aligned(_possible(_remaining(_referred(rest), texts), sketches).join(done, ["lead", "node"], "left_anti"), texts), "last")
     if last.filter(F.col("similar") >= SIMILAR).limit(1).count() == 0:
         return found, root
     found = tested.unionByName(last).filter(F.col("similar") >= SIMILAR).select("lead", "node")

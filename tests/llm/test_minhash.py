@@ -174,3 +174,9 @@ def test_sketches_bound_differences(spark, monkeypatch):
     sig = M.signatures(df, "doc_id", "text").withColumn("bands", F.array(F.lit(1).cast("long"))).cache()
     found, _ = M.links(df, sig, "doc_id", "text")
     assert sum(aligned) == found.count() == 1
+
+
+def test_leaders_of_the_same_nodes_give_way(spark):
+    rows = [("A", 9, n, n) for n in "pqrst"] + [("B", 5, n, n) for n in "rst"] + [("C", 4, n, n) for n in "uvw"]
+    got = {(x.lead, x.node) for x in M._referred(spark.createDataFrame(rows, "lead string, lead_weight long, node string, root string")).collect()}
+    assert got == {("A", n) for n in "pqrst"} | {("C", n) for n in "uvw"}
