@@ -139,7 +139,9 @@ def decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text.dropDuplicates(["l1"]).write.parquet(f"{folder}/wanted")
     wanted = spark.read.parquet(f"{folder}/wanted")
 
-    keys, place = _neighbourhood(wanted), F.struct("__id", "no", "l1")
+    # the keys are hashed once, though both their heads and the lines that these remove are found from them
+    _neighbourhood(wanted).write.parquet(f"{folder}/keys")
+    keys, place = spark.read.parquet(f"{folder}/keys"), F.struct("__id", "no", "l1")
     heads = keys.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     found = keys.join(heads, "key").filter(F.col("head") < place).groupBy("l1").agg(F.min("head").alias("head")).select("l1", F.col("head.l1").alias("by"))
     found = found.join(wanted.select("l1", "w"), "l1").join(wanted.select(F.col("l1").alias("by"), F.col("w").alias("by_w")), "by")

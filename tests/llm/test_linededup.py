@@ -101,3 +101,10 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "b"), (2, "b\nc")], "doc_id long, text string")
     assert sorted(map(str, ((r.doc_id, r.text, r.n_removed) for r in L.dedup_lines(df).collect()))) == sorted(map(str, [(1, "a", 1), (1, "a", 1), (None, "b", 0), (2, "c", 1)]))
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_keys_are_made_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "shared_dir", lambda _: str(tmp_path / "x"))
+    docs = [(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j z"), (3, "one line of its own")]
+    check(spark, docs)
+    assert spark.read.parquet(str(tmp_path / "x/keys")).count() > 0
