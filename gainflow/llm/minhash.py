@@ -198,10 +198,9 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``lead, node, root, size, n, e, at``: of the ``n`` shingles in which a node differs from its leader, those that a like text may share first, and their places.
+    """``lead, node, root, size, n, mark, e``: the ``n`` shingles in which a node differs from its leader, those that only the leader has inverted.
 
-    Shingles that only the node has come first, then those that only the leader has, each by their hash. A node that differs in so
-    few that it may be like another without sharing one of them has a mark besides, at place -1.
+    A node that differs in so few that it may be like another without sharing one of them has a row besides that is a mark.
     """
     named = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text"))
     both = pairs.join(named("node"), "node").join(named("lead"), "lead").select("lead", "node", "root", "lead_text", "node_text")
@@ -217,12 +216,12 @@ def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 more, less = np.setdiff1d(own, lead, assume_unique=True), np.setdiff1d(lead, own, assume_unique=True)
                 size.append(len(own))
                 n.append(len(more) + len(less))
-                e.append(np.r_[more, ~less][: int(len(own) * SPARE + 1e-9) + 1].view(np.int64))
+                e.append(np.r_[more, ~less].view(np.int64))
             yield part[["lead", "node", "root"]].assign(size=size, n=n, e=e)
 
     made = both.mapInPandas(run, "lead binary, node binary, root binary, size int, n int, e array<long>")
-    mark = F.when(F.col("n") <= F.col("size") * SPARE + 1e-9, F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("e")))).otherwise(F.array().cast("array<struct<at:int,e:bigint>>"))
-    each = F.concat(F.transform("e", lambda x, i: F.struct(i.alias("at"), x.alias("e"))), mark)
+    mark = F.when(F.col("n") <= F.col("size") * SPARE + 1e-9, F.array(F.struct(F.lit(True).alias("mark"), F.lit(0).cast("long").alias("e")))).otherwise(F.array().cast("array<struct<mark:boolean,e:bigint>>"))
+    each = F.concat(F.transform("e", lambda x: F.struct(F.lit(False).alias("mark"), x.alias("e"))), mark)
     return made.select("lead", "node", "root", "size", "n", F.explode(each).alias("x")).select("lead", "node", "root", "size", "n", "x.*")
 
 
@@ -231,12 +230,16 @@ def _remaining(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     Texts a and b that differ from the leader in A and B differ from each other in what is in one of both only. Of the shingles
     of both together, at most (1 - SIMILAR) / (1 + SIMILAR) may be such; so A and B must share the more, the more there is
-    in them. At the first shingle that they share, no more can be common than what follows in either.
+    in them. A leader's differences are put in one order, the rarest first; those that nodes of one root only have stand before
+    all others and need no rows. At the first shingle that A and B share, no more can be common than what follows in either,
+    and what very many nodes have comes so late that hardly any of them meet by it.
     """
     rows = stored(_differences(members, texts))
     # of each difference only nodes outside its largest component meet all others, so that component isn't joined with itself
-    most = rows.groupBy("lead", "e", "root").agg(F.count("*").alias("k")).groupBy("lead", "e").agg(F.max_by("root", "k").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    rows = stored(rows.join(most.select("lead", "e", "most"), ["lead", "e"]).withColumn("minor", F.col("root") != F.col("most")).drop("most"))
+    most = rows.groupBy("lead", "e", "root").agg(F.count("*").alias("k")).groupBy("lead", "e").agg(F.max_by("root", "k").alias("most"), F.sum("k").alias("k"), F.count("*").alias("roots")).filter("roots > 1")
+    follow = F.row_number().over(Window.partitionBy("lead", "node").orderBy("mark", F.desc("k"), F.desc("e")))
+    rows = rows.join(most.drop("roots"), ["lead", "e"]).withColumn("at", F.when(F.col("mark"), -1).otherwise(F.col("n") - follow)).filter(F.col("at") <= F.col("size") * SPARE + 1e-9)
+    rows = stored(rows.select("lead", "e", "node", "root", "size", "n", "at", (F.col("root") != F.col("most")).alias("minor")))
     a = rows.filter(F.col("at") <= F.col("size") * (SPARE / 2) + 1e-9).select("lead", "e", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "n", "at", "root", "minor")])
     need = f"(a_n + n - {(1 - SIMILAR) / (1 + SIMILAR)} * (a_size + size)) / 2 - 1e-6"
     fits = f"a_root <> root and a_n <= n and least(a_size, size) >= {SIMILAR} * greatest(a_size, size) - 1e-9 and case when at < 0 or a_at < 0 then {need} <= 0 else least(a_n - a_at, n - at) >= {need} end"

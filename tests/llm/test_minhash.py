@@ -180,3 +180,28 @@ def test_leaders_of_the_same_nodes_give_way(spark):
     rows = [("A", 9, n, n) for n in "pqrst"] + [("B", 5, n, n) for n in "rst"] + [("C", 4, n, n) for n in "uvw"]
     got = {(x.lead, x.node) for x in M._referred(spark.createDataFrame(rows, "lead string, lead_weight long, node string, root string")).collect()}
     assert got == {("A", n) for n in "pqrst"} | {("C", n) for n in "uvw"}
+
+
+def test_common_differences_bring_no_pairs(spark):
+    """Texts that have a passage in common which their leader has not, and are unlike but for two near copies, hardly meet by that passage."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+
+    def changed(w, n):
+        w = w[:]
+        for k in r.sample([*range(0, 96, 6), *range(138, 400, 6)], n):
+            w[k] = word()
+        return w
+
+    base = [word() for _ in range(400)]
+    passage = base[:100] + [word() for _ in range(30)] + base[130:]
+    family = [changed(passage, 10) for _ in range(60)]
+    texts = [" ".join(w) for w in [base, *family, changed(family[0], 3), changed(family[1], 3)]]
+    name = [b"%03d" % i for i in range(len(texts))]
+    members = spark.createDataFrame([(name[0], n, n) for n in name[1:]], "lead binary, node binary, root binary")
+    got = M._remaining(members, spark.createDataFrame([*zip(name, texts, strict=True)], "node binary, text string"))
+    h = M.WordHashes()
+    x = [M.shingles(M.word_hashes(t, h)) for t in texts]
+    near = {(name[i], name[j]) for j in range(1, len(x)) for i in range(1, j) if 9 * len(np.setxor1d(x[i], x[j])) <= len(x[i]) + len(x[j])}
+    assert near == {(name[1], name[61]), (name[2], name[62])}
+    assert {(bytes(p.lead), bytes(p.node)) for p in got.collect()} == near
