@@ -59,6 +59,19 @@ def test_rates_whole_and_step_by_step(spark, net, monkeypatch, whole):
         assert all(math.isclose(got[arm, i], x, rel_tol=1e-9, abs_tol=1e-9) for i, x in want.items())
 
 
+@pytest.mark.parametrize("chunk", [1, 50, 100])
+def test_rates_where_parts_of_arms_are_uneven(spark, net, monkeypatch, chunk):
+    e, n, nodes, edges = net
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    arms = {f"arm {k}": {"g_ach": 0.1 * k} for k in range(9)}
+    drive = spark.createDataFrame([(name, 0, 40.0 + k) for k, name in enumerate(arms)], "arm string, body_id long, hz double")
+    got = {(r["arm"], r["body_id"]): r["hz"] for r in G.rates(e, n, drive, arms, steps=6).collect()}
+    assert len(got) == 9 * 30
+    for k, (arm, gains) in enumerate(arms.items()):
+        assert all(math.isclose(got[arm, i], x, rel_tol=1e-9, abs_tol=1e-9) for i, x in plain(nodes, edges, gains, {0: 40.0 + k}, 6).items())
+    assert G.rates(e, n, drive, G.arm_table(spark, arms).limit(0), steps=2).count() == 0
+
+
 @pytest.mark.parametrize("whole", [True, False])
 def test_gains_weighted_at_their_targets(spark, net, monkeypatch, whole):
     e, n, nodes, edges = net
