@@ -55,9 +55,7 @@ def effects(edges: DataFrame, nodes: DataFrame, evidence: DataFrame, hypotheses:
     arms = cut(gains.select("arm", *dims.GAINS).unionByName(vehicles))
     draw = F.element_at(F.split("arm", r"\|"), -2)
     drive = arms.select("arm", (hz * drive_factor(draw, jitter, seed)).alias("hz")).crossJoin(F.broadcast(driven.select("body_id")))
-    out = cut(G.rates(edges, nodes, drive, arms, steps=steps))
-    named = out.join(sets, "body_id").groupBy("arm", "readout").agg(F.avg("hz").alias("value"))
-    values = cut(named.unionByName(out.groupBy("arm").agg(F.avg("hz").alias("value")).select("arm", F.lit("mean_hz").alias("readout"), "value")))
+    values = cut(G.readouts(edges, nodes, drive, arms, sets, "mean_hz", steps=steps).select("arm", "readout", F.col("hz").alias("value")))
     each = asked.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     vehicle = F.concat_ws("|", F.lit("vehicle"), "draw", F.lit("0"))
     each = each.withColumn("arm", F.when(F.col("compound").isNull(), vehicle).otherwise(F.concat_ws("|", "compound", "draw", F.col("conc_m").cast("string"))))

@@ -72,6 +72,22 @@ def test_rates_where_parts_of_arms_are_uneven(spark, net, monkeypatch, chunk):
     assert G.rates(e, n, drive, G.arm_table(spark, arms).limit(0), steps=2).count() == 0
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_readouts_are_summed_up_where_the_rates_are(spark, net, monkeypatch, whole):
+    e, n, nodes, edges = net
+    monkeypatch.setattr(G, "WHOLE" if not whole else "CHUNK", 0 if not whole else 20)
+    drive, sets = spark.createDataFrame([(0, 40.0), (3, 20.0)], "body_id long, hz double"), n.selectExpr("superclass as readout", "body_id").filter("readout <> 'central'")
+    got = {(r["arm"], r["readout"]): r for r in G.readouts(e, n, drive, ARMS, sets, "all", steps=8).collect()}
+    assert len(got) == 3 * 3
+    base = plain(nodes, edges, {}, {0: 40.0, 3: 20.0}, 8)
+    for arm, gains in ARMS.items():
+        want = plain(nodes, edges, gains, {0: 40.0, 3: 20.0}, 8)
+        for name in ("sensory", "motor", "all"):
+            ids = [i for i, _, c in nodes if name in (c, "all")]
+            r, mean = got[arm, name], lambda f: sum(map(f, ids)) / len(ids)  # noqa: B023
+            assert r["n"] == len(ids) and np.allclose([r["hz"], r["off"], r["vehicle"]], [mean(want.get), mean(lambda i: abs(want[i] - base[i])), mean(base.get)])  # noqa: B023
+
+
 @pytest.mark.parametrize("whole", [True, False])
 def test_gains_weighted_at_their_targets(spark, net, monkeypatch, whole):
     e, n, nodes, edges = net
@@ -308,3 +324,16 @@ def test_digests_leave_run_times_out(spark):
     assert set(got) == set(texts) - {"i"} and got["a"] == got["b"] and got["d"] == got["e"]
     assert len(set(got.values())) == len(got) - 2
     assert stable_digests(spark.createDataFrame([], "k string, j string"), "k", "j").count() == 0
+
+
+def test_a_resampled_row_is_hashed_once(spark):
+    rows = spark.range(5).selectExpr("id", "id as a")
+    plan = S.resampled(rows, 3, "id").groupBy("draw").agg({"w": "sum"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("md5(") == 1
+    by = {(r.draw, r.id): r.w for r in S.resampled(rows, 40, "id", seed=2).collect()}
+    import hashlib
+
+    for d in range(1, 41):
+        for i in range(5):
+            u = (int(hashlib.md5(f"2:{d}:{i}".encode()).hexdigest()[:12], 16) + 1) / (1 << 48)
+            assert by.get((d, i), 0) == sum(u > sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(16))
