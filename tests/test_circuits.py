@@ -337,3 +337,24 @@ def test_a_resampled_row_is_hashed_once(spark):
         for i in range(5):
             u = (int(hashlib.md5(f"2:{d}:{i}".encode()).hexdigest()[:12], 16) + 1) / (1 << 48)
             assert by.get((d, i), 0) == sum(u > sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(16))
+
+
+def test_random_graphs_propose_no_more_than_they_need(spark, net, monkeypatch):
+    import hashlib
+
+    e, n, nodes, edges = net
+    number = lambda *key: int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:12], 16)
+    weights, m = [edges[k] for k in sorted(edges)], len(edges)
+    want = []
+    for draw in range(3):
+        seen = {}
+        for i in range(8 * m):
+            pair = number(5, "a", draw, i) % 30, number(5, "b", draw, i) % 30
+            if pair[0] != pair[1] and pair not in seen and len(seen) < m:
+                seen[pair] = weights[number(5, "w", draw, i) % m]
+        want += [(draw, *pair, w) for pair, w in seen.items()]
+    assert G.proposals(7_200_000, 54_000_000, 8) < 1.1 * 54_000_000
+    for least in (None, 1):  # a guess that is too low is made good
+        monkeypatch.setattr(G, "proposals", G.proposals if least is None else lambda n, m, more: least)
+        assert sorted(tuple(r) for r in G.erdos_renyi(e, n, 3, seed=5).collect()) == sorted(want)
+    assert G.erdos_renyi(e.limit(0), n, 2).count() == 0
